@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.conversations import conversations
+from threadloom.llm.mojibake import repair_texts
 from threadloom.llm.neighbours import similar_vectors
 from threadloom.llm.packing import pack
 from threadloom.llm.tokenizer import count_tokens, encode_texts, round_trips
@@ -18,6 +20,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "messages")).drop("sender")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -62,12 +68,61 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_texts(table(spark, sf_dir, "documents")).where("garbled").select("doc_id")
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, layers, repaired): the text of every garbled document with what can be restored."""
+    return repair_texts(table(spark, sf_dir, "documents")).where("garbled").select("doc_id", "layers", "repaired")
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": """
+WITH RECURSIVE latest AS (
+  SELECT *, CASE WHEN message_type = 'message' AND text IS NOT NULL
+                  AND regexp_matches(text, '[^ \\t\\r\\n\\x{00A0}\\x{200B}]') THEN 1 ELSE 0 END AS turn
+  FROM messages
+  QUALIFY row_number() OVER (PARTITION BY conversation_id, external_id ORDER BY imported_at DESC, row_id DESC) = 1
+),
+nodes AS (
+  SELECT c.row_id, c.conversation_id, p.row_id AS parent, coalesce(c.reply_to_external_id, '') <> '' AND p.row_id IS NULL AS loose
+  FROM latest c LEFT JOIN latest p
+    ON p.conversation_id = c.conversation_id AND p.external_id = c.reply_to_external_id AND c.reply_to_external_id <> ''
+),
+tree AS (
+  SELECT row_id FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT n.row_id FROM nodes n JOIN tree t ON n.parent = t.row_id
+),
+broken AS (
+  SELECT conversation_id FROM nodes WHERE loose
+  UNION SELECT conversation_id FROM nodes WHERE row_id NOT IN (SELECT row_id FROM tree)
+),
+kept AS (
+  SELECT conversation_id FROM latest WHERE turn = 1 AND conversation_id NOT IN (SELECT conversation_id FROM broken)
+  GROUP BY conversation_id HAVING count(DISTINCT sender_external_id) >= 2
+),
+turns AS (
+  SELECT conversation_id, message_id, sender_external_id AS sender,
+         row_number() OVER (PARTITION BY conversation_id ORDER BY sent_at, external_id::HUGEINT, external_id) AS turn_no
+  FROM latest WHERE turn = 1 AND conversation_id IN (SELECT conversation_id FROM kept)
+),
+speakers AS (
+  SELECT conversation_id, sender, row_number() OVER (PARTITION BY conversation_id ORDER BY min(turn_no)) AS speaker_no
+  FROM turns WHERE sender IS NOT NULL GROUP BY conversation_id, sender
+)
+SELECT t.conversation_id, t.turn_no::BIGINT AS turn_no, t.message_id, coalesce(s.speaker_no, 0)::BIGINT AS speaker_no
+FROM turns t LEFT JOIN speakers s ON s.conversation_id = t.conversation_id AND s.sender = t.sender""",
+}
