@@ -9,6 +9,7 @@ from threadloom.llm.conversations import conversations
 from threadloom.llm.mojibake import repair_texts
 from threadloom.llm.neighbours import similar_vectors
 from threadloom.llm.packing import pack
+from threadloom.llm.pii import find_items, redact
 from threadloom.llm.tokenizer import count_tokens, encode_texts, round_trips
 from threadloom.session import cut
 from threadloom.sources.tables import table
@@ -20,6 +21,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        find_items(table(spark, sf_dir, name), key, "text").withColumn("source_table", F.lit(name))
+        for name, key in (("messages", "row_id"), ("evidence_items", "evidence_id"))
+    ]
+    return parts[0].unionByName(parts[1]).select("source_table", "row_key", "pii_type", "start_codepoint")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, row_key, redacted, n_items): every text with placeholders for its personal items."""
+    parts = [
+        redact(table(spark, sf_dir, name), key, "text").withColumnRenamed(key, "row_key").withColumn("source_table", F.lit(name))
+        for name, key in (("messages", "row_id"), ("evidence_items", "evidence_id"))
+    ]
+    return parts[0].unionByName(parts[1]).select("source_table", "row_key", "redacted", "n_items")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "messages")).drop("sender")
 
@@ -79,6 +97,8 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
