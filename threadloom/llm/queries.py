@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.consensus import agreement, consensus, reliability
 from threadloom.llm.conversations import conversations
 from threadloom.llm.mojibake import repair_texts
 from threadloom.llm.neighbours import similar_vectors
@@ -21,6 +22,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        consensus(table(spark, sf_dir, "gold_task_judgments")).where(F.col("n_annotators") >= 3).select("unit_id", "task", "label")
+    )
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus(table(spark, sf_dir, "gold_task_judgments"))
+
+
+def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliability(table(spark, sf_dir, "gold_task_judgments"))
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each set and task beside the share of double annotation that the set asks for."""
+    asked = table(spark, sf_dir, "annotation_sets").select("annotation_set_id", "double_annotation_fraction")
+    return agreement(table(spark, sf_dir, "gold_task_judgments")).join(asked, "annotation_set_id", "left")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         find_items(table(spark, sf_dir, name), key, "text").withColumn("source_table", F.lit(name))
@@ -97,6 +118,10 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_consensus": p3_consensus,
+    "p3_reliability": p3_reliability,
+    "p3_agreement": p3_agreement,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p6_found": p6_found,
@@ -109,6 +134,30 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "p3_agreement": """
+WITH r AS (
+  SELECT annotation_set_id, unit_id, task, annotator, upper(trim(label, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203))) AS label
+  FROM gold_task_judgments
+  WHERE status = 'PRESENT' AND annotator IS NOT NULL AND unit_id IS NOT NULL AND task IS NOT NULL
+    AND trim(label, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203)) <> ''
+  QUALIFY row_number() OVER (PARTITION BY unit_id, task, annotator ORDER BY submitted_at DESC NULLS LAST, judgment_id DESC) = 1
+),
+cells AS (SELECT annotation_set_id, task, unit_id, label, count(*) AS n FROM r GROUP BY ALL),
+units AS (
+  SELECT annotation_set_id, task, unit_id, sum(n) AS m, sum(n * (n - 1)) AS same FROM cells GROUP BY annotation_set_id, task, unit_id
+  HAVING sum(n) > 1
+),
+labels AS (
+  SELECT annotation_set_id, task, label, sum(n) AS n FROM cells SEMI JOIN units USING (annotation_set_id, task, unit_id)
+  GROUP BY annotation_set_id, task, label
+),
+e AS (SELECT annotation_set_id, task, sum(n * (n - 1)) AS chance, sum(n) AS n_labels FROM labels GROUP BY annotation_set_id, task),
+o AS (SELECT annotation_set_id, task, count(*) AS n_units, sum(same / (m - 1)) AS agree FROM units GROUP BY annotation_set_id, task)
+SELECT o.annotation_set_id, o.task, o.n_units::BIGINT AS n_units, e.n_labels::BIGINT AS n_labels, (agree / n_labels)::DOUBLE AS observed,
+       CASE WHEN chance / (n_labels * (n_labels - 1)) < 1
+            THEN 1 - (1 - agree / n_labels) / (1 - chance / (n_labels * (n_labels - 1))) END::DOUBLE AS alpha,
+       s.double_annotation_fraction
+FROM o JOIN e USING (annotation_set_id, task) LEFT JOIN annotation_sets s ON s.annotation_set_id = o.annotation_set_id""",
     "p6_found": """
 WITH RECURSIVE latest AS (
   SELECT *, CASE WHEN message_type = 'message' AND text IS NOT NULL
