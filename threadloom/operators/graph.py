@@ -87,8 +87,8 @@ def role_profiles(senders: DataFrame, edges: DataFrame, least: int = 5) -> DataF
         )
     )
     marks = None
-    for c in ("sent", "received", "question_share", "mean_chars"):
-        mark = nearest_rank_by_count(rows, [], c, {f"_{c}": 0.75})
+    for c, width in (("sent", 1.0), ("received", 1.0), ("question_share", 0.001), ("mean_chars", 1.0)):
+        mark = nearest_rank_by_count(rows, c, {f"_{c}": 0.75}, width)
         marks = mark if marks is None else marks.crossJoin(F.broadcast(mark))
     high = lambda c: (F.col(c) >= F.col(f"_{c}")) & (F.col(c) > 0)
     role = (

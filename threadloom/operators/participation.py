@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.running import running_sum
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Aggregate: the value at position round((n − 1)·q), half to even, of the non-null values.
-
-    ``values`` are collected per group, so group by something that bounds them or count them first.
-    """
-    ordered = F.array_sort(F.collect_list(values))
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(q), 0) + 1).cast("int")))
 
+def nearest_rank_by_count(df: DataFrame, value: str, quantiles: dict[str, float], width: float = 1.0) -> DataFrame:
+    """One row, one column per quantile: the value at position round((n − 1)·q), half to even.
 
-def nearest_rank_by_count(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """(group, one column per quantile): nearest-rank quantiles from counts of distinct values.
-
-    Values are counted before they are ordered, so a group of any number of rows sorts its distinct values
-    only, in a window.
+    Null values don't count. Values are counted first and put in order inside steps of ``width``, so one
+    task orders the steps, not the values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    if not group:
-        counts = counts.withColumn("_all", F.lit(0))
-    keys = group or ["_all"]
-    whole = Window.partitionBy(*keys)
-    counts = counts.withColumn("_upto", F.sum("_n").over(whole.orderBy(value))).withColumn("_total", F.sum("_n").over(whole))
-    parts = [
-        F.min(F.when(F.col("_upto") > F.bround((F.col("_total") - 1) * F.lit(q), 0), F.col(value))).alias(name)
-        for name, q in quantiles.items()
-    ]
-    return counts.groupBy(*keys).agg(*parts).drop("_all")
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(counts, [], F.floor(F.col(value) / width), [value], F.col("_n"), "_upto")
+    total = counts.agg(F.sum("_n").alias("_total"))
+    return upto.crossJoin(F.broadcast(total)).agg(
+        *[F.min(F.when(F.col("_upto") > F.bround((F.col("_total") - 1) * F.lit(q), 0), F.col(value))).alias(name) for name, q in quantiles.items()]
+    )
 
 
 def sender_counts(messages: DataFrame, sender: str = "sender", text: str = "text") -> DataFrame:

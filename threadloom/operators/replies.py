@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.operators.participation import nearest_rank_by_count
+from threadloom.operators.running import hour_of, running_sum
 
 MAX_LATENCY_MINUTES = 30 * 24 * 60
 
@@ -37,7 +38,7 @@ def reply_structure(messages: DataFrame, events: DataFrame) -> DataFrame:
     counts = messages.agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("reply") != "").alias("n_marked"))
     timed = latency_minutes(events)
     found = timed.agg(F.count(F.lit(1)).alias("n_resolved"), F.count("latency").alias("n_timed"))
-    ranks = nearest_rank_by_count(timed, [], "latency", {"p50_minutes": 0.5, "p90_minutes": 0.9})
+    ranks = nearest_rank_by_count(timed, "latency", {"p50_minutes": 0.5, "p90_minutes": 0.9})
     return (
         counts.crossJoin(F.broadcast(found))
         .join(F.broadcast(ranks), F.lit(True), "left")
@@ -81,19 +82,22 @@ def first_reply_durations(messages: DataFrame, events: DataFrame) -> DataFrame:
 def kaplan_meier(durations: DataFrame, time: str = "minutes", observed: str = "replied") -> DataFrame:
     """(time, at_risk, events, censored, survival) at every distinct time.
 
-    Times are counted before they are ordered. Numbers at risk come from a running sum of the counts and
-    the product from a running sum of logarithms, with an exact zero once all at risk have an event.
+    Times are counted before they are ordered, in steps of a whole unit. Numbers at risk come from a running
+    sum of the counts and the product from a running sum of logarithms, with an exact zero once all at risk
+    have an event.
     """
     counts = durations.where(F.col(time).isNotNull()).groupBy(time).agg(
         F.count_if(F.col(observed)).alias("events"), F.count_if(~F.col(observed)).alias("censored")
     )
-    order = Window.orderBy(time)
-    left = Window.orderBy(F.desc(time))
     n = F.col("events") + F.col("censored")
-    rows = counts.withColumn("at_risk", F.sum(n).over(left))
-    gone = F.max(F.when(F.col("events") == F.col("at_risk"), 1).otherwise(0)).over(order)
-    log = F.sum(F.when(F.col("events") < F.col("at_risk"), F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(0.0)).over(order)
-    return rows.select(time, "at_risk", "events", "censored", F.when(gone == 1, 0.0).otherwise(F.exp(log)).alias("survival"))
+    minute = F.floor(F.col(time))
+    # At risk: all that lasted at least as long, which is a running sum from the longest time.
+    rows = running_sum(counts, [], -minute, [F.desc(time)], n, "at_risk")
+    ends = F.col("events") == F.col("at_risk")
+    log = F.when(~ends, F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0))
+    rows = running_sum(rows, [], minute, [time], log, "_log")
+    # Only at the longest time can all at risk have an event.
+    return rows.select(time, "at_risk", "events", "censored", F.when(ends, 0.0).otherwise(F.exp("_log")).alias("survival"))
 
 
 def coordination(messages: DataFrame, events: DataFrame) -> DataFrame:
@@ -188,13 +192,13 @@ def response_candidates(messages: DataFrame, window: int = 40, horizon_hours: in
     then row id; empty messages are ranked for but never candidates. A message is joined with its 40
     predecessors by numbering them, in blocks of 40 so that both sides meet on (conversation, block).
     """
-    order = Window.partitionBy("conversation_id").orderBy("sent_at", "row_id")
     filled = F.coalesce(F.trim(F.col("text")) != "", F.lit(False))
     base = messages.where(F.col("sent_at").isNotNull()).select(
         "conversation_id", "row_id", "external_id", "reply", "sent_at", filled.alias("_filled"),
         T.tokens(F.coalesce("text", F.lit("")), 2).alias("_tokens"),
     )
-    counted = base.withColumn("_before", F.coalesce(F.sum(F.col("_filled").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counted = running_sum(base, ["conversation_id"], hour_of("sent_at"), ["sent_at", "row_id"], F.col("_filled").cast("long"), "_upto")
+    counted = counted.withColumn("_before", F.col("_upto") - F.col("_filled").cast("long")).drop("_upto")
     source = counted.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("_before") - window, F.lit(0)) / window), F.floor(F.greatest(F.col("_before") - 1, F.lit(0)) / window))))
     target = counted.where("_filled").select(
         F.col("conversation_id").alias("_c"), F.col("row_id").alias("target"), F.col("external_id").alias("_e"), F.col("sent_at").alias("_t"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.operators.running import row_numbers
 from threadloom.session import cut
 
 
@@ -19,8 +20,10 @@ def windows_of_messages(messages: DataFrame, size: int = 40, least_tail: int = 1
 
     Order is by time, then row.
     """
-    order = Window.partitionBy("conversation_id").orderBy("sent_at", "row_id")
-    numbered = messages.select("conversation_id", "row_id", (F.row_number().over(order) - 1).alias("ordinal"), F.count(F.lit(1)).over(Window.partitionBy("conversation_id")).alias("_n"))
+    sizes = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("conversation_id", "_c")
+    slim = messages.select("conversation_id", "row_id", "sent_at")
+    numbered = row_numbers(slim, ["conversation_id"], "sent_at", "row_id", "_i").join(sizes, F.col("conversation_id").eqNullSafe(F.col("_c")))
+    numbered = numbered.withColumn("ordinal", (F.col("_i") - 1).cast("int"))
     last = F.floor((F.col("_n") - 1) / size)
     tail = F.col("_n") - last * size
     own = F.floor(F.col("ordinal") / size)

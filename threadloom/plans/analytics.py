@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import lexicon as L
@@ -17,6 +17,7 @@ from threadloom.operators import series as X
 from threadloom.operators import snapshots as V
 from threadloom.operators import themes as H
 from threadloom.operators.messages import latest_messages, non_blank
+from threadloom.operators.running import row_numbers
 from threadloom.plans.registry import Measurement, Registry, artifact_json
 from threadloom.sources.tables import table
 
@@ -305,10 +306,9 @@ l AS (SELECT a.row_id AS anchor, b.row_id AS member, NULL::INT AS place FROM n a
   WHERE a.reply <> '' AND NOT b.i BETWEEN a.i - 3 AND a.i + 1)
 SELECT * FROM c UNION ALL SELECT * FROM l""")
 def message_context(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conversation_id").orderBy("sent_at", "row_id")
-    rows = base(spark, d, ["sent_at", "reply"]).withColumn("i", F.row_number().over(order)).select("conversation_id", "row_id", "external_id", "reply", "i")
+    rows = row_numbers(base(spark, d, ["sent_at", "reply"]), ["conversation_id"], "sent_at", "row_id", "i").select(
+        "conversation_id", "row_id", "external_id", "reply", F.col("i").cast("int").alias("i")
+    )
     right = rows.select(F.col("conversation_id").alias("_c"), F.col("row_id").alias("member"), F.col("external_id").alias("_e"), F.col("i").alias("_i"))
     near = rows.withColumn("_at", F.explode(F.sequence(F.col("i") - 3, F.col("i") + 1))).join(
         right, (F.col("conversation_id") == F.col("_c")) & (F.col("_at") == F.col("_i"))
@@ -458,8 +458,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def embedding_search(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all vectors, in one pass with the queries broadcast after a check of their number."""
-    from pyspark.sql import Window
-
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
     small = asked.count() <= 100_000
