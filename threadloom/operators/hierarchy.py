@@ -92,21 +92,19 @@ def resolve_hierarchy(
     circle without a splitter never ends its walk and is recognised in the first phase, any other one in
     the second. All joins are on single nodes, so neither a huge tree nor a long chain meets one task.
     """
+    links = links.select(F.col(node).alias("id"), F.col(parent).alias("parent"))
     if with_path:
         # Paths around a circle would never end, so circles are found first and kept out.
-        plain = cut(resolve_hierarchy(links, node, parent, stride))
-        circles = plain.where(F.col("depth") < 0).select(F.col("id"))
-        clean = links.join(circles.withColumnRenamed("id", "_circle"), links[node] == F.col("_circle"), "left_anti")
-        lost = plain.where(F.col("depth") < 0)
-        paths = _resolve(clean, node, parent, stride, True)
-        return paths.unionByName(lost, allowMissingColumns=True)
-    return _resolve(links, node, parent, stride, False)
+        lost = cut(_resolve(links, stride, False)).where(F.col("depth") < 0)
+        clean = links.join(lost.select("id"), "id", "left_anti")
+        return _resolve(clean, stride, True).unionByName(lost, allowMissingColumns=True)
+    return _resolve(links, stride, False)
 
 
-def _resolve(links: DataFrame, node: str, parent: str, stride: int, with_path: bool) -> DataFrame:
+def _resolve(links: DataFrame, stride: int, with_path: bool) -> DataFrame:
     known = (
-        links.where(F.col(node).isNotNull() & F.col(parent).isNotNull())
-        .select(F.col(node).alias("id"), F.col(parent).alias("cur"))
+        links.where(F.col("id").isNotNull() & F.col("parent").isNotNull())
+        .withColumnRenamed("parent", "cur")
         .withColumn("steps", F.lit(1).cast("long"))
         .withColumn("status", F.when(_is_splitter(F.col("cur"), stride), _AT_SPLITTER).otherwise(_ACTIVE))
     )
