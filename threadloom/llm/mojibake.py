@@ -192,9 +192,10 @@ class Repairer:
                 return left.isalpha() and left.islower() or right.isalpha() and right.islower()
             return True
         if codec in ("cp1251", "koi8-r", "cp866"):
+            latin = left.isascii() and left.isalpha() or right.isascii() and right.isalpha()
             if second in _QUOTING or second.isspace():
-                return left.isascii() and left.isalpha() and right.isascii() and right.isalpha()
-            return not _russian(second) or run[0] in "╨╤"
+                return latin
+            return not _russian(second) or run[0] in "╨╤" or _drawing(run[0]) and latin
         return True
 
     def _read_as(self, codec: str, line: str) -> tuple[int, str]:

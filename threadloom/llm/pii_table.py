@@ -89,7 +89,7 @@ def name(r: random.Random, lang: str) -> str:
         ]
     )
     shape = r.random()
-    return text.upper() if shape < 0.1 else text.lower() if shape < 0.2 and "." not in text else text
+    return text.upper() if shape < 0.1 else text.lower() if shape < 0.23 and "." not in text else text
 
 
 # ---------------------------------------------------------------------------------------------- numbers
@@ -297,25 +297,25 @@ def email(r: random.Random) -> str:
 
 FRAMES = {
     "ru": {
-        "name": ["это подпишет {}", "в списке стоит {}, это верно?", "{} уже в курсе", "Вчера тут был человек, записался как {}.", "спроси {} завтра", "передай {}, пожалуйста", "с уважением, {}", "Меня зовут {}.", "акт подписан: {}", "звонит {}"],
+        "name": ["это подпишет {}", "в списке стоит {}, это верно?", "{} уже в курсе", "{} уже в курсе", "{} подтвердит", "Вчера тут был человек, записался как {}.", "спроси {} завтра", "передай {}, пожалуйста", "с уважением, {}", "Меня зовут {}.", "акт подписан: {}", "звонит {}"],
         "phone": ["мой номер {}.", "звони {}", "набери {} если что", "тел. {}, после шести", "{} — это мобильный", "телефон: {}"],
         "address": ["офис теперь: {}.", "привезите на {}, пожалуйста", "живу по адресу {}", "{} — там домофон", "адрес: {}", "Адрес доставки {}"],
         "email": ["пиши на {}", "почта {}, жду", "скинь сюда <{}>", "Мой адрес: {}.", "{} - это рабочая"],
     },
     "en": {
-        "name": ["the form was signed by {}.", "cc {}, thanks", "Dr. {} will confirm", "{} knows about it", "please ask {}", "Mr. {} said so", "regards, {}", "My name is {}", "call {} first"],
+        "name": ["the form was signed by {}.", "cc {}, thanks", "Dr. {} will confirm", "{} knows about it", "{} knows about it", "{} agrees", "please ask {}", "Mr. {} said so", "regards, {}", "My name is {}", "call {} first"],
         "phone": ["my number is {}, evenings", "text me on {} ok?", "tel: {}.", "call {}", "{} is my mobile", "phone {}"],
         "address": ["office moved to {}.", "deliver to {}, please", "I live at {}", "{} - ring twice", "address: {}", "send the parcel to {}"],
         "email": ["mail me at {}", "send it to {} please", "contact <{}>", "mailto:{}", "{} is the right box"],
     },
     "de": {
-        "name": ["unterschrieben hat {}.", "bitte frag {}", "{} weiß Bescheid", "Frau {} kommt", "Herr {} ruft an", "Gruß, {}"],
+        "name": ["unterschrieben hat {}.", "bitte frag {}", "{} weiß Bescheid", "{} weiß Bescheid", "Frau {} kommt", "Herr {} ruft an", "Gruß, {}"],
         "phone": ["meine Nummer {}.", "ruf an: {}", "Tel. {}, ab 18 Uhr", "Handy {}"],
         "address": ["Anschrift {}.", "Lieferung an: {}, danke", "ich wohne {}", "Büro jetzt: {}"],
         "email": ["Mail: {}, danke", "schreib an {}", "bitte an <{}>", "E-Mail {}"],
     },
     "es": {
-        "name": ["lo firmó {}.", "pregunta a {}", "{} ya lo sabe", "Sr. {} confirma", "saludos, {}"],
+        "name": ["lo firmó {}.", "pregunta a {}", "{} ya lo sabe", "{} ya lo sabe", "Sr. {} confirma", "saludos, {}"],
         "phone": ["mi número es {}, por la tarde", "llama al {}", "tel. {}"],
         "address": ["vivo en {}", "entrega en {}, gracias", "dirección: {}", "la oficina está en {}."],
         "email": ["correo: {}, gracias", "escribe a {}", "mándalo a <{}>"],
@@ -344,14 +344,14 @@ KIND = {
 PLAIN = {
     "ru": [
         "Созвон W, тема — T", "Согласен, T пока не трогаем", "не согласен, K T важнее", "Уточню: T или T?", "Давайте W пересчитаем, иначе T не сойдётся", "Заявка R закрыта, T уже на месте",
-        "адрес узла G, T отвечает", "образ T@V собран", "версия V стоит, T работает", "трек посылки P, внутри T", "Итого A рублей на N позиций, T отдельно", "координаты C, C, там T",
+        "адрес узла G, T отвечает", "узел G не отвечает", "образ T@V собран", "версия V стоит, T работает", "трек посылки P, внутри T", "Итого A рублей на N позиций, T отдельно", "координаты C, C, там T",
         "лог за D: T без ошибок", "см. пункт N.N, там про T", "Большой Зал занят, T переносим", "Новый Год близко, а T не готов", "улица перекрыта, T привезут W", "любовный роман о том, как T спасает T",
         "тут нужна вера в T, а не цифры", "Есть надежда, что T заработает W", "@H глянь, пожалуйста, T", "Где лежит T? Не могу найти с N попытки", "T снова врёт, разница N процентов", "Я доделаю: T, W",
         "Почему T важнее, чем T?", "Поправка: не T, а T", "Предлагаю обсудить: T и T W", "Мне кажется, K T тут ни при чём", "ага, спасибо", "Кто смотрел, что показывает T?", "По новому плану T переносим W",
         "Пусть T будет K, мне всё равно", "ок", "+1", "марта N числа T сдаём", "лев на картинке, а не T", "злата тут нет, один T",
     ],
     "en": [
-        "Call W, topic is the T", "Agreed, leave the T alone", "disagree, the K T matters more", "Ticket R is closed, the T is in place", "node G serves the T", "pin T@V for now", "version V is up, T works",
+        "Call W, topic is the T", "Agreed, leave the T alone", "disagree, the K T matters more", "Ticket R is closed, the T is in place", "node G serves the T", "host G is down", "pin T@V for now", "version V is up, T works",
         "parcel P holds the T", "A in total over N lines, T not included", "position C, C, the T is there", "log of D: T clean", "see item N.N on the T", "Main Hall is taken, moving the T",
         "Release Notes say the T moves W", "Seven Kilns is a nice title for the T", "the T rose N percent", "mark the T as done", "hope the T works W", "lane N of the T is blocked", "@H please have a look at the T",
         "Where is the T? Could not find it after N tries", "T is off again by N percent", "I will finish the T W", "Why is the T more important than the T?", "Correction: not the T but the T",
@@ -424,7 +424,7 @@ def _part(r: random.Random, lang: str) -> list[tuple[str, str | None]]:
     return [(before, None), (fill(r, lang) if fill else email(r), kind), (after, None)]
 
 
-def labelled_table(sentences: int = 6000, seed: int = 7) -> list[list[tuple[str, str | None]]]:
+def labelled_table(sentences: int = 6500, seed: int = 7) -> list[list[tuple[str, str | None]]]:
     """``sentences`` labelled sentences, the same ones for the same seed."""
     r = random.Random(seed)
     table = []
