@@ -100,99 +100,100 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transit
     return labels
 
 
+class _Fold:
+    """A share of the training sentences, longest first, with everything a step needs to know of it."""
+
+    def __init__(self, sequences: list[Sequence[str]], labels: list[Sequence[int]], k: int, features: Callable[[str], Iterable[str]], index: dict[str, int]) -> None:
+        vocabulary: dict[str, int] = {}
+        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        self.length = np.array([len(sequences[i]) for i in order])
+        self.flat = np.array([vocabulary.setdefault(t, len(vocabulary)) for i in order for t in sequences[i]])
+        self.gold = np.array([y for i in order for y in labels[i]])
+        self.size, self.n, self.k = len(vocabulary), len(order), k
+        pairs = np.array([(index[f], v) for v, t in enumerate(vocabulary) for f in dict.fromkeys(features(t)) if f in index])
+        self.pair_f, self.edge_v = pairs[:, 0], np.flatnonzero(np.r_[True, np.diff(pairs[:, 1]) > 0])
+        self.which_v = pairs[self.edge_v, 1]
+        by_f = np.argsort(self.pair_f, kind="stable")
+        self.pair_v = pairs[by_f, 1]
+        self.edge_f = np.flatnonzero(np.r_[True, np.diff(self.pair_f[by_f]) > 0])
+        self.which_f = self.pair_f[by_f][self.edge_f]
+        self.starts = np.r_[0, np.cumsum(self.length)[:-1]]
+        self.begins, self.ends = np.repeat(self.starts, self.length), np.repeat(self.starts + self.length, self.length)
+        self.place = np.arange(len(self.flat))
+        self.width = [int((self.length > t).sum()) for t in range(int(self.length[0]))]
+        self.inner = self.place[1:][self.begins[1:] == self.begins[:-1]]
+        self.truth = np.eye(k, dtype=np.float32)[self.gold]
+        self.pairs = np.zeros((k, k), np.float32)
+        np.add.at(self.pairs, (self.gold[self.inner - 1], self.gold[self.inner]), 1)
+
+    def slopes(self, weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, decay: float) -> list[np.ndarray]:
+        """Slopes of the mean negative log-likelihood with weight decay."""
+        table = np.zeros((self.size, len(OFFSETS), self.k), np.float32)
+        table[self.which_v] = np.add.reduceat(weights[self.pair_f], self.edge_v, axis=0)
+        score = emissions(table, self.flat, self.begins, self.ends)
+        # Forward and backward chances, scaled to one at every token.
+        local = np.exp(score - score.max(1, keepdims=True))
+        move = np.exp(transitions)
+        alpha, beta, scale = np.empty_like(score), np.ones_like(score), np.empty(len(score), np.float32)
+        begin = local[self.starts] * np.exp(first)
+        scale[self.starts] = begin.sum(1)
+        alpha[self.starts] = begin / scale[self.starts, None]
+        for t in range(1, len(self.width)):
+            at = self.starts[: self.width[t]] + t
+            here = (alpha[at - 1] @ move) * local[at]
+            scale[at] = here.sum(1)
+            alpha[at] = here / scale[at, None]
+        for t in range(len(self.width) - 2, -1, -1):
+            at = self.starts[: self.width[t + 1]] + t
+            beta[at] = ((beta[at + 1] * local[at + 1]) @ move.T) / scale[at + 1, None]
+        chance = alpha * beta
+        pairs = move * (alpha[self.inner - 1].T @ (beta[self.inner] * local[self.inner] / scale[self.inner, None]))
+        off = chance - self.truth
+        by_token = np.zeros_like(table)
+        for o, offset in enumerate(OFFSETS):
+            at = self.place + offset
+            inside = (at >= self.begins) & (at < self.ends)
+            tokens = self.flat[at[inside]]
+            for label in range(self.k):
+                by_token[:, o, label] = np.bincount(tokens, off[inside, label], minlength=self.size)
+        of_features = decay * weights
+        of_features[self.which_f] += np.add.reduceat(by_token[self.pair_v], self.edge_f, axis=0) / self.n
+        return [of_features, (pairs - self.pairs) / self.n + decay * transitions, off[self.starts].sum(0) / self.n]
+
+
 def train(
     sequences: Sequence[Sequence[str]],
     labels: Sequence[Sequence[int]],
     n_labels: int,
     features: Callable[[str], Iterable[str]],
-    rounds: int = 60,
+    steps: int = 100,
+    folds: int = 4,
     rate: float = 0.12,
     decay: float = 2e-4,
     least: int = 2,
 ) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
-    """(weights, feature index, transitions, first): maximum likelihood by full-batch Adam with weight decay."""
-    vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in s]) for s in sequences]
+    """(weights, feature index, transitions, first): maximum likelihood by Adam with weight decay.
+
+    Each step takes the next of ``folds`` shares of the sentences; features seen on fewer than ``least``
+    tokens are left out.
+    """
     counts: dict[str, int] = {}
-    token_features = [list(dict.fromkeys(features(t))) for t in vocabulary]
-    seen = np.bincount(np.concatenate(ids), minlength=len(vocabulary))
-    for have, n in zip(token_features, seen, strict=True):
-        for f in have:
-            counts[f] = counts.get(f, 0) + int(n)
+    seen: dict[str, int] = {}
+    for sequence in sequences:
+        for token in sequence:
+            seen[token] = seen.get(token, 0) + 1
+    for token, n in seen.items():
+        for f in dict.fromkeys(features(token)):
+            counts[f] = counts.get(f, 0) + n
     index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
-    pair_f, pair_v = [], []
-    for v, have in enumerate(token_features):
-        for f in have:
-            if f in index:
-                pair_f.append(index[f])
-                pair_v.append(v)
-    pair_f, pair_v = np.array(pair_f), np.array(pair_v)
-    by_f = np.argsort(pair_f, kind="stable")
-    edge_f = np.flatnonzero(np.r_[True, np.diff(pair_f[by_f]) > 0])
-    edge_v = np.flatnonzero(np.r_[True, np.diff(pair_v) > 0])
-    which_v = pair_v[edge_v]
-
-    longest = max(map(len, ids))
-    n = len(ids)
-    order = np.argsort([-len(s) for s in ids], kind="stable")
-    ids = [ids[i] for i in order]
-    gold = [np.array(labels[i]) for i in order]
-    length = np.array([len(s) for s in ids])
-    flat = np.concatenate(ids)
-    flat_gold = np.concatenate(gold)
-    starts = np.r_[0, np.cumsum(length)[:-1]]
-    begins, ends = np.repeat(starts, length), np.repeat(starts + length, length)
-    place = np.arange(len(flat))
-    width = [int((length > t).sum()) for t in range(longest)]
-
-    k = n_labels
-    parameters = [np.zeros((len(index), len(OFFSETS), k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)]
-    moment = [np.zeros_like(p) for p in parameters]
-    spread = [np.zeros_like(p) for p in parameters]
-    one_hot = np.eye(k, dtype=np.float32)
-    target_pairs = np.zeros((k, k), np.float32)
-    inner = place[1:][begins[1:] == begins[:-1]]
-    np.add.at(target_pairs, (flat_gold[inner - 1], flat_gold[inner]), 1)
-    target_first = one_hot[flat_gold[starts]].sum(0)
-
-    for round_no in range(1, rounds + 1):
-        weights, transitions, first = parameters
-        table = np.zeros((len(vocabulary), len(OFFSETS), k), np.float32)
-        table[which_v] = np.add.reduceat(weights[pair_f], edge_v, axis=0)
-        score = emissions(table, flat, begins, ends)
-        # Forward and backward chances, scaled to one at every token.
-        local = np.exp(score - score.max(1, keepdims=True))
-        move = np.exp(transitions)
-        alpha = np.empty_like(score)
-        beta = np.ones_like(score)
-        scale = np.empty(len(score), np.float32)
-        begin = local[starts] * np.exp(first)
-        scale[starts] = begin.sum(1)
-        alpha[starts] = begin / scale[starts, None]
-        for t in range(1, longest):
-            at = starts[: width[t]] + t
-            here = (alpha[at - 1] @ move) * local[at]
-            scale[at] = here.sum(1)
-            alpha[at] = here / scale[at, None]
-        for t in range(longest - 2, -1, -1):
-            at = starts[: width[t + 1]] + t
-            beta[at] = ((beta[at + 1] * local[at + 1]) @ move.T) / scale[at + 1, None]
-        chance = alpha * beta
-        pairs = move * (alpha[inner - 1].T @ (beta[inner] * local[inner] / scale[inner, None]))
-        off = chance - one_hot[flat_gold]
-        slope_table = np.zeros_like(table)
-        for o, offset in enumerate(OFFSETS):
-            at = place + offset
-            inside = (at >= begins) & (at < ends)
-            for label in range(k):
-                slope_table[:, o, label] = np.bincount(flat[at[inside]], off[inside, label], minlength=len(vocabulary))
-        slopes = [
-            np.add.reduceat(slope_table[pair_v[by_f]], edge_f, axis=0) / n + decay * weights,
-            (pairs - target_pairs) / n + decay * transitions,
-            (chance[starts].sum(0) - target_first) / n,
-        ]
+    parts = [_Fold(list(sequences[i::folds]), list(labels[i::folds]), n_labels, features, index) for i in range(folds)]
+    shapes = ((len(index), len(OFFSETS), n_labels), (n_labels, n_labels), (n_labels,))
+    parameters, moment, spread = ([np.zeros(s, np.float32) for s in shapes] for _ in range(3))
+    for step in range(1, steps + 1):
+        pace = rate * min(1.0, 2.0 * (steps - step + 1) / steps)
+        slopes = parts[step % folds].slopes(*parameters, decay)
         for p, g, m, v in zip(parameters, slopes, moment, spread, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**round_no)) / (np.sqrt(v / (1 - 0.99**round_no)) + 1e-6)
+            p -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return parameters[0], index, parameters[1], parameters[2]
