@@ -64,7 +64,7 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
 
     Lines without such a head continue the message before. Ids are ordinals in the file, confidence is 0.4.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("chat"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")
     )
     order = Window.partitionBy("chat").orderBy("n")
@@ -152,7 +152,7 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     A joined message has the sender of the one before it; a service message without a time gets the latest
     one, at confidence 0.1. Times are dd.mm.yyyy HH:MM:SS with or without a UTC offset (1.0 or 0.5).
     """
-    pages = spark.read.option("wholetext", True).text(path).select(
+    pages = spark.read.text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("chat"),
         F.coalesce(F.regexp_extract("_metadata.file_path", r"messages(\d+)\.html$", 1).try_cast("int"), F.lit(1)).alias("page"),
         "value",
@@ -174,7 +174,7 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     own = F.try_to_timestamp(stamp, F.lit("dd.MM.yyyy HH:mm:ss"))
     sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
     shift = sign * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int"))
-    at = F.when(offset != "", F.timestamp_micros(F.unix_micros(own) - shift * 60_000_000)).otherwise(own)
+    at = F.when(offset != "", F.timestamp_micros(F.unix_micros(own) - shift.cast("long") * 60_000_000)).otherwise(own)
     rows = rows.withColumn("_at", at)
     return rows.select(
         "chat",
