@@ -2,15 +2,17 @@
 
 import glob
 import importlib.util
+import numbers
 import os
 
+import pandas as pd
 import pytest
 
-from threadloom.plans import analytics, problems
+from threadloom.plans import analytics, observing, problems
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**problems.QUERIES, **analytics.QUERIES}
-SQL = {**problems.SQL, **analytics.SQL}
+QUERIES = {**problems.QUERIES, **analytics.QUERIES, **observing.QUERIES}
+SQL = {**problems.SQL, **analytics.SQL, **observing.SQL}
 
 pytestmark = pytest.mark.skipif(
     not os.path.isdir(DATA) or importlib.util.find_spec("duckdb") is None, reason="needs the test tables and DuckDB"
@@ -30,11 +32,13 @@ def con():
 
 def plain(frame):
     def cell(v):
-        if v is None or v != v:
-            return None
-        return str(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
+        if not isinstance(v, str) and pd.api.types.is_scalar(v) and pd.isna(v):
+            return "null"
+        if isinstance(v, numbers.Number) and not isinstance(v, bool):
+            return str(round(float(v), 6) + 0.0)
+        return str(v)
 
-    return sorted(tuple(map(str, (cell(x) for x in row))) for row in frame[sorted(frame.columns)].itertuples(index=False))
+    return sorted(tuple(map(cell, row)) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

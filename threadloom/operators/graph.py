@@ -289,3 +289,35 @@ def excitation(messages: DataFrame, top: int = 10, beta_hours: float = 24.0, cut
     return pairs.join(F.broadcast(span.withColumnRenamed("sender", "target")), "target").select(
         "source", "target", "pairs", F.greatest(F.col("_sum") / F.col("_n") - rate, F.lit(0.0)).alias("excess")
     )
+
+
+def motif_null(events: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """(motif, observed, expected, sd, z): motif counts against shuffles of who is replied to.
+
+    Replies keep their sender and get another reply's receiver; deviations have the divisor n. Each shuffle
+    orders the receivers by a hash, numbered by running counts over parts of the hash, so no shuffle is
+    ordered by one task. Self-replies are no edges, as in the observed graph.
+    """
+    from threadloom.operators.running import running_sum
+
+    rows = events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select("source", F.col("source_sender").alias("src"), F.col("target_sender").alias("dst"))
+    part = F.floor(F.col("source") / 100_000)
+    fixed = cut(running_sum(rows, [], part, ["source"], F.lit(1).cast("long"), "_i"))
+    each = fixed.select("source", "dst").withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_h", F.xxhash64(F.lit(seed), "p", "source"))
+    mixed = running_sum(each, ["p"], F.shiftright("_h", 52), ["_h", "source"], F.lit(1).cast("long"), "_i").select("p", "_i", "dst")
+    shuffled = cut(mixed.join(fixed.select("_i", "src"), "_i").where(F.col("src") != F.col("dst")).select("p", "src", "dst").distinct())
+    back = shuffled.select("p", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    dyads = shuffled.join(back, ["p", "src", "dst"], "left_semi").where(F.col("src") < F.col("dst")).groupBy("p").agg(F.count(F.lit(1)).alias("_n")).withColumn("motif", F.lit("reciprocal_dyads"))
+    second = shuffled.select("p", F.col("src").alias("dst"), F.col("dst").alias("_far"))
+    closing = shuffled.select("p", "src", F.col("dst").alias("_far"))
+    paths = shuffled.join(second, ["p", "dst"]).where(F.col("src") != F.col("_far"))
+    triples = paths.join(closing, ["p", "src", "_far"], "left_semi").groupBy("p").agg(F.count(F.lit(1)).alias("_n")).withColumn("motif", F.lit("transitive_triples"))
+    sums = dyads.unionByName(triples).groupBy("motif").agg(F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
+    seen = motif_counts(fixed).unpivot([], ["reciprocal_dyads", "transitive_triples"], "motif", "observed")
+    mean = F.coalesce("_s", F.lit(0)) / permutations
+    return (
+        seen.join(sums, "motif", "left")
+        .withColumn("expected", mean)
+        .withColumn("sd", F.sqrt(F.greatest(F.coalesce("_q", F.lit(0)) / permutations - F.col("expected") * F.col("expected"), F.lit(0.0))))
+        .select("motif", "observed", "expected", "sd", F.when(F.col("sd") > 0, (F.col("observed") - F.col("expected")) / F.col("sd")).alias("z"))
+    )
