@@ -127,13 +127,34 @@ def usable_vectors(rows: DataFrame, key: str, vector: str, scope: str, dims: int
 
 
 def _distinct(vectors: DataFrame, keep: int) -> DataFrame:
-    """(rep, scope, vec, ids, n): each distinct vector with the ``keep`` smallest of its ids."""
-    part = F.slice(F.sort_array(F.collect_list("id")), 1, keep)
+    """(rep, scope, vec, ids, n): each distinct vector with the ``keep`` smallest of its ids.
+
+    Every batch of rows first keeps that many ids of each of its vectors, so of any number of copies only a
+    few per batch are ever gathered.
+    """
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[tuple[int, bytes], list[int]] = {}
+            for i, scope, vec in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                held.setdefault((scope, vec), []).append(i)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in held], pa.int64()),
+                    pa.array([k[1] for k in held], pa.binary()),
+                    pa.array([sorted(own)[:keep] for own in held.values()], pa.list_(pa.int64())),
+                    pa.array([len(own) for own in held.values()], pa.int64()),
+                ],
+                ["scope", "vec", "ids", "n"],
+            )
+
+    least = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")
     return (
-        vectors.groupBy("scope", "vec", F.pmod("id", F.lit(SALT)).alias("_salt"))
-        .agg(part.alias("ids"), F.count(F.lit(1)).alias("n"))
+        vectors.mapInArrow(combine, "scope bigint, vec binary, ids array<bigint>, n bigint")
+        .groupBy("scope", "vec", F.pmod(F.col("ids")[0], F.lit(SALT)).alias("_salt"))
+        .agg(least(), F.sum("n").alias("n"))
         .groupBy("scope", "vec")
-        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.sum("n").alias("n"))
+        .agg(least(), F.sum("n").alias("n"))
         .withColumn("rep", F.col("ids")[0])
     )
 
