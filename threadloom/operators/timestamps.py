@@ -53,7 +53,7 @@ def _trim(value: Column) -> Column:
 def _zones(spark: SparkSession) -> DataFrame:
     """(_low, _zone) of every name in the time zone database, about 600 rows."""
     names = spark._jvm.java.lang.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds())
-    known = sorted(n for n in names.split(",") if not n.startswith("SystemV/"))
+    known = sorted({n for n in names.split(",") if not n.startswith("SystemV/")} | {"EST", "MST", "HST"})
     return spark.createDataFrame([(n.lower(), n) for n in known], "_low string, _zone string")
 
 

@@ -617,10 +617,15 @@ def missing_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry() -> Registry:
-    """The built-in measurements: participation and reciprocity."""
+    """The built-in measurements over the tables ``messages`` and ``events``."""
     r = Registry()
     r.register(Measurement("participation.share", "1", lambda t: P.participation_share(t["messages"])))
+    r.register(Measurement("participation.concentration", "1", lambda t: P.concentration(t["messages"])))
+    r.register(Measurement("activity.months", "1", lambda t: P.monthly_counts(t["messages"])))
+    r.register(Measurement("activity.changes", "1", lambda t: P.robust_change_points(P.monthly_counts(t["messages"]))))
     r.register(Measurement("replies.reciprocity", "1", lambda t: R.reciprocity(t["events"])))
+    r.register(Measurement("replies.structure", "1", lambda t: R.reply_structure(t["messages"], t["events"])))
+    r.register(Measurement("network.motifs", "1", lambda t: G.motif_counts(G.reply_edges(t["events"]))))
     return r
 
 
@@ -628,6 +633,9 @@ def registry() -> Registry:
 def measurement_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Every registered measurement as canonical JSON with its hash."""
     r = registry()
-    tables = {"messages": base(spark, d, ["sender"]), "events": events(spark, d)}
+    tables = {"messages": base(spark, d, ["sender", "sent_at", "reply"]), "events": events(spark, d)}
     parts = [artifact_json(r.execute(i, tables, inputs=d.rstrip("/").rsplit("/", 1)[-1])) for i in r.definitions()]
-    return parts[0].unionByName(parts[1])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import lexicon as L
+from threadloom.functions import text as T
+from threadloom.operators import evaluation as E
 from threadloom.operators import graph as G
 from threadloom.operators import models as M
 from threadloom.operators import observations as O
@@ -13,7 +14,7 @@ from threadloom.operators import records as C
 from threadloom.operators import replies as R
 from threadloom.operators import retrieval as Q
 from threadloom.operators import themes as H
-from threadloom.plans.analytics import _ACTS, _ED, _M, _whole, base, events
+from threadloom.plans.analytics import _ACTS, _EV, _M, base, events
 from threadloom.sources.tables import table
 
 QUERIES = {}
@@ -193,3 +194,75 @@ def reply_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
     a = one.select(F.col("message_id").alias("source_message_id"), F.col("v").alias("_a"))
     b = one.select(F.col("message_id").alias("target_message_id"), F.col("v").alias("_b"))
     return ev.join(a, "source_message_id").join(b, "target_message_id").select("source", "target", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("score"))
+
+
+# ------------------------------------------------------------------------------------------ search and pages
+
+
+@query(f"""WITH {_M} SELECT row_id, conversation_id FROM m WHERE contains(lower(text), 'schedule') OR contains(lower(text), 'график')""")
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that hold any of some terms, whatever the case."""
+    text = F.lower("text")
+    return base(spark, d, ["text"]).where(text.contains("schedule") | text.contains("график")).select("row_id", "conversation_id")
+
+
+@query(rf"""WITH {_M} SELECT row_id FROM m WHERE list_has_all(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), ['the', 'schedule'])""")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that hold all of some words."""
+    words = T.tokens(F.col("text"))
+    return base(spark, d, ["text"]).where(F.array_contains(words, "the") & F.array_contains(words, "schedule")).select("row_id")
+
+
+@query(f"""WITH {_M}, r AS (SELECT CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty_text' WHEN message_type <> 'message' THEN 'system_message'
+  WHEN NOT regexp_matches(text, '[а-яёА-ЯЁ]') THEN 'no_cyrillic_text' ELSE 'eligible' END AS reason FROM m) SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason""")
+def eligibility_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why messages can or can't be annotated: the first reason that holds."""
+    text = F.col("text")
+    reason = (
+        F.when(text.isNull() | (F.trim(text) == ""), "empty_text")
+        .when(F.col("message_type") != "message", "system_message")
+        .when(~text.rlike("[а-яёА-ЯЁ]"), "no_cyrillic_text")
+        .otherwise("eligible")
+    )
+    return base(spark, d, ["text", "message_type"]).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_EV}, c AS (SELECT target, count(*) AS n FROM ev GROUP BY target)
+SELECT m.row_id, conversation_id, sender, epoch_us(sent_at) AS sent_us, coalesce(n, 0)::BIGINT AS n_replies FROM m LEFT JOIN c ON c.target = m.row_id ORDER BY sent_at DESC, m.row_id DESC LIMIT 500""")
+def latest_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the latest messages with their numbers of replies: only the page meets the replies."""
+    rows = base(spark, d, ["sender", "sent_at", "reply"])
+    page = rows.orderBy(F.desc("sent_at"), F.desc("row_id")).limit(500)
+    replies = R.reply_events(rows, ()).groupBy(F.col("target").alias("row_id")).agg(F.count(F.lit(1)).alias("n"))
+    return page.join(replies, "row_id", "left").select("row_id", "conversation_id", "sender", F.unix_micros("sent_at").alias("sent_us"), F.coalesce("n", F.lit(0)).alias("n_replies"))
+
+
+@query(f"""WITH {_M} SELECT row_id, ln(1 + coalesce(length(text), 0)) AS log_length, sin(2 * pi() * extract(hour FROM sent_at) / 24) AS hour_sin, cos(2 * pi() * extract(hour FROM sent_at) / 24) AS hour_cos,
+  (coalesce(length(text), 0) // 4)::BIGINT AS token_estimate, strftime(sent_at, '%G-W%V') AS iso_week, extract(year FROM sent_at) || '-Q' || extract(quarter FROM sent_at) AS quarter FROM m WHERE sent_at IS NOT NULL""")
+def message_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Length, time of day on a circle, a token estimate, the ISO week and the quarter of each message."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    angle = 2 * F.pi() * F.hour("sent_at") / 24
+    return base(spark, d, ["text", "sent_at"]).where(F.col("sent_at").isNotNull()).select(
+        "row_id", F.log1p(n).alias("log_length"), F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"), F.floor(n / 4).alias("token_estimate"),
+        F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), "sent_at"), F.weekofyear("sent_at")).alias("iso_week"),
+        F.concat(F.year("sent_at").cast("string"), F.lit("-Q"), F.quarter("sent_at").cast("string")).alias("quarter"),
+    )
+
+
+@query()
+def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 of the best candidate of each message against the links that messages carry."""
+    rows = base(spark, d)
+    gold = R.reply_events(rows).select("source", "target", F.lit("REPLIES_TO").alias("label"))
+    best = R.response_candidates(rows).where("rank = 1").select("source", "target", F.lit("REPLIES_TO").alias("label"))
+    return E.precision_recall(gold, best, ["source", "target"], "label")
+
+
+@query(f"""WITH {_M}, n AS (SELECT external_id, display_name FROM participants WHERE display_name IS NOT NULL)
+SELECT external_id, upper(substr(split_part(trim(display_name, ' '), ' ', 1), 1, 1)) || upper(substr(split_part(trim(display_name, ' '), ' ', 2), 1, 1)) AS initials FROM n WHERE trim(display_name, ' ') <> ''""")
+def initials(spark: SparkSession, d: str) -> DataFrame:
+    """First letters of the first two words of every name."""
+    words = F.slice(F.filter(F.split(F.trim("display_name"), " "), lambda w: w != ""), 1, 2)
+    rows = table(spark, d, "participants").where(F.trim("display_name") != "")
+    return rows.select("external_id", F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "").alias("initials"))
