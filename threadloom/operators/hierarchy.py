@@ -110,6 +110,8 @@ def _resolve(links: DataFrame, stride: int, with_path: bool) -> DataFrame:
     )
     if with_path:
         known = known.withColumn("path", F.array("cur"))
+    # Every round reads all pointers, so they are kept as narrow rows of their own.
+    known = cut(known)
     walked = _walk(known, lambda cur: _is_splitter(cur, stride), with_path)
     reduced = cut(
         walked.where(_is_splitter(F.col("id"), stride)).withColumn(
