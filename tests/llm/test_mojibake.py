@@ -58,3 +58,13 @@ def test_nulls_blanks_long_and_empty(spark):
     assert [x.garbled for x in got[:5]] == [False, False, False, False, True]
     assert got[0].repaired is None and got[4].repaired == long + "ёлка"
     assert repair_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_a_garbled_text_stay_garbled(spark):
+    clean = "Разметчик отметил согласие, хотя прототип упомянут вскользь."
+    copies = len(BODY) // 2
+    for written, read in (("koi8-r", "cp1251"), ("cp1251", "koi8-r")):
+        got = run(spark, [clean.encode(written).decode(read)] * copies)
+        assert [x.repaired for x in got[:copies]] == [clean] * copies
+        assert [x.repaired for x in got[copies:]] == BODY
+    assert all(x.garbled for x in run(spark, [clean.encode("cp866").decode("cp1251")] * copies)[:copies])
