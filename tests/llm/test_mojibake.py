@@ -68,3 +68,10 @@ def test_copies_of_a_garbled_text_stay_garbled(spark):
         assert [x.repaired for x in got[:copies]] == [clean] * copies
         assert [x.repaired for x in got[copies:]] == BODY
     assert all(x.garbled for x in run(spark, [clean.encode("cp866").decode("cp1251")] * copies)[:copies])
+
+
+def test_single_signs_and_letters_restored(spark):
+    clean = ["tâche nº 5", "le cœur du fil", "© 2023", "prix 15 £", "Smørrebrød", "il a noté « accord » hier", "łódka"]
+    got = run(spark, [garble(t, "cp1252") for t in clean])
+    assert [x.repaired for x in got[: len(clean)]] == clean
+    assert [x.repaired for x in got[len(clean) :]] == BODY

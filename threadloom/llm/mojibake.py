@@ -39,6 +39,10 @@ SWAPPED = (
 GAIN, GAIN_PER_CHAR = 9.0, 1.2
 #: What a swap restores must cost less than so many nats per character.
 SOUND = 4.2
+#: UTF-8 runs that the rules leave alone are accepted when the cost falls by so much, and before quotation marks.
+FALL, FALL_QUOTING = 2.0, 3.0
+#: Nats for a restored character that the cost model doesn't tell apart.
+UNKNOWN = 8.0
 #: Nats for capitals inside a run.
 ODD_CASE = 2.0
 #: Sound text that is counted with every corpus, so many times, as what swaps restore is Cyrillic.
@@ -228,12 +232,35 @@ class Repairer:
             return not _russian(second) or run[0] in "╨╤" or _drawing(run[0]) and latin
         return True
 
+    def _cheaper(self, text: str, lo: int, hi: int, decoded: str) -> bool:
+        """Whether a run that the rules leave alone costs clearly more, beside its neighbours, than ``decoded``."""
+        run = text[lo:hi]
+        if not run[0].isalpha() or all(map(_russian, run)) or all(map(_drawing, run)) or not decoded.isprintable():
+            return False
+        left, right = text[max(lo - 1, 0) : lo], text[hi : hi + 1]
+        need = FALL
+        if hi - lo > 2:
+            need = max(FALL, GAIN_PER_CHAR * (hi - lo))
+        elif run[1] in _QUOTING or run[1].isspace():
+            # A letter before a quotation mark is plausible as written, in capitals or quoted.
+            if left and (left in _OPENING or left.isalpha() and not left.islower()):
+                return False
+            need = FALL_QUOTING
+        codes = np.concatenate([[0], _codes((left + decoded + right).lower()), [0]])
+        costs = self.costs[codes[:-1], codes[1:]]
+        if not any(map(str.isalpha, decoded)):
+            # Signs that no sound text of the corpus holds are no odder than half an occurrence makes them.
+            costs = np.minimum(costs, np.log(self.totals[codes[:-1]] + SMOOTH * 200) - np.log(0.5))
+        after = float(costs.sum())
+        after += UNKNOWN * sum(_ALPHABET[ord(ch)] == 0 for ch in decoded)
+        return self.cost_elsewhere(left + run + right) - after > need
+
     def _read_as(self, codec: str, line: str) -> tuple[int, str]:
         """(characters restored, line) with the runs that were UTF-8 read as ``codec``."""
         out, at, covered = [], 0, 0
         for m in _sequences(codec).finditer(line):
             decoded = to_bytes(m.group(), codec).decode("utf-8")
-            if self._believe(codec, line, m.start(), m.end(), decoded):
+            if self._believe(codec, line, m.start(), m.end(), decoded) or self._cheaper(line, m.start(), m.end(), decoded):
                 out += [line[at : m.start()], decoded]
                 at = m.end()
                 covered += m.end() - m.start()
@@ -326,6 +353,7 @@ class Repairer:
 
 
 _RUN = re.compile("[^\x00-\x7f�]+")
+_OPENING = set("„“‘‚«‹\"'([")
 _QUOTING = set("“”’‘»«…–—‹›•")
 #: What one wrongly decoded character standing alone may have been.
 _STRICT = set("ÀÁÂÃÄÇÈÉÊËÍÎÏÑÓÔÕÖÙÚÛÜßàáâãäçèéêëíîïñóôõöùúûüÿ«»°±·¡¿§µ²³¼½¾\xa0") | {chr(c) for c in (*range(0x410, 0x450), 0x401, 0x451, 0x490, 0x491, 0x454, 0x456, 0x457)} | set("μσΔ")
@@ -376,6 +404,9 @@ def repair_texts(documents: DataFrame, key: str = "doc_id", text: str = "text")
     undone. Null texts give false, 0 and null; repeated rows come out repeatedly; other columns are
     ignored; an empty table gives an empty table.
 
+    UTF-8 runs are accepted by rules on what looks odd as written, and where those leave a run alone, by the
+    fall of its garbling cost beside its neighbours.
+
     Each run of characters is re-encoded under the candidate encodings and strictly decoded as the intended
     one, repeatedly for nested layers, and accepted when its garbling cost drops. The cost comes from the
     pairs of characters of the distinct lines of the whole corpus, a table of fixed size. Texts are repaired where they are read.
