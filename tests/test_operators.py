@@ -205,3 +205,10 @@ def test_registry_refuses_a_second_definition(spark):
         r.get("other")
     out = artifact_json(r.execute("m", {"x": spark.createDataFrame([(1, None)], "b long, a string")}, "in")).first()
     assert out.payload.startswith('{"a":null,"b":1,"definition_id":"m"') and len(out.content_hash) == 64
+
+
+def test_graphs_beyond_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_WHOLE_EDGES", 1)
+    for find in (graph.betweenness, graph.communities):
+        with pytest.raises(ValueError, match="at most 1"):
+            find(edges(spark, ("a", "b", 1), ("b", "c", 1)))

@@ -204,10 +204,11 @@ def _communities(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
-    """One task over the whole graph, after a check that it is small; no rows beyond the bound."""
+    """One task over the whole graph, after a check that it is small; an error beyond the bound."""
     edges = cut(edges)
-    if edges.count() > MAX_WHOLE_EDGES:
-        return edges.sparkSession.createDataFrame([], schema)
+    n = edges.count()
+    if n > MAX_WHOLE_EDGES:
+        raise ValueError(f"the graph has {n} edges; one task holds at most {MAX_WHOLE_EDGES}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [p for p in parts if len(p)]
@@ -218,12 +219,12 @@ def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(id, betweenness) over shortest paths of length 1/weight; nothing beyond ``MAX_WHOLE_EDGES`` edges."""
+    """(id, betweenness) over shortest paths of length 1/weight; an error beyond ``MAX_WHOLE_EDGES`` edges."""
     return _whole(edges, _betweenness, "id string, betweenness double")
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """(id, community) by greedy modularity; nothing beyond ``MAX_WHOLE_EDGES`` edges."""
+    """(id, community) by greedy modularity; an error beyond ``MAX_WHOLE_EDGES`` edges."""
     return _whole(edges, _communities, "id string, community bigint")
 
 
