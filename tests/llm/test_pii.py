@@ -1,13 +1,13 @@
 """Personal items: held-out sentences, traps, placeholders and odd inputs."""
 
-from threadloom.llm.pii import TYPES, Finder, find_items, model, redact
+from threadloom.llm.pii import TYPES, Finder, find_items, fit, model, redact
 from threadloom.llm.pii_table import labelled_table
 
 
-def test_held_out_sentences():
-    finder = Finder(model())
+def test_frames_and_names_never_seen():
+    finder = Finder(fit(labelled_table(share="learn")))
     want, texts = [], []
-    for sentence in labelled_table(600, seed=99):
+    for sentence in labelled_table(1500, seed=99, share="held"):
         at, own = 0, set()
         for piece, kind in sentence:
             if kind:
@@ -16,28 +16,59 @@ def test_held_out_sentences():
         want.append(own)
         texts.append("".join(p for p, _ in sentence))
     got = [{(k, lo) for k, lo, _ in own} for own in finder.texts(texts)]
+
+    def f1(kinds):
+        hit = sum(x[0] in kinds for g, w in zip(got, want, strict=True) for x in g & w)
+        found = sum(x[0] in kinds for g in got for x in g)
+        there = sum(x[0] in kinds for w in want for x in w)
+        return 2 * hit / (found + there)
+
+    assert f1(TYPES) > 0.9
     for kind in TYPES:
-        hit = sum(len({x for x in g & w if x[0] == kind}) for g, w in zip(got, want, strict=True))
-        found = sum(x[0] == kind for g in got for x in g)
-        there = sum(x[0] == kind for w in want for x in w)
-        assert hit / found > 0.95 and hit / there > 0.95, kind
+        assert f1([kind]) > 0.84, kind
+
+
+#: Sentences by hand, with people, numbers and a language that the labelled table doesn't hold.
+OTHERS = {
+    "Yesterday John Smith called the office.": [("name", "John Smith")],
+    "I met Priya Raghunathan at the conference": [("name", "Priya Raghunathan")],
+    "Fatima Al-Sayed approved the budget": [("name", "Fatima Al-Sayed")],
+    "Emily Watson will join us": [("name", "Emily Watson")],
+    "Guadalupe Hernández llegó tarde a la reunión": [("name", "Guadalupe Hernández")],
+    "Michael O'Brien wrote the report": [("name", "Michael O'Brien")],
+    "Il signor Giovanni Esposito è arrivato": [("name", "Giovanni Esposito")],
+    "Встреча с Анной Петровной Соколовой": [("name", "Анной Петровной Соколовой")],
+    "А.Ли": [("name", "А.Ли")],
+    "my SSN is 078-05-1120": [("id_number", "078-05-1120")],
+    "call +33 1 42 68 53 00 tomorrow": [("phone", "+33 1 42 68 53 00")],
+    "llámame al +52 55 1234 5678": [("phone", "+52 55 1234 5678")],
+    "live at 221B Baker Street": [("address", "221B Baker Street")],
+    f"box {'very-' * 30}long.name@mail.example ok": [("email", f"{'very-' * 30}long.name@mail.example")],
+}
+
+
+def test_sentences_by_hand():
+    texts = list(OTHERS)
+    got = [[(k, t[lo:hi]) for k, lo, hi in own] for t, own in zip(texts, Finder(model()).texts(texts), strict=True)]
+    wrong = [(t, g) for t, g in zip(texts, got, strict=True) if g != OTHERS[t]]
+    assert len(wrong) <= 1, wrong
 
 
 CASES = {
-    "это подпишет Горшытова Агния": [("name", 13)],
-    "send it to o'hal_6@tulip.invalid please": [("email", 11)],
-    "звони +7 (095) 555-12-46": [("phone", 6)],
-    "паспорт 0012 345678": [("id_number", 8)],
-    "deliver to 12B Old Tannery Road, please": [("address", 11)],
+    "отчёт проверит Лебедева Софья": [("name", 15)],
+    "forward to o'neil_6@acme.example please": [("email", 11)],
+    "звони +7 (912) 345-12-46": [("phone", 6)],
+    "паспорт 4512 345678": [("id_number", 8)],
+    "ship it to 12B Old Cedar Road, please": [("address", 11)],
     "версия 6.29.21 стоит, узел 192.0.2.7 отвечает": [],
-    "@plan_b_team please have a look at the pump": [],
-    "Новый Год близко, а отчёт не готов": [],
-    "Seven Kilns is a nice title for the ledger": [],
+    "@night_owls check the oven later": [],
+    "Первый Снег выпал, а отчёт не готов": [],
+    "Two Rivers is a good title for the book": [],
 }
 
 
 def test_by_hand_in_spark(spark):
-    texts = [*CASES, None, "", "\n\n", "x" * 50_000, "слово " * 30_000 + "почта m.orne5@verft.test, жду", "a\n🙂🙂 пиши на zlata_7@tulip.invalid"]
+    texts = [*CASES, None, "", "\n\n", "x" * 50_000, "слово " * 30_000 + "почта lena.k5@acme.example, жду", "a\n🙂🙂 пиши на vera_7@acme.example"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, "k long, text string, row_key string")
     got = {}
     for x in find_items(df, "k", "text").collect():
@@ -46,9 +77,9 @@ def test_by_hand_in_spark(spark):
         mine = sorted(got.get(i, []))
         if t in CASES:
             assert mine == sorted(CASES[t] * 2), t
-        elif t and "m.orne5" in t:
+        elif t and "lena.k5" in t:
             assert mine == [("email", 180_006)] * 2
-        elif t and "zlata_7" in t:
+        elif t and "vera_7" in t:
             assert mine == [("email", 13)] * 2
         else:
             assert mine == []
@@ -56,6 +87,6 @@ def test_by_hand_in_spark(spark):
 
 
 def test_placeholders(spark):
-    rows = [(1, "пиши на x@tulip.invalid, звони +7 (095) 555-12-46"), (2, None), (3, "nothing here"), (4, "")]
+    rows = [(1, "пиши на x@acme.example, звони +7 (912) 345-12-46"), (2, None), (3, "nothing here"), (4, "")]
     got = {x.k: (x.redacted, x.n_items) for x in redact(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()}
     assert got == {1: ("пиши на [EMAIL], звони [PHONE]", 2), 2: (None, 0), 3: ("nothing here", 0), 4: ("", 0)}

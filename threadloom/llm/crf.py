@@ -8,6 +8,8 @@ import numpy as np
 
 #: Offsets of the tokens whose features bear on a label.
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+#: One block of weights per offset, and one for the token's mark: what it is part of or stands in.
+BLOCKS = len(OFFSETS) + 1
 
 
 class TokenScores:
@@ -55,8 +57,11 @@ class TokenScores:
         return np.fromiter((known[t] if t in known else score(t) for t in tokens), np.int64, len(tokens))
 
 
-def emissions(table: np.ndarray, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Label scores (tokens, labels) of concatenated sequences; ``begins`` and ``ends`` give each token's sequence."""
+def emissions(table: np.ndarray, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Label scores (tokens, labels) of concatenated sequences; ``begins`` and ``ends`` give each token's sequence.
+
+    ``marks`` are the rows of the tokens' marks.
+    """
     n = len(ids)
     place = np.arange(n)
     out = np.zeros((n, table.shape[2]), np.float32)
@@ -64,6 +69,7 @@ def emissions(table: np.ndarray, ids: np.ndarray, begins: np.ndarray, ends: np.n
         at = place + offset
         inside = (at >= begins) & (at < ends)
         out[inside] += table[ids[at[inside]], k]
+    out += table[marks, len(OFFSETS)]
     return out
 
 
@@ -103,11 +109,20 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transit
 class _Fold:
     """A share of the training sentences, longest first, with everything a step needs to know of it."""
 
-    def __init__(self, sequences: list[Sequence[str]], labels: list[Sequence[int]], k: int, features: Callable[[str], Iterable[str]], index: dict[str, int]) -> None:
+    def __init__(
+        self,
+        sequences: list[Sequence[str]],
+        marks: list[Sequence[str]],
+        labels: list[Sequence[int]],
+        k: int,
+        features: Callable[[str], Iterable[str]],
+        index: dict[str, int],
+    ) -> None:
         vocabulary: dict[str, int] = {}
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         self.length = np.array([len(sequences[i]) for i in order])
         self.flat = np.array([vocabulary.setdefault(t, len(vocabulary)) for i in order for t in sequences[i]])
+        self.marks = np.array([vocabulary.setdefault(m, len(vocabulary)) for i in order for m in marks[i]])
         self.gold = np.array([y for i in order for y in labels[i]])
         self.size, self.n, self.k = len(vocabulary), len(order), k
         pairs = np.array([(index[f], v) for v, t in enumerate(vocabulary) for f in dict.fromkeys(features(t)) if f in index])
@@ -128,9 +143,9 @@ class _Fold:
 
     def slopes(self, weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, decay: float) -> list[np.ndarray]:
         """Slopes of the mean negative log-likelihood with weight decay."""
-        table = np.zeros((self.size, len(OFFSETS), self.k), np.float32)
+        table = np.zeros((self.size, BLOCKS, self.k), np.float32)
         table[self.which_v] = np.add.reduceat(weights[self.pair_f], self.edge_v, axis=0)
-        score = emissions(table, self.flat, self.begins, self.ends)
+        score = emissions(table, self.flat, self.begins, self.ends, self.marks)
         # Forward and backward chances, scaled to one at every token.
         local = np.exp(score - score.max(1, keepdims=True))
         move = np.exp(transitions)
@@ -156,6 +171,8 @@ class _Fold:
             tokens = self.flat[at[inside]]
             for label in range(self.k):
                 by_token[:, o, label] = np.bincount(tokens, off[inside, label], minlength=self.size)
+        for label in range(self.k):
+            by_token[:, -1, label] = np.bincount(self.marks, off[:, label], minlength=self.size)
         of_features = decay * weights
         of_features[self.which_f] += np.add.reduceat(by_token[self.pair_v], self.edge_f, axis=0) / self.n
         return [of_features, (pairs - self.pairs) / self.n + decay * transitions, off[self.starts].sum(0) / self.n]
@@ -163,31 +180,32 @@ class _Fold:
 
 def train(
     sequences: Sequence[Sequence[str]],
+    marks: Sequence[Sequence[str]],
     labels: Sequence[Sequence[int]],
     n_labels: int,
     features: Callable[[str], Iterable[str]],
-    steps: int = 100,
-    folds: int = 4,
+    steps: int = 240,
+    folds: int = 8,
     rate: float = 0.12,
     decay: float = 2e-4,
-    least: int = 2,
+    least: int = 3,
 ) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
     """(weights, feature index, transitions, first): maximum likelihood by Adam with weight decay.
 
-    Each step takes the next of ``folds`` shares of the sentences; features seen on fewer than ``least``
+    ``marks`` tell what each token is part of or stands in. Each step takes the next of ``folds`` shares of the sentences; features seen on fewer than ``least``
     tokens are left out.
     """
     counts: dict[str, int] = {}
     seen: dict[str, int] = {}
-    for sequence in sequences:
+    for sequence in (*sequences, *marks):
         for token in sequence:
             seen[token] = seen.get(token, 0) + 1
     for token, n in seen.items():
         for f in dict.fromkeys(features(token)):
             counts[f] = counts.get(f, 0) + n
     index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
-    parts = [_Fold(list(sequences[i::folds]), list(labels[i::folds]), n_labels, features, index) for i in range(folds)]
-    shapes = ((len(index), len(OFFSETS), n_labels), (n_labels, n_labels), (n_labels,))
+    parts = [_Fold(list(sequences[i::folds]), list(marks[i::folds]), list(labels[i::folds]), n_labels, features, index) for i in range(folds)]
+    shapes = ((len(index), BLOCKS, n_labels), (n_labels, n_labels), (n_labels,))
     parameters, moment, spread = ([np.zeros(s, np.float32) for s in shapes] for _ in range(3))
     for step in range(1, steps + 1):
         pace = rate * min(1.0, 2.0 * (steps - step + 1) / steps)

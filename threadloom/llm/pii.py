@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -12,18 +13,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.crf import TokenScores, emissions, train, viterbi
-from threadloom.llm.pii_table import EN_GIVEN, RU_MEN, RU_WOMEN, TYPES, labelled_table
+from threadloom.llm.pii_table import TYPES, labelled_table
 
 #: Labels: 0 outside, then the first and the further tokens of each type.
 N_LABELS = 1 + 2 * len(TYPES)
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 
 _TOKEN = re.compile(r"[^\S\n]+|[^\W\d_]+|\d+|.|\n", re.DOTALL)
-#: Marks a token that follows the one before without a blank.
-GLUED = "\x01"
+#: Marks a token that follows the one before without a blank, a word whose spelling is hidden, a chain of numbers, and the
+#: shapes around a token.
+GLUED, HIDDEN, CHAIN, AROUND = "\x01", "\x02", "\x03", "\x04"
+#: Shares of the words of names, and of other words, in the labelled table whose spelling is hidden, so that shapes and
+#: neighbours are learned too.
+HIDE_NAMES, HIDE_OTHERS = 0.5, 0.3
+#: Shapes: border, capital alone, capitals, capitalised, small, mixed, number, and signs of which some stand for themselves.
+_SHAPES = "^IUClm9s.,-'(@№"
 _WIDE = {ord("０") + i: str(i) for i in range(10)}
-_FORMS = re.compile(r"(ия|ии|ию|ией|ем|ой|ей|ом|ам|[аяуюыиейь])$")
-_GIVEN = {_FORMS.sub("", w.lower()) for w in (*RU_MEN, *RU_WOMEN)} | {w.lower() for w in EN_GIVEN} | {"льв", "петр", "павл"}
+#: Numbers, and codes of capitals and digits, with what may stand between their groups.
+_CHAIN = re.compile(
+    r"(?:[+＋][(（]?|[(（])?(?:[A-Z]{1,4}[ -]?(?=\d))?\d[\dA-Z]*(?:(?:[ \u00a0.\-‑–/№)）(（]|[)）][ \u00a0-]|[ \u00a0][(（]|[ \u00a0]№[ \u00a0]?)[A-Z]{0,2}\d[\dA-Z]*)*(?:[ -]?[A-Z](?![^\W\d_]))?"
+)
+
+
+def chains_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, pattern) of the chains of numbers in a text; the pattern keeps signs and lengths of groups."""
+    return [(m.start(), m.end(), CHAIN + _pattern(m.group())) for m in _CHAIN.finditer(text)]
+
+
+@lru_cache(maxsize=500_000)
+def _shape(token: str) -> int:
+    """Number of a token's shape in ``_SHAPES``."""
+    if token[:1].isalpha():
+        kind = ("I" if len(token) == 1 else "U") if token.isupper() else "l" if token.islower() else "C" if token[0].isupper() and token[1:].islower() else "m"
+    else:
+        kind = "9" if token.isdigit() else token if token in _SHAPES[8:] else "s"
+    return _SHAPES.index(kind)
+
+
+def surroundings(shapes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One number per token for its shape and those of two neighbours on each side within its sequence."""
+    place, code = np.arange(len(shapes)), np.zeros(len(shapes), np.int64)
+    for offset in (-2, -1, 0, 1, 2):
+        at = place + offset
+        inside = (at >= begins) & (at < ends)
+        code *= len(_SHAPES)
+        code[inside] += shapes[at[inside]]
+    return code
+
+
+def around(code: int) -> str:
+    """The mark of a number of ``surroundings``."""
+    out = ""
+    for _ in range(5):
+        code, kind = divmod(code, len(_SHAPES))
+        out = _SHAPES[kind] + out
+    return AROUND + out
+
+
+@lru_cache(maxsize=200_000)
+def _pattern(chain: str) -> str:
+    chain = chain.translate(_WIDE)
+    first = re.match(r"[^\d]*(00|0|[789]|\d)", chain)
+    shape = re.sub(r"\d+", lambda m: str(len(m.group())), re.sub(r"[A-Z]", "A", chain.replace("\u00a0", " ").replace("‑", "-").replace("–", "-")))
+    return f"{first.group(1) if first and first.group(1) in ('00', '0', '7', '8', '9') else '5'}|{sum(map(str.isdigit, chain))}|{shape[:40]}"
 
 
 def tokens_of(text: str) -> list[str]:
@@ -33,6 +85,8 @@ def tokens_of(text: str) -> list[str]:
 
 def normal_form(token: str) -> str:
     """What the features of a token depend on: digits but leading zeros are alike."""
+    if token[0] in (CHAIN, AROUND):
+        return token
     if token.isdigit():
         plain = token.translate(_WIDE)
         wide = "w" if plain != token else ""
@@ -44,12 +98,32 @@ def normal_form(token: str) -> str:
 
 def features(token: str) -> Iterable[str]:
     """Word-shape features of a token in normal form; GLUED before it tells that no blank stands there."""
+    if token[0] == CHAIN:
+        first, digits, shape = token[1:].split("|", 2)
+        signs = "".join(sorted(set(re.sub(r"[\dA]", "", shape))))
+        start = shape[0] if shape[0] in "+＋(（A" else first
+        yield "chain"
+        yield f"chain:{shape}"
+        yield f"chain:{first}:{shape}"
+        yield f"chain:{digits}"
+        yield f"chain:{start}:{digits}"
+        yield f"chain:{signs}:{min(len(re.findall(r'[0-9]+', shape)), 6)}"
+        yield f"chain:{start}:{signs}"
+        if "A" in shape:
+            yield f"chain:letters:{shape.count('A')}:{digits}"
+        return
+    if token[0] == AROUND:
+        for lo, hi in ((0, 5), (0, 3), (1, 3), (1, 4), (2, 4), (2, 5)):
+            yield f"around{lo}:{token[1 + lo : 1 + hi]}"
+        return
     yield "bias"
     if token[0] == GLUED:
         yield "glued"
         token = token[1:]
         if not token[:1].isalnum():
             yield "glued=" + token
+    hidden = token[:1] == HIDDEN
+    token = token[hidden:]
     if token[-1:] in "0123456789":
         yield "number"
         yield f"number:{min(len(token), 13)}"
@@ -67,61 +141,81 @@ def features(token: str) -> Iterable[str]:
     yield "word"
     yield "shape:" + shape
     yield f"shape:{shape}:{script}"
-    yield "=" + low
     yield f"long:{min(len(low), 12)}"
-    for n in (2, 3, 4, 5):
+    for n in (2, 3, 4):
         if len(low) > n:
             yield f"end{n}:" + low[-n:]
     if len(low) > 3:
-        yield "start3:" + low[:3]
         yield f"{shape}:end3:{low[-3:]}"
-    if low in _GIVEN or _FORMS.sub("", low) in _GIVEN:
-        yield "given"
-        yield "given:" + shape
+    if not hidden:
+        yield "=" + low
+        if len(low) > 4:
+            yield "start4:" + low[:4]
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
-    """The trained field; training takes some seconds once per process that asks for it."""
-    sequences, labels = [], []
-    for sentence in labelled_table():
+def fit(table: Iterable[list[tuple[str, str | None]]]) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
+    """The field that a labelled table of sentences teaches."""
+    chance = random.Random(11)
+    sequences, marks, labels = [], [], []
+    for sentence in table:
         tokens: list[str] = []
-        marks: list[int] = []
+        parts: list[str] = []
+        own: list[int] = []
+        shapes: list[int] = []
         # Pieces are split together, as running text would be.
         text = "".join(p for p, _ in sentence)
         owner = np.concatenate([np.full(len(p), i) for i, (p, _) in enumerate(sentence)])
+        chain_at = {i: pattern for lo, hi, pattern in chains_of(text) for i in range(lo, hi)}
         at, before, glued = 0, -1, False
         for token in tokens_of(text):
-            piece = int(owner[at])
+            piece, begin = int(owner[at]), at
             at += len(token)
             if token.isspace():
                 glued = False
                 continue
             kind = sentence[piece][1]
-            marks.append(0 if kind is None else 1 + 2 * TYPES.index(kind) + (before == piece))
-            tokens.append(GLUED * glued + normal_form(token))
+            own.append(0 if kind is None else 1 + 2 * TYPES.index(kind) + (before == piece))
+            hide = token[0].isalpha() and chance.random() < (HIDE_NAMES if kind == "name" else HIDE_OTHERS)
+            shapes.append(_shape(token))
+            tokens.append(GLUED * glued + HIDDEN * hide + normal_form(token))
+            parts.append(chain_at.get(begin, ""))
             before, glued = piece, True
+        size = np.full(len(tokens), len(tokens))
+        codes = surroundings(np.array(shapes, np.int64), np.zeros_like(size), size)
         sequences.append(tokens)
-        labels.append(marks)
-    return train(sequences, labels, N_LABELS, features)
+        marks.append([part or around(int(code)) for part, code in zip(parts, codes, strict=True)])
+        labels.append(own)
+    return train(sequences, marks, labels, N_LABELS, features)
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
+    """The trained field; training takes some seconds once per process that asks for it."""
+    return fit(labelled_table())
 
 
 # ------------------------------------------------------------------------------------------- exact check
 
 _MAIL = re.compile(
-    r"[\w.+'’-]+(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|собака)\s?[\])}]\s?|\s+(?:собака|arroba)\s+|\s+at\s+(?=[\w-]+\s+dot\s))"
-    r"[\w-]+(?:(?:\.|\s?[\[({]\s?(?:dot|точка)\s?[\])}]\s?|\s+(?:точка|dot|punto)\s+)[\w-]+)*",
+    r"(?<![\w.+'’-])[\w.+'’-]++(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|собака|arroba)\s?[\])}]\s?|\s+(?:собака|arroba)\s+|\s+at\s+(?=[\w-]+\s+dot\s))"
+    r"[\w-]+(?:(?:\.|\s?[\[({]\s?(?:dot|точка|punto)\s?[\])}]\s?|\s+(?:точка|dot|punto)\s+)[\w-]+)*",
     re.IGNORECASE,
 )
 _NUMBER_START = re.compile(r"[+＋(（]*\d|[A-Za-z]")
 _PHONE_START = re.compile(r"[+＋]?[(（]?\d")
 
 
+@lru_cache(maxsize=64)
+def _mails(line: str) -> list[re.Match]:
+    """Everything in a line that is spelled like a mailbox; once per line, however many items it holds."""
+    return list(_MAIL.finditer(line))
+
+
 def _check(kind: str, line: str, lo: int, hi: int) -> tuple[int, int] | None:
     """The exact bounds of a candidate item, or None where it can't be one."""
     text = line[lo:hi]
     if kind == "email":
-        for m in _MAIL.finditer(line, max(0, lo - 40), min(len(line), hi + 60)):
+        for m in _mails(line):
             if m.start() < hi and lo < m.end():
                 host = re.split(r"[@＠]|\bat\b|собака|arroba", m.group(), flags=re.IGNORECASE)[-1]
                 tail = re.split(r"[.\s\])}]", host.strip(" ])}."))[-1]
@@ -144,7 +238,7 @@ def _check(kind: str, line: str, lo: int, hi: int) -> tuple[int, int] | None:
     if kind == "address":
         return (lo + m.start(), hi) if any(ch.isdigit() for ch in text) and re.search(r"[^\W\d_]{2}", text) else None
     words = re.findall(r"[^\W\d_]+", text)
-    if len(words) < 2 or not any(len(w) > 2 for w in words):
+    if len(words) < 2 or not any(len(w) > 1 for w in words):
         return None
     return lo + m.start(), hi
 
@@ -169,16 +263,25 @@ class Finder:
         keep = np.flatnonzero(~blank)
         if not len(keep):
             return found
+        spans = chains_of("\n".join(lines))
+        kept = [tokens[i] for i in keep]
         line_of = np.cumsum(feed)[keep]
-        ids = self.scores.ids([tokens[i] for i in keep])
+        starts = np.flatnonzero(np.r_[True, np.diff(line_of) > 0])
+        lengths = np.diff(np.r_[starts, len(keep)])
+        begins, ends = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+        codes, which = np.unique(surroundings(np.fromiter(map(_shape, kept), np.int64, len(kept)), begins, ends), return_inverse=True)
+        every = self.scores.ids(kept + [around(int(c)) for c in codes] + [c[2] for c in spans])
+        ids, marks, rows = np.split(every, [len(kept), len(kept) + len(codes)])
+        marks = marks[which]
         glued = np.zeros(len(keep), np.int64)
         glued[1:] = (np.diff(keep) == 1) & (np.diff(line_of) == 0)
         ids += glued
-        new = np.r_[True, np.diff(line_of) > 0]
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.r_[starts, len(keep)])
-        begins, ends = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
-        score = emissions(self.scores.table, ids, begins, ends)
+        chain_from = np.array([c[0] for c in spans], np.int64)
+        chain_to = np.array([c[1] for c in spans], np.int64)
+        inside = np.searchsorted(chain_from, start[keep], side="right") - 1
+        chained = np.flatnonzero((inside >= 0) & (start[keep] < np.append(chain_to, 0)[inside]))
+        marks[chained] = rows[inside[chained]]
+        score = emissions(self.scores.table, ids, begins, ends, marks)
         labels = viterbi(score, starts, lengths, self.transitions, self.first)
         kind = (labels + 1) // 2  # 0 outside, then the type from 1
         inside = np.flatnonzero(kind)
@@ -207,7 +310,7 @@ class Finder:
         for text in texts:
             at, own = 0, []
             for line in (text or "").split("\n"):
-                if len(line) > 4:
+                if line:
                     own.append((number.setdefault(line, len(number)), at))
                 at += len(line) + 1
             where.append(own)
@@ -246,7 +349,7 @@ def find_items(rows: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.where(F.length(text) > 4).select(key, text).mapInArrow(
+    return rows.where(F.length(text) > 0).select(key, text).mapInArrow(
         run, f"row_key {kind}, pii_type string, start_codepoint bigint, end_codepoint bigint"
     )
 
