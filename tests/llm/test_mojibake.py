@@ -75,3 +75,26 @@ def test_single_signs_and_letters_restored(spark):
     got = run(spark, [garble(t, "cp1252") for t in clean])
     assert [x.repaired for x in got[: len(clean)]] == clean
     assert [x.repaired for x in got[len(clean) :]] == BODY
+
+
+#: (text, written in, read as): western and Central European letters, two letters alone, and UTF-16.
+SHORT = [
+    ("ok да ok", "koi8-r", "cp1251"), ("größer", "latin-1", "cp1251"), ("señor Núñez", "latin-1", "cp437"), ("größer", "utf-8", "cp1250"), ("żółw śpi", "utf-8", "cp1250"),
+    ("é já não", "cp1252", "mac_roman"), ("größer Text", "utf-16-le", "latin-1"), ("Привет всем", "utf-16-le", "latin-1"), ("nada más", "utf-8", "mac_roman"),
+]
+
+
+def test_other_encodings_and_short_runs(spark):
+    texts = [t.encode(w).decode(r, "replace") if "utf-8" != w else garble(t, r) for t, w, r in SHORT]
+    got = run(spark, texts)
+    wrong = [(t, x.repaired) for (t, _, _), x in zip(SHORT, got) if x.repaired != t]
+    assert len(wrong) <= 2, wrong
+    assert [x.repaired for x in got[len(SHORT) :]] == BODY
+
+
+def test_layers_are_undone_to_the_last(spark):
+    text = clean = "Überprüfung der Größe"
+    for _ in range(6):
+        text = garble(text, "cp1252")
+    got = run(spark, [text])[0]
+    assert (got.repaired, got.layers) == (clean, 6)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,42 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of wrong decoding that are undone at most.
-LAYERS = 4
-#: Encodings as which UTF-8 bytes may have been read, likeliest first.
-READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850")
+#: Encodings as which UTF-8 bytes may have been read.
+READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "iso8859-15")
+_CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
+_WESTERN = ("cp1252", "cp850", "mac_roman", "cp1250", "iso8859-2")
+_OTHER = ("latin-1", "cp437")
 #: (encoding the text was written in, encoding it was read as), both with one byte per character.
-SWAPPED = (
-    ("cp1251", "cp1252"),
-    ("cp1251", "latin-1"),
-    ("koi8-r", "cp1251"),
-    ("cp1251", "koi8-r"),
-    ("cp866", "cp1251"),
-    ("cp1251", "cp866"),
-    ("koi8-r", "cp1252"),
-    ("koi8-r", "latin-1"),
-    ("cp866", "cp1252"),
-    ("cp866", "latin-1"),
-    ("cp866", "koi8-r"),
-    ("koi8-r", "cp866"),
-    ("iso8859-5", "cp1251"),
-    ("cp1251", "iso8859-5"),
-    ("cp1251", "mac_roman"),
-    ("cp1251", "mac_cyrillic"),
-    ("mac_cyrillic", "cp1251"),
-)
-#: A swap is accepted when the cost in nats falls by so much in all and per character.
-GAIN, GAIN_PER_CHAR = 9.0, 1.2
-#: What a swap restores must cost less than so many nats per character.
-SOUND = 4.2
-#: UTF-8 runs that the rules leave alone are accepted when the cost falls by so much, and before quotation marks.
-FALL, FALL_QUOTING = 2.0, 3.0
-#: Nats for a restored character that the cost model doesn't tell apart.
-UNKNOWN = 8.0
-#: Nats for capitals inside a run.
-ODD_CASE = 2.0
-#: Sound text that is counted with every corpus, so many times, as what swaps restore is Cyrillic.
-SAMPLE_COUNTS = 30
+SWAPPED = tuple((w, r) for w in (*_CYRILLIC, *_WESTERN) for r in (*_CYRILLIC, *_WESTERN, *_OTHER) if w != r)
+#: A passage is restored when its cost falls by so many nats: UTF-8 read as another encoding, and one one-byte encoding as another.
+FALL, FALL_SWAPPED = 4.0, 9.0
+#: Nats that any character saves by going, which is no merit of a reading that joins several into one.
+PER_CHAR = 1.8
+#: Nats that each character of a swapped passage must save besides, since so many swaps are tried.
+FALL_PER_CHAR = 0.6
+#: A run of which each character costs less than this is sound as written, and no swap is tried.
+SOUND = 3.0
+#: Share that the classes of characters have in the chance of a pair, and the count of a pair of classes never seen.
+CLASS_SHARE, CLASS_SMOOTH = 0.03, 0.02
+REPLACEMENT = "�"
+#: Sound text that is counted with every corpus, so many times, so that Cyrillic is known to a corpus without it.
+SAMPLE_COUNTS = 100
 SAMPLE = (
     "Когда наступила весна, мы решили вернуться в старый дом у реки. Дорога была долгой, но никто не жаловался: дети смотрели в окно, "
     "а взрослые вспоминали, что было здесь раньше. Вечером хозяин рассказал нам, как они жили эти годы, почему уехал его брат и кто теперь "
@@ -55,17 +39,24 @@ SAMPLE = (
     "Сегодня цены выше, чем вчера, и поэтому каждый покупатель считает деньги. Шум машин, холодный ветер, жёлтый свет фонаря — всё "
     "казалось чужим. Пожалуйста, передайте отцу письмо и общую фотографию; об этом просила его сестра, которую он давно не видел. "
     "Сьогодні ми знову їдемо до міста, щоб побачити друзів і купити ґудзики; є надія, що погода буде кращою, ніж учора. Їхній дім "
-    "стоїть біля лісу, де живе їжак, а в єдиному вікні ще горить світло."
+    "стоїть біля лісу, де живе їжак, а в єдиному вікні ще горить світло. "
+    "Später fuhren wir über die Brücke nach Köln, wo größere Häuser stehen; dort dürfen Gäste müde Füße ausruhen. Über Österreich weiß er natürlich mehr. "
+    "L’été dernier, à Besançon, le garçon a mangé une crêpe près de l’hôtel où sa sœur était déjà allée ; ça coûtait 5 € à Noël. Être là, voilà. "
+    "Mañana el señor Núñez irá a León; ¿qué más dirá? ¡Nadie lo sabrá aún! El pingüino comió después, según él. "
+    "Não há razão para ficar aí: amanhã vocês virão à estação, e três irmãs também. A maçã está lá, avó. "
+    "Zażółć gęślą jaźń; żółw śpi, bo jest już późno. Łódź płynie wśród źdźbeł, a dziś pięć osób tańczy. Příliš žluťoučký kůň úpěl ďábelské ódy. Szép őszi idő, hűvös eső. "
+    "Når våren kommer, går vi på den gamle stien; på øya spiser vi smør og brød. Från början såg hon två små båtar på sjön. Het geïnde bedrag, coöperatie. O relatório é ótimo, só há três episódios. "
+    "«Да… возможно», — сказал он; её дом, твоё имя, моё дело. Её, моё, «Ё», «С», «В», «А» и «Б», класс «К»; А… и Б…, С… или Я… Р… В… К… О…, РФ, США, СПб, МВД, ГОСТ, г. Москва, п. 5, № 7 и №8 — всё. "
+    "It wasn’t easy – “maybe,” she’d said… and then… ‘no’—never… • one • two; 20 °C ± 1, 5 × 3, § 4, ½ l, ¼, ¾, x², © 2020, TM™, A® B. «Oui… peut-être», dit-il… „Nein…“, sagte er… "
+    "ÉTÉ, NÃO, ÜBER, SEÑOR, ÇA, ÀS, É, Â, Å, ÖL, À, Ø, ÉCOLE; nº 5, nº 8, 1ª, 2º, 3.º; « Oui », dit-il, « non » ; 10 €, £5, ¥9; → ← ≈ ≤ ≥ ≠ √2 ∞ Δx, μ = 1, σ, π.\n├── a\n│   └── b\n═══"
 )
-#: Beside an accepted swap of the same line, any fall is enough.
-REPLACEMENT = "�"
 
 # ---------------------------------------------------------------------------------------------- bytes
 
 
 @lru_cache(maxsize=64)
 def _byte_of(codec: str) -> dict[str, int]:
-    """Byte of each character of a one-byte encoding above ASCII; undefined bytes stand for themselves."""
+    """Byte of each character of a one-byte encoding above ASCII; a byte it doesn't define is read as the control of that number."""
     table = {}
     for b in range(0x80, 0x100):
         try:
@@ -109,39 +100,176 @@ def _sequences(codec: str) -> re.Pattern:
 
 
 @lru_cache(maxsize=64)
-def _ends(codec: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Characters that can begin, and that can go on, a UTF-8 sequence read as ``codec``."""
-    table = _byte_of(codec)
-    return frozenset(c for c, b in table.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in table.items() if b < 0xC0)
+def _roles(codec: str) -> np.ndarray:
+    """For each code point the length of the UTF-8 sequence that its byte in ``codec`` opens, 1 where it goes on, else 0."""
+    roles = np.zeros(0x110000, np.uint8)
+    for ch, b in _byte_of(codec).items():
+        roles[ord(ch)] = 1 if b < 0xC0 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+    return roles
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _sequence_starts(points: np.ndarray, codec: str) -> np.ndarray:
+    """Where sequences of UTF-8 read as ``codec`` may begin, as a mask over the code points."""
+    roles = _roles(codec)[points]
+    begins = np.zeros(len(points), bool)
+    opens = np.flatnonzero(roles[:-1] > 1)
+    opens = opens[roles[opens + 1] == 1]
+    for n in (3, 4):
+        far = roles[opens] >= n
+        end = np.minimum(opens + n - 1, len(points) - 1)
+        opens = opens[~far | (roles[end] == 1)]
+    begins[opens] = True
+    return begins
+
+
+@lru_cache(maxsize=256)
+def _exchange(written: str, read: str) -> dict[int, str]:
+    """Character as which each one beyond ASCII of ``read`` was written in ``written``; those without one are missing."""
+    out = {}
+    for ch, b in _byte_of(read).items():
+        try:
+            out[ord(ch)] = bytes([b]).decode(written)
+        except UnicodeDecodeError:
+            continue
+    return out
 
 
 # ----------------------------------------------------------------------------------------------- cost
 
-#: Characters that the cost model tells apart; all others count as a border.
-_ALPHABET = np.zeros(0x110000, np.int32)
-_SEEN = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x180), *range(0x400, 0x530), *range(0x2010, 0x2027), *range(0x2500, 0x25A1), 0x20AC, 0x2116, 0x2122]
-_ALPHABET[_SEEN] = np.arange(1, len(_SEEN) + 1)
-ALPHABET_SIZE = len(_SEEN) + 1
 
-
-def _codes(text: str) -> np.ndarray:
-    return _ALPHABET[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+def _class_of(n: int) -> int:
+    """One of about thirty classes: script, case and kind of sign."""
+    ch = chr(n)
+    if n < 0x80:
+        if ch.isalpha():
+            return 1 + ch.isupper()
+        return 3 if ch.isdigit() else 0 if ch in " \t\r\n" else 4 if ch in ".,;:!?" else 5 if ch in "\"'()[]{}<>" else 6 if n >= 0x20 else 7
+    if n < 0xA0:
+        return 7
+    if n == 0xA0 or 0x2000 <= n <= 0x200B:
+        return 8
+    if ch in "«„“‘‚‹":
+        return 9
+    if ch in "»”’›":
+        return 10
+    if ch in "–—…•":
+        return 11
+    if ch in "¡¿":
+        return 12
+    if n < 0xC0 or n in (0xD7, 0xF7):
+        return 14 if ch in "§°±№²³¼½¾©®" else 13
+    if n < 0x100:
+        return 15 + ch.isupper()
+    if n < 0x250:
+        return 17 + ch.isupper()
+    if 0x370 <= n < 0x400:
+        return 19
+    if 0x410 <= n <= 0x44F or n in (0x401, 0x451):
+        return 20 + ch.isupper()
+    if 0x400 <= n < 0x530:
+        return 22 + ch.isupper()
+    if 0x2500 <= n < 0x25A0:
+        return 24
+    if n in (0x2116, 0x20AC):
+        return 14
+    if 0x2010 <= n < 0x2C00 or 0x2C6 <= n <= 0x2DD:
+        return 25
+    if 0x300 <= n < 0x370:
+        return 26
+    if 0x590 <= n < 0x780:
+        return 27
+    if 0x2E80 <= n < 0xE000:
+        return 28
+    if 0xE000 <= n < 0xF900 or 0xFFF0 <= n < 0x10000 or n >= 0xE0000:
+        return 29
+    if 0x1F000 <= n:
+        return 30
+    return 31
+
+
+N_CLASSES = 32
+#: Characters that the cost model tells apart; each other one counts as any character of its class.
+_SEEN = [*range(0x20, 0x7F), *range(0x80, 0x180), *range(0x2C6, 0x2DE), *range(0x391, 0x3CA), *range(0x400, 0x530), *range(0x2010, 0x2045), 0x20AC, *range(0x2100, 0x21A0), *range(0x2200, 0x2266), *range(0x2500, 0x25A1), *range(0xFB00, 0xFB07)]
+_SEEN_SET = frozenset(_SEEN)
+ALPHABET_SIZE = N_CLASSES + len(_SEEN)
+#: Nats that tell a character from the others of its class, for those that have no code of their own: the logarithm of their number.
+_WITHIN = {7: 3.5, 13: 3.0, 17: 5.0, 18: 5.0, 19: 4.5, 22: 4.0, 23: 4.0, 24: 3.0, 25: 7.0, 26: 4.7, 27: 6.0, 28: 10.6, 29: 9.0, 30: 7.0, 31: 11.5}
+#: Pairs of codes, then pairs of classes.
+TABLE_SIZE = ALPHABET_SIZE**2 + N_CLASSES**2
+#: Class of small letters for each class of capitals, and each other class itself.
+_FOLDED = np.arange(N_CLASSES)
+_FOLDED[[2, 16, 18, 21, 23]] = [1, 15, 17, 20, 22]
+
+
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each code point, class of each code point, class of each code); case has a class but no code."""
+    class_at = np.full(0x110000, 31, np.int32)
+    for lo, hi in ((0, 0x600), (0x2000, 0x2C00)):
+        class_at[lo:hi] = [_class_of(n) for n in range(lo, hi)]
+    for lo, hi in ((0x590, 0x780), (0x2E80, 0xE000), (0xE000, 0xF900), (0xFFF0, 0x10000), (0xE0000, 0x110000), (0x1F000, 0x20000)):
+        class_at[lo:hi] = _class_of(lo)
+    codes = _FOLDED[class_at]
+    codes[_SEEN] = N_CLASSES + np.arange(len(_SEEN))
+    for n in _SEEN:
+        low = chr(n).lower()
+        if len(low) == 1 and ord(low) in _SEEN_SET:
+            codes[n] = codes[ord(low)]
+    codes[class_at == 0] = 0
+    return codes, class_at, np.r_[_FOLDED, _FOLDED[class_at[_SEEN]]]
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    return _alphabet()[0][points]
+
+
+def _plain(lines: list[str]) -> list[str]:
+    """The lines without a UTF-8 sequence of three or more bytes, or two side by side, read as one encoding: they show nothing about sound text."""
+    if not lines:
+        return lines
+    points = _points("\n".join(lines) + "\n\n\n\n\n\n")
+    bad = np.zeros(len(points), bool)
+    for codec in READ_AS:
+        begins = _sequence_starts(points, codec)
+        if codec == "cp866":
+            # Sound words of small letters are such sequences, too.
+            begins &= _roles(codec)[points] == 2
+        at = np.flatnonzero(begins[:-5])
+        length = _roles(codec)[points[at]]
+        bad[at[begins[at + length] | (length > 2)]] = True
+    ends = np.flatnonzero(points == 10)
+    hit = set(np.searchsorted(ends, np.flatnonzero(bad)).tolist())
+    return [line for i, line in enumerate(lines) if i not in hit]
+
+
+def _pairs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each pair of codes and of each pair of classes of neighbours."""
+    codes, classes = _codes(points).astype(np.int64), _alphabet()[1][points]
+    return codes[:-1] * ALPHABET_SIZE + codes[1:], classes[:-1] * N_CLASSES + classes[1:]
+
+
+def count_pairs(lines: list[str]) -> np.ndarray:
+    """How often each pair of codes and each pair of classes stands in the lines, as a flat table."""
+    codes, classes = _pairs(_points("\n" + "\n".join(_plain(lines)) + "\n"))
+    return np.r_[np.bincount(codes, minlength=ALPHABET_SIZE**2), np.bincount(classes, minlength=N_CLASSES**2)]
 
 
 def pair_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each pair of characters follows one another, in lower case, over the distinct lines of all documents and ``SAMPLE``.
+    """How often each pair of characters follows one another over the distinct lines of all documents and ``SAMPLE``.
 
     Copies count once, so a garbled text doesn't become sound by being repeated. Every batch of lines is
-    counted where it is and sends its non-zero counts; the result has at most ``ALPHABET_SIZE`` squared rows
+    counted where it is and sends its non-zero counts; the result has at most ``TABLE_SIZE`` rows
     whatever the corpus holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALPHABET_SIZE * ALPHABET_SIZE, np.int64)
+        total = np.zeros(TABLE_SIZE, np.int64)
         for batch in batches:
-            joined = " ".join(t for t in batch.column(0).to_pylist() if t)
-            codes = _codes(" " + joined.lower() + " ")
-            total += np.bincount(codes[:-1] * ALPHABET_SIZE + codes[1:], minlength=len(total))
+            total += count_pairs([t for t in batch.column(0).to_pylist() if t])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["pair", "n"])
 
@@ -153,246 +281,220 @@ def pair_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    counts = np.zeros(ALPHABET_SIZE * ALPHABET_SIZE)
+    counts = np.zeros(TABLE_SIZE)
     for pair, n in rows:
         counts[pair] = n
-    codes = _codes(f" {SAMPLE.lower()} ")
-    np.add.at(counts, codes[:-1] * ALPHABET_SIZE + codes[1:], SAMPLE_COUNTS)
-    return counts.reshape(ALPHABET_SIZE, ALPHABET_SIZE)
-
+    return with_sample(counts)
 
-#: Count that a pair never seen has.
-SMOOTH = 0.02
 
+def with_sample(counts: np.ndarray) -> np.ndarray:
+    return counts + SAMPLE_COUNTS * count_pairs([SAMPLE])
 
-def cost_table(counts: np.ndarray) -> np.ndarray:
-    """Cost in nats of each character after each other one."""
-    return (np.log(counts.sum(1, keepdims=True) + SMOOTH * 200) - np.log(counts + SMOOTH)).astype(np.float32)
 
+class Costs:
+    """Garbling cost of text: nats of each character after the one before.
 
-class Repairer:
-    """Finds and restores wrongly decoded passages, given the pair counts of the corpus."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts, self.totals, self.costs = counts, counts.sum(1), cost_table(counts)
-        self._swaps: dict[str, tuple[str, tuple[str, str]] | None] = {}
-
-    def cost(self, run: str) -> float:
-        """Garbling cost of a run of characters between borders."""
-        codes = np.concatenate([[0], _codes(run.lower()), [0]])
-        return float(self.costs[codes[:-1], codes[1:]].sum())
-
-    def cost_elsewhere(self, run: str) -> float:
-        """Garbling cost of a run by what the corpus holds besides it: a run is no evidence for itself."""
-        codes = np.concatenate([[0], _codes(run.lower()), [0]])
-        first, pairs = codes[:-1], codes[:-1] * ALPHABET_SIZE + codes[1:]
-        own = (pairs[:, None] == pairs).sum(1) if len(pairs) < 1000 else np.bincount(pairs)[pairs]
-        starts = (first[:, None] == first).sum(1) if len(pairs) < 1000 else np.bincount(first)[first]
-        seen = np.maximum(self.counts.ravel()[pairs] - own, 0)
-        return float((np.log(np.maximum(self.totals[first] - starts, 0) + SMOOTH * 200) - np.log(seen + SMOOTH)).sum())
-
-    # UTF-8 read as a one-byte encoding
-
-    def _believe(self, codec: str, text: str, lo: int, hi: int, decoded: str) -> bool:
-        """Whether text[lo:hi] is better read as ``decoded``: the garbled form must be the odder one."""
-        if not all(map(_likely, decoded)):
-            return False
-        run = text[lo:hi]
-        if any(map(_ideograph, decoded)) and not (len(decoded) > 1 and all(map(_ideograph, decoded))):
-            return False
-        left = text[lo - 1] if lo else " "
-        right = text[hi] if hi < len(text) else " "
-        if all(map(_russian, run)):
-            # Letters alone: sound words don't go from a small letter to a capital.
-            if codec == "cp866":
-                return run[0].islower() and run[1].isupper() or run.startswith("ЁЯ")
-            return decoded == "и" and not left.isalpha() and not right.isalpha()
-        if hi - lo > 2:
-            return len(decoded) < 2 or not all(map(_drawing, run)) or all(map(_russian, decoded))
-        # A single character out of two: a letter and a sign may stand side by side in sound text.
-        second = run[1]
-        if 0x300 <= ord(decoded) <= 0x308:
-            return left.isalpha()
-        if decoded not in _STRICT:
-            return False
-        if codec in ("cp1252", "latin-1"):
-            if _cyrillic(decoded) and (run[0] == "Ð" or second not in _QUOTING or not left.isupper()):
-                return True
-            if decoded in "μσΔ":
-                return not left.isalpha()
-            if second in _QUOTING or second.isspace():
-                if decoded == "à":
-                    return not (left.isalpha() and left.isupper())
-                return left.isalpha() and left.islower() or right.isalpha() and right.islower()
-            return True
-        if codec in ("cp1251", "koi8-r", "cp866"):
-            latin = left.isascii() and left.isalpha() or right.isascii() and right.isalpha()
-            if second in _QUOTING or second.isspace():
-                return latin
-            return not _russian(second) or run[0] in "╨╤" or _drawing(run[0]) and latin
-        return True
-
-    def _cheaper(self, text: str, lo: int, hi: int, decoded: str) -> bool:
-        """Whether a run that the rules leave alone costs clearly more, beside its neighbours, than ``decoded``."""
-        run = text[lo:hi]
-        if not run[0].isalpha() or all(map(_russian, run)) or all(map(_drawing, run)) or not decoded.isprintable():
-            return False
-        left, right = text[max(lo - 1, 0) : lo], text[hi : hi + 1]
-        need = FALL
-        if hi - lo > 2:
-            need = max(FALL, GAIN_PER_CHAR * (hi - lo))
-        elif run[1] in _QUOTING or run[1].isspace():
-            # A letter before a quotation mark is plausible as written, in capitals or quoted.
-            if left and (left in _OPENING or left.isalpha() and not left.islower()):
-                return False
-            need = FALL_QUOTING
-        codes = np.concatenate([[0], _codes((left + decoded + right).lower()), [0]])
-        costs = self.costs[codes[:-1], codes[1:]]
-        if not any(map(str.isalpha, decoded)):
-            # Signs that no sound text of the corpus holds are no odder than half an occurrence makes them.
-            costs = np.minimum(costs, np.log(self.totals[codes[:-1]] + SMOOTH * 200) - np.log(0.5))
-        after = float(costs.sum())
-        after += UNKNOWN * sum(_ALPHABET[ord(ch)] == 0 for ch in decoded)
-        return self.cost_elsewhere(left + run + right) - after > need
-
-    def _read_as(self, codec: str, line: str) -> tuple[int, str]:
-        """(characters restored, line) with the runs that were UTF-8 read as ``codec``."""
-        out, at, covered = [], 0, 0
-        for m in _sequences(codec).finditer(line):
-            decoded = to_bytes(m.group(), codec).decode("utf-8")
-            if self._believe(codec, line, m.start(), m.end(), decoded) or self._cheaper(line, m.start(), m.end(), decoded):
-                out += [line[at : m.start()], decoded]
-                at = m.end()
-                covered += m.end() - m.start()
-        return (covered, "".join(out) + line[at:]) if covered else (0, line)
-
-    # One one-byte encoding read as another
-
-    def _swap(self, run: str) -> tuple[str, tuple[str, str]] | None:
-        """(restored run, (written, read)) of a run of characters beyond ASCII, or None."""
-        if run in self._swaps:
-            return self._swaps[run]
-        best = None
-        if len(run) > 2:
-            before = self.cost_elsewhere(run)
-            need = max(GAIN, GAIN_PER_CHAR * len(run))
-            for written, read in SWAPPED:
-                restored = self._restore(run, written, read)
-                if restored is None:
-                    continue
-                after = self.cost(restored) + _odd_case(restored)
-                if before - after > need and after < SOUND * len(restored):
-                    best, need = (restored, (written, read)), before - after
-        if len(self._swaps) > 500_000:
-            self._swaps.clear()
-        self._swaps[run] = best
-        return best
-
-    def _restore(self, run: str, written: str, read: str) -> str | None:
-        raw = to_bytes(run, read)
-        if raw is None:
-            return None
-        try:
-            restored = raw.decode(written)
-        except UnicodeDecodeError:
-            return None
-        letters = sum(map(_cyrillic, restored))
-        return restored if 2 * letters > len(restored) or restored in ("№", "«", "»", "—", "…") else None
-
-    def _swapped(self, line: str) -> tuple[int, str]:
-        """(characters restored, line) with the runs that were one one-byte encoding read as another."""
-        way: dict[tuple[str, str], int] = {}
-        for run in _RUN.findall(line):
-            if (hit := self._swap(run)) is not None:
-                way[hit[1]] = way.get(hit[1], 0) + len(run)
-        if not way:
-            return 0, line
-        written, read = max(way, key=lambda w: (way[w], w))
-
-        def better(m: re.Match) -> str:
-            own = self._swap(m.group())
-            if own is not None:
-                return own[0]
-            restored = self._restore(m.group(), written, read)
-            if restored is None:
-                return m.group()
-            after, before = (self.cost(x) + _odd_case(x) for x in (restored, m.group()))
-            return restored if after < before else m.group()
-
-        return sum(way.values()), _RUN.sub(better, line)
-
-    def _layer(self, line: str, codecs: list[str]) -> tuple[str, bool]:
-        """The line with the reading undone that accounts for most of its characters."""
-        # Bytes that form UTF-8 are the stronger evidence when a swap explains no more characters.
-        (covered, best), swapped = self._swapped(line), True
-        for codec in codecs:
-            n, restored = self._read_as(codec, line)
-            if n > covered or n and n == covered and swapped:
-                covered, best, swapped = n, restored, False
-        return best, covered > 0
-
-    def repair(self, text: str | None) -> tuple[str | None, int, bool]:
-        """(restored text, layers undone, whether the text holds a garbled passage)."""
-        if not text or text.isascii():
-            return text, 0, False
-        lines, layers = text.split("\n"), 0
-        pending = [i for i, line in enumerate(lines) if not line.isascii()]
-        while pending and layers < LAYERS:
-            seen = set().union(*[lines[i] for i in pending])
-            codecs = [c for c in READ_AS if not seen.isdisjoint(_ends(c)[0]) and not seen.isdisjoint(_ends(c)[1])]
-            changed = []
-            for i in pending:
-                lines[i], hit = self._layer(lines[i], codecs)
-                if hit:
-                    changed.append(i)
-            if not changed:
-                break
-            layers += 1
-            pending = changed
-        return "\n".join(lines), layers, layers > 0 or REPLACEMENT in text
+    Letters are counted without their case, so that the bulk of sound text outweighs garbled text in rare letters;
+    pairs never seen fall back on their classes; a letter's case costs what the case has after such a character.
+    """
 
+    def __init__(self, table: np.ndarray) -> None:
+        counts = table[: ALPHABET_SIZE**2].reshape(ALPHABET_SIZE, ALPHABET_SIZE)
+        cases = table[ALPHABET_SIZE**2 :].reshape(N_CLASSES, N_CLASSES) + 0.5
+        self.counts, self.totals = counts.ravel(), counts.sum(1)
+        classes = _alphabet()[2]
+        member = np.zeros((N_CLASSES, ALPHABET_SIZE))
+        member[classes, np.arange(ALPHABET_SIZE)] = 1
+        between = member @ counts @ member.T + CLASS_SMOOTH
+        of_class = counts.sum(0) + 0.5
+        of_class /= (member @ of_class)[classes]
+        back = (between / between.sum(1, keepdims=True))[np.ix_(classes, classes)] * of_class
+        self.back = (CLASS_SHARE * back).ravel()
+        self.within = np.zeros(ALPHABET_SIZE)
+        self.within[list(_WITHIN)] = list(_WITHIN.values())
+        fold = np.eye(N_CLASSES)[_FOLDED]
+        self.case = (np.log((cases @ fold)[:, _FOLDED]) - np.log(cases)).ravel()
+
+    def sums(self, texts: list[str], own: bool) -> np.ndarray:
+        """Cost of each text from its first character to its last; ``own`` leaves the text itself out of the counts."""
+        points = _points("\n".join(texts) + "\n")
+        pairs, case = _pairs(points)
+        first = pairs // ALPHABET_SIZE
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size + 1)
+        inner = np.ones(len(pairs), bool)
+        inner[ends[:-1] - 1] = False
+        inner[ends - 2] = False
+        text = np.repeat(np.arange(len(texts)), size + 1)[:-1]
+        seen, total = self.counts[pairs], self.totals[first]
+        if own:
+            for values, key in ((seen, pairs), (total, first)):
+                _, which, n = np.unique(text * (ALPHABET_SIZE**2) + key, return_inverse=True, return_counts=True)
+                values -= np.minimum(values, n[which])
+        cost = -np.log((1 - CLASS_SHARE) * seen / (total + 1) + self.back[pairs]) + self.case[case] + self.within[pairs % ALPHABET_SIZE]
+        return np.bincount(text[inner], cost[inner], len(texts))
+
+
+# --------------------------------------------------------------------------------------------- repair
 
 _RUN = re.compile("[^\x00-\x7f�]+")
-_OPENING = set("„“‘‚«‹\"'([")
-_QUOTING = set("“”’‘»«…–—‹›•")
-#: What one wrongly decoded character standing alone may have been.
-_STRICT = set("ÀÁÂÃÄÇÈÉÊËÍÎÏÑÓÔÕÖÙÚÛÜßàáâãäçèéêëíîïñóôõöùúûüÿ«»°±·¡¿§µ²³¼½¾\xa0") | {chr(c) for c in (*range(0x410, 0x450), 0x401, 0x451, 0x490, 0x491, 0x454, 0x456, 0x457)} | set("μσΔ")
-
-
-def _russian(ch: str) -> bool:
-    return "А" <= ch <= "я" or ch in "Ёё"
-
-
-def _odd_case(run: str) -> float:
-    """Nats that a run costs for capitals beyond its first letter, which the pairs don't tell."""
-    return 0.0 if run[1:] == run[1:].lower() else ODD_CASE
-
-
-def _cyrillic(ch: str) -> bool:
-    return "Ѐ" <= ch <= "ӿ"
-
-
-def _ideograph(ch: str) -> bool:
-    return "぀" <= ch <= "鿿" or "가" <= ch <= "힣"
+#: UTF-16 read as latin-1: every other character is a high byte of ASCII or Cyrillic.
+_WIDE = re.compile("(?:[\x09-\xff][\x00\x04]){2,}")
+_WIDE_BIG = re.compile("(?:[\x00\x04][\x09-\xff]){2,}")
 
 
-def _drawing(ch: str) -> bool:
-    return "─" <= ch <= "▟"
+def _replace(line: str, passages: Iterable[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for lo, hi, restored in passages:
+        parts += [line[at:lo], restored]
+        at = hi
+    return "".join(parts) + line[at:]
 
 
-#: First and last code points of the blocks that a restored passage may hold.
-_BLOCKS = (
-    (0x80, 0xFF), (0x152, 0x153), (0x160, 0x161), (0x178, 0x178), (0x17D, 0x17E), (0x192, 0x192), (0x2C6, 0x2C6), (0x2DC, 0x2DC),
-    (0x300, 0x308), (0x391, 0x3C9), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x621, 0x652), (0x2000, 0x2044), (0x20AC, 0x20AC),
-    (0x2116, 0x2122), (0x2160, 0x217F), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x25A1), (0x2600, 0x27BF), (0x3041, 0x30FF),
-    (0x4E00, 0x9FFF), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0x1F1E6, 0x1FAFF), (0xE0020, 0xE007F),
-)
-
+class Repairer:
+    """Finds and restores wrongly decoded passages, given the pair counts of the corpus."""
 
-@lru_cache(maxsize=100_000)
-def _likely(ch: str) -> bool:
-    n = ord(ch)
-    return any(lo <= n <= hi for lo, hi in _BLOCKS)
+    def __init__(self, counts: np.ndarray) -> None:
+        self.costs = Costs(counts)
+
+    def _decodable(self, lines: list[str]) -> Iterator[tuple[int, int, int, str, tuple[str, str]]]:
+        """(line, start, end, restored, (written, read)) of every passage that strictly decodes as Unicode."""
+        points = _points("\n".join(lines) + "\n")
+        ends = np.flatnonzero(points == 10)
+        for codec in READ_AS:
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(_sequence_starts(points, codec)))).tolist():
+                for m in _sequences(codec).finditer(lines[i]):
+                    yield i, m.start(), m.end(), to_bytes(m.group(), codec).decode("utf-8"), ("utf-8", codec)
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero((points == 0) | (points == 4)))).tolist():
+            for pattern, written in ((_WIDE, "utf-16-le"), (_WIDE_BIG, "utf-16-be")):
+                for m in pattern.finditer(lines[i]):
+                    yield i, m.start(), m.end(), m.group().encode("latin-1").decode(written), (written, "latin-1")
+
+    def _undo_decoding(self, lines: list[str], counted: bool) -> tuple[list[str | None], list[float], list[float]]:
+        """Each line with the one wrong reading of Unicode undone that lowers its cost most, or None; by how much; share of characters."""
+        out: list[str | None] = [None] * len(lines)
+        fell, share = [0.0] * len(lines), [0.0] * len(lines)
+        found = list(self._decodable(lines))
+        if not found:
+            return out, fell, share
+        before, after = [], []
+        for i, lo, hi, restored, _ in found:
+            left, right = lines[i][lo - 1] if lo else "\t", lines[i][hi : hi + 1] or "\t"
+            before.append(left + lines[i][lo:hi] + right)
+            after.append(left + restored + right)
+        shorter = np.array([hi - lo - len(restored) for _, lo, hi, restored, _ in found])
+        fall = self._by_text(before, counted) - self._by_text(after, False) - PER_CHAR * shorter
+        ways: dict[int, dict[tuple[str, str], list[int]]] = {}
+        for n in np.flatnonzero(fall > 0).tolist():
+            ways.setdefault(found[n][0], {}).setdefault(found[n][4], []).append(n)
+        for i, options in ways.items():
+            best = max((own for own in options.values() if fall[own].max() > FALL), key=lambda own: fall[own].sum(), default=None)
+            if best:
+                out[i] = _replace(lines[i], [found[n][1:4] for n in best])
+                fell[i] = float(fall[best].sum())
+                share[i] = sum(found[n][2] - found[n][1] for n in best) / max(1, sum(map(len, _RUN.findall(lines[i]))))
+        return out, fell, share
+
+    def _undo_swap(self, lines: list[str], counted: bool) -> list[tuple[str | None, float]]:
+        """Each line with the one swap of one-byte encodings undone that lowers its cost most, or None; and by how much."""
+        runs: dict[str, int] = {}
+        where: list[list[tuple[int, int, int]]] = []
+        for line in lines:
+            own = []
+            for m in _RUN.finditer(line):
+                lo, hi = m.start(), m.end()
+                around = (line[lo - 1] if lo else "\t") + m.group() + (line[hi] if hi < len(line) else "\t")
+                own.append((runs.setdefault(around, len(runs)), lo, hi))
+            where.append(own)
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(lines)
+        if not runs:
+            return out
+        texts = list(runs)
+        odd = self.costs.sums(texts, counted)
+        rare = np.flatnonzero(odd > np.maximum(FALL_SWAPPED, SOUND * np.fromiter(map(len, texts), np.int64, len(texts)))).tolist()
+        tried: list[tuple[int, tuple[str, str], str]] = []
+        for n in rare:
+            run = texts[n][1:-1]
+            kinds = set(map(ord, run))
+            for way in SWAPPED:
+                if kinds <= _exchange(*way).keys() and (restored := run.translate(_exchange(*way))) != run:
+                    tried.append((n, way, texts[n][0] + restored + texts[n][-1]))
+        if not tried:
+            return out
+        fall = odd[[n for n, _, _ in tried]] - self._by_text([t for _, _, t in tried], False)
+        better: dict[int, dict[tuple[str, str], tuple[float, str]]] = {}
+        for k in np.flatnonzero(fall > 0).tolist():
+            n, way, restored = tried[k]
+            better.setdefault(n, {})[way] = (float(fall[k]), restored[1:-1])
+        chosen: dict[int, tuple[str, str]] = {}
+        for i, own in enumerate(where):
+            gains: dict[tuple[str, str], float] = {}
+            proven = set()
+            for n, lo, hi in own:
+                for way, (gain, _) in better.get(n, {}).items():
+                    gains[way] = gains.get(way, 0.0) + gain
+                    if gain > FALL_SWAPPED and gain > FALL_PER_CHAR * (hi - lo):
+                        proven.add(way)
+            if proven:
+                chosen[i] = max(proven, key=lambda w: (gains[w], w))
+        # Beside a proven passage any fall is enough, also for runs that are not odd by themselves.
+        more = list({(n, way) for i, way in chosen.items() for n, _, _ in where[i] if n not in better and set(map(ord, texts[n][1:-1])) <= _exchange(*way).keys()})
+        if more:
+            restored = [texts[n][0] + texts[n][1:-1].translate(_exchange(*way)) + texts[n][-1] for n, way in more]
+            fall = odd[[n for n, _ in more]] - self._by_text(restored, False)
+            for k in np.flatnonzero(fall > 0).tolist():
+                better.setdefault(more[k][0], {})[more[k][1]] = (float(fall[k]), restored[k][1:-1])
+        for i, way in chosen.items():
+            hits = [(lo, hi, *better[n][way]) for n, lo, hi in where[i] if way in better.get(n, {})]
+            out[i] = _replace(lines[i], [(lo, hi, restored) for lo, hi, _, restored in hits]), sum(gain for _, _, gain, _ in hits)
+        return out
+
+    def layer(self, lines: list[str], counted: bool) -> list[str | None]:
+        """Each line with the one wrong decoding undone that lowers its cost most, or None where none does.
+
+        ``counted`` tells that the lines stand in the corpus and are no evidence for themselves. Bytes that form Unicode
+        are the stronger evidence: where they explain most of a line's characters, no swap is tried.
+        """
+        out, fall, share = self._undo_decoding(lines, counted)
+        rest = [i for i in range(len(lines)) if share[i] < 0.5]
+        for i, (line, more) in zip(rest, self._undo_swap([lines[i] for i in rest], counted), strict=True):
+            if line is not None and more > fall[i]:
+                out[i] = line
+        return out
+
+    def _by_text(self, texts: list[str], own: bool) -> np.ndarray:
+        number: dict[str, int] = {}
+        which = [number.setdefault(t, len(number)) for t in texts]
+        return self.costs.sums(list(number), own)[which]
+
+    def repair(self, texts: list[str | None]) -> list[tuple[str | None, int, bool]]:
+        """(restored text, layers undone, whether the text holds a garbled passage) of each text.
+
+        Layers are undone until none lowers the cost; every one lowers it, so there is an end.
+        """
+        number: dict[str, int] = {}
+        where: list[list[int] | None] = []
+        for text in texts:
+            odd = text and not (text.isascii() and "\x00" not in text and "\x04" not in text)
+            where.append([number.setdefault(line, len(number)) for line in text.split("\n")] if odd else None)
+        lines, layers = list(number), [0] * len(number)
+        pending = [i for i, line in enumerate(lines) if not line.isascii() or "\x00" in line or "\x04" in line]
+        while pending:
+            changed = []
+            for i, better in zip(pending, self.layer([lines[i] for i in pending], not any(layers)), strict=True):
+                if better is not None:
+                    lines[i] = better
+                    layers[i] += 1
+                    changed.append(i)
+            pending = changed
+        out = []
+        for text, own in zip(texts, where, strict=True):
+            if own is None:
+                out.append((text, 0, False))
+            else:
+                most = max(layers[i] for i in own)
+                out.append(("\n".join(lines[i] for i in own) if most else text, most, most > 0 or REPLACEMENT in text))
+        return out
 
 
 def repair_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -404,28 +506,29 @@ def repair_texts(documents: DataFrame, key: str = "doc_id", text: str = "text")
     undone. Null texts give false, 0 and null; repeated rows come out repeatedly; other columns are
     ignored; an empty table gives an empty table.
 
-    UTF-8 runs are accepted by rules on what looks odd as written, and where those leave a run alone, by the
-    fall of its garbling cost beside its neighbours.
-
-    Each run of characters is re-encoded under the candidate encodings and strictly decoded as the intended
-    one, repeatedly for nested layers, and accepted when its garbling cost drops. The cost comes from the
-    pairs of characters of the distinct lines of the whole corpus, a table of fixed size. Texts are repaired where they are read.
+    Each passage that can be re-encoded under a candidate encoding and strictly decoded as another one is
+    weighed with its neighbours: it is restored when its garbling cost drops by more than ``FALL`` (after a
+    swap of one-byte encodings ``FALL_SWAPPED``), or at all beside such a passage of the same line and kind; this
+    repeats for nested layers until nothing drops. The cost comes from the pairs of characters of the distinct
+    lines of the whole corpus, a table of fixed size. Texts are repaired where they are read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(pair_counts(documents, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Repairer(shared.value)
         for batch in batches:
-            out = [fix.repair(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([o[2] for o in out], pa.bool_()),
-                    pa.array([o[1] for o in out], pa.int32()),
-                    pa.array([o[0] for o in out], pa.string()),
-                ],
-                [key, "garbled", "layers", "repaired"],
-            )
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                out = fix.repair(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([o[2] for o in out], pa.bool_()),
+                        pa.array([o[1] for o in out], pa.int32()),
+                        pa.array([o[0] for o in out], pa.string()),
+                    ],
+                    [key, "garbled", "layers", "repaired"],
+                )
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, garbled boolean, layers int, repaired string")
