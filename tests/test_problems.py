@@ -1,6 +1,7 @@
 """Sessions, timestamps and hierarchies against brute force and by hand."""
 
 import random
+import shutil
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -158,3 +159,17 @@ def test_timestamp_dictionary_grows(spark, tmp_path):
     got = {x.k: x.utc_us for x in normalise_timestamps(two, "k", "raw", "zone", path).collect()}
     assert got == {3: us(T0), 4: us(T0 + timedelta(1)), 5: None}
     assert spark.read.parquet(path).count() == 2
+
+
+def test_timestamp_dictionary_is_parsed_once_and_bears_double_writers(spark, tmp_path):
+    path = str(tmp_path / "dictionary")
+    rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 9}T00:00:00", None) for i in range(40)], "k long, raw string, zone string")
+    first = normalise_timestamps(rows, "k", "raw", "zone", path).collect()
+    tables = sorted(p.name for p in (tmp_path / "dictionary").iterdir())
+    assert sorted(normalise_timestamps(rows, "k", "raw", "zone", path).collect()) == sorted(first)
+    assert sorted(p.name for p in (tmp_path / "dictionary").iterdir()) == tables and len(tables) == 1
+    # Another writer that parsed the same pairs, and one that died before its commit.
+    shutil.copytree(tmp_path / "dictionary" / tables[0], tmp_path / "dictionary" / "run=other")
+    shutil.copytree(tmp_path / "dictionary" / tables[0], tmp_path / "dictionary" / "run=dead")
+    (tmp_path / "dictionary" / "run=dead" / "_SUCCESS").unlink()
+    assert sorted(normalise_timestamps(rows, "k", "raw", "zone", path).collect()) == sorted(first)

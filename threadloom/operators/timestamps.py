@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import sys
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,12 +166,30 @@ def parse_timestamps(values: DataFrame, raw: str = "_raw", assumption: str = "_a
     return df.select(*values.columns, result.cast("long").alias("utc_us"))
 
 
+def parser_version() -> str:
+    """Changes whenever the parser does, so that a kept dictionary never holds what an older one read."""
+    return hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:12]
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
+    """(_r, _a, utc_us) of a kept dictionary, each pair once, or None where nothing is kept."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*/_SUCCESS")
+    done = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    parts = [done[i].getPath().getParent().toString() for i in range(len(done))] if done else []
+    if not parts:
+        return None
+    rows = spark.read.schema("_raw string, _assumed string, utc_us bigint").parquet(*parts)
+    return rows.groupBy(F.col("_raw").alias("_r"), F.col("_assumed").alias("_a")).agg(F.first("utc_us").alias("utc_us"))
+
+
 def timestamp_dictionary(rows: DataFrame, raw: str, assumption: str, path: str | None = None) -> DataFrame:
     """(_raw, _assumed, _n, utc_us): each distinct pair of the two columns, parsed once.
 
-    With ``path`` the dictionary is a Parquet folder that grows: pairs it already holds aren't parsed
-    again, new ones are appended. Without it the dictionary lives in the session's checkpoint folder.
-    Pairs with a null raw value aren't listed.
+    With ``path`` the dictionary is a folder of Parquet tables that grows: pairs it already holds aren't
+    parsed again, new ones are committed as one more table under a name of its own. Only committed tables
+    are read and each pair is taken once, so runs side by side, failed runs and repeated runs do no harm; a
+    pair that two of them parsed has the same instant in both. Without ``path`` the dictionary lives in the
+    session's checkpoint folder. Pairs with a null raw value aren't listed.
     """
     pairs = (
         rows.where(F.col(raw).isNotNull())
@@ -175,20 +198,19 @@ def timestamp_dictionary(rows: DataFrame, raw: str, assumption: str, path: str |
     )
     if path is None:
         return cut(parse_timestamps(pairs))
-    spark = rows.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        parse_timestamps(pairs).select("_raw", "_assumed", "utc_us").write.parquet(path)
+    pairs = cut(pairs)
+    held = _held(rows.sparkSession, path)
+    if held is None:
+        known = parse_timestamps(pairs)
+        known = cut(known)
+        new = known
     else:
-        old = spark.read.parquet(path).select(F.col("_raw").alias("_r"), F.col("_assumed").alias("_a"))
-        new = pairs.join(old, (pairs["_raw"] == old["_r"]) & pairs["_assumed"].eqNullSafe(old["_a"]), "left_anti")
-        parse_timestamps(new).select("_raw", "_assumed", "utc_us").write.mode("append").parquet(path)
-    held = spark.read.parquet(path).select(
-        F.col("_raw").alias("_r"), F.col("_assumed").alias("_a"), "utc_us"
-    )
-    return pairs.join(held, (pairs["_raw"] == held["_r"]) & pairs["_assumed"].eqNullSafe(held["_a"])).select(
-        "_raw", "_assumed", "_n", "utc_us"
-    )
+        matched = cut(pairs.join(held.withColumn("_held", F.lit(True)), (pairs["_raw"] == held["_r"]) & pairs["_assumed"].eqNullSafe(held["_a"]), "left"))
+        new = cut(parse_timestamps(matched.where("_held IS NULL").select("_raw", "_assumed", "_n")))
+        known = matched.where("_held").select("_raw", "_assumed", "_n", "utc_us").unionByName(new)
+    if not new.isEmpty():
+        new.select("_raw", "_assumed", "utc_us").write.parquet(f"{path}/run={uuid.uuid4().hex}")
+    return known
 
 
 def normalise_timestamps(
@@ -199,11 +221,11 @@ def normalise_timestamps(
     See ``parse_timestamps`` for what a value means. Null raw values state nothing; repeated rows come
     out repeatedly; an empty table gives an empty table; other columns are ignored.
 
-    The distinct values are parsed once and joined back. A value that holds at least 1/1000 of the rows
+    The distinct values are parsed once, kept under ``dictionary_path`` if one is given, and joined back. A value that holds at least 1/1000 of the rows
     is joined by broadcast, and there can be no more than 1000 of those; all others are joined by shuffle,
     where none is large.
     """
-    words = cut(timestamp_dictionary(rows, raw, assumption, dictionary_path)) if dictionary_path else timestamp_dictionary(rows, raw, assumption)
+    words = timestamp_dictionary(rows, raw, assumption, dictionary_path)
     total = words.agg(F.sum("_n")).first()[0] or 0
     hot = words.where(F.col("_n") >= max(1, -(-total // HOT_SHARE)))
     cold = words.where(F.col("_n") < max(1, -(-total // HOT_SHARE)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from threadloom.operators.hierarchy import descendants, reply_links, resolve_hierarchy
 from threadloom.operators.messages import latest_messages
 from threadloom.operators.sessions import sessionize
-from threadloom.operators.timestamps import normalise_timestamps
-from threadloom.session import cut
+from threadloom.operators.timestamps import normalise_timestamps, parser_version
+from threadloom.session import cut, shared_folder
 from threadloom.sources.tables import table
 
 
@@ -27,7 +27,8 @@ def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "import_messages")
-    return normalise_timestamps(rows, "record_id", "source_local_timestamp", "source_timezone_assumption").where(
+    kept = shared_folder(spark, f"timestamps-{parser_version()}")
+    return normalise_timestamps(rows, "record_id", "source_local_timestamp", "source_timezone_assumption", kept).where(
         F.col("utc_us").isNotNull()
     )
 

@@ -55,6 +55,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name beside the checkpoints, where tables that outlive a session are kept.
+
+    ``spark.threadloom.store`` overrides the folder it lies in; without it that is the one ``spark.checkpoint.dir``
+    names, so that it is found again by later sessions of the same cluster.
+    """
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.threadloom.store", None) or conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        _ensure_checkpoint_dir(spark)
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/threadloom/{name}"
+
+
 _SHIPPED: set[str] = set()
 
 
