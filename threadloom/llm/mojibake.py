@@ -18,14 +18,15 @@ _WESTERN = ("cp1252", "cp850", "mac_roman", "cp1250", "iso8859-2")
 _OTHER = ("latin-1", "cp437")
 #: (encoding the text was written in, encoding it was read as), both with one byte per character.
 SWAPPED = tuple((w, r) for w in (*_CYRILLIC, *_WESTERN) for r in (*_CYRILLIC, *_WESTERN, *_OTHER) if w != r)
+_BY_READ = {r: [way for way in SWAPPED if way[1] == r] for r in (*_CYRILLIC, *_WESTERN, *_OTHER)}
 #: A passage is restored when its cost falls by so many nats: UTF-8 read as another encoding, and one one-byte encoding as another.
 FALL, FALL_SWAPPED = 4.0, 9.0
 #: Nats that any character saves by going, which is no merit of a reading that joins several into one.
 PER_CHAR = 1.8
 #: Nats that each character of a swapped passage must save besides, since so many swaps are tried.
 FALL_PER_CHAR = 0.6
-#: A run of which each character costs less than this is sound as written, and no swap is tried.
-SOUND = 3.0
+#: A run of which each character costs less than this is sound as written: letters aren't read as Unicode, and no swap is tried.
+SOUND_LETTERS, SOUND = 2.8, 3.0
 #: Share that the classes of characters have in the chance of a pair, and the count of a pair of classes never seen.
 CLASS_SHARE, CLASS_SMOOTH = 0.03, 0.02
 REPLACEMENT = "�"
@@ -66,17 +67,6 @@ def _byte_of(codec: str) -> dict[str, int]:
     return table
 
 
-def to_bytes(text: str, codec: str) -> bytes | None:
-    """``text`` in ``codec``, or None where a character has no byte there."""
-    table, out = _byte_of(codec), bytearray()
-    for ch in text:
-        b = ord(ch) if ord(ch) < 0x80 else table.get(ch)
-        if b is None:
-            return None
-        out.append(b)
-    return bytes(out)
-
-
 @lru_cache(maxsize=64)
 def _sequences(codec: str) -> re.Pattern:
     """Matches maximal runs of characters whose bytes in ``codec`` are well-formed UTF-8 beyond ASCII."""
@@ -108,6 +98,10 @@ def _roles(codec: str) -> np.ndarray:
     return roles
 
 
+#: For each encoding the character of each byte as which UTF-8 is decoded again.
+_BYTES = {codec: {ord(ch): b for ch, b in _byte_of(codec).items()} for codec in READ_AS}
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -315,6 +309,13 @@ class Costs:
         fold = np.eye(N_CLASSES)[_FOLDED]
         self.case = (np.log((cases @ fold)[:, _FOLDED]) - np.log(cases)).ravel()
 
+    def along(self, points: np.ndarray, counted: bool) -> np.ndarray:
+        """Cost of everything before each code point; with ``counted`` each pair is left out of the counts once."""
+        pairs, case = _pairs(points)
+        seen = self.counts[pairs] - counted
+        cost = -np.log((1 - CLASS_SHARE) * np.maximum(seen, 0) / (self.totals[pairs // ALPHABET_SIZE] + 1) + self.back[pairs]) + self.case[case] + self.within[pairs % ALPHABET_SIZE]
+        return np.r_[0.0, np.cumsum(cost)]
+
     def sums(self, texts: list[str], own: bool) -> np.ndarray:
         """Cost of each text from its first character to its last; ``own`` leaves the text itself out of the counts."""
         points = _points("\n".join(texts) + "\n")
@@ -351,30 +352,56 @@ def _replace(line: str, passages: Iterable[tuple[int, int, str]]) -> str:
     return "".join(parts) + line[at:]
 
 
+class _Text:
+    """Lines put together, each after a line feed, with their code points and their running cost."""
+
+    def __init__(self, lines: list[str], costs: Costs, counted: bool) -> None:
+        self.joined = "\n" + "\n".join(lines) + "\n\n\n\n"
+        self.points = _points(self.joined)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = 1 + np.cumsum(size + 1) - size - 1
+        self.cost = costs.along(self.points, counted)
+
+    def line_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last place of every run of characters beyond ASCII."""
+        beyond = np.r_[False, (self.points > 0x7F) & (self.points != 0xFFFD), False]
+        edge = np.flatnonzero(beyond[1:] != beyond[:-1])
+        return edge[::2], edge[1::2]
+
+
 class Repairer:
     """Finds and restores wrongly decoded passages, given the pair counts of the corpus."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.costs = Costs(counts)
 
-    def _decodable(self, lines: list[str]) -> Iterator[tuple[int, int, int, str, tuple[str, str]]]:
-        """(line, start, end, restored, (written, read)) of every passage that strictly decodes as Unicode."""
-        points = _points("\n".join(lines) + "\n")
-        ends = np.flatnonzero(points == 10)
+    def _decodable(self, lines: list[str], text: "_Text") -> Iterator[tuple[int, int, int, str, tuple[str, str]]]:
+        """(line, start, end, restored, (written, read)) of every odd passage that strictly decodes as Unicode."""
+        cost, starts = text.cost.tolist(), text.starts.tolist()
         for codec in READ_AS:
-            for i in np.unique(np.searchsorted(ends, np.flatnonzero(_sequence_starts(points, codec)))).tolist():
+            at = np.flatnonzero(_sequence_starts(text.points, codec))
+            letters = codec == "cp866"  # Here sound words of small letters are such sequences, too.
+            if letters:
+                at = at[text.cost[at + 1] - text.cost[at - 1] > 2 * SOUND_LETTERS]
+            for i in np.unique(text.line_of(at)).tolist():
+                base = starts[i]
                 for m in _sequences(codec).finditer(lines[i]):
-                    yield i, m.start(), m.end(), to_bytes(m.group(), codec).decode("utf-8"), ("utf-8", codec)
-        for i in np.unique(np.searchsorted(ends, np.flatnonzero((points == 0) | (points == 4)))).tolist():
+                    lo, hi = m.span()
+                    if not letters or cost[base + hi] - cost[base + lo - 1] > SOUND_LETTERS * (hi - lo + 1):
+                        yield i, lo, hi, m.group().translate(_BYTES[codec]).encode("latin-1").decode("utf-8"), ("utf-8", codec)
+        for i in np.unique(text.line_of(np.flatnonzero((text.points == 0) | (text.points == 4)))).tolist():
             for pattern, written in ((_WIDE, "utf-16-le"), (_WIDE_BIG, "utf-16-be")):
                 for m in pattern.finditer(lines[i]):
                     yield i, m.start(), m.end(), m.group().encode("latin-1").decode(written), (written, "latin-1")
 
-    def _undo_decoding(self, lines: list[str], counted: bool) -> tuple[list[str | None], list[float], list[float]]:
+    def _undo_decoding(self, lines: list[str], text: "_Text", counted: bool) -> tuple[list[str | None], list[float], list[float]]:
         """Each line with the one wrong reading of Unicode undone that lowers its cost most, or None; by how much; share of characters."""
         out: list[str | None] = [None] * len(lines)
         fell, share = [0.0] * len(lines), [0.0] * len(lines)
-        found = list(self._decodable(lines))
+        found = list(self._decodable(lines, text))
         if not found:
             return out, fell, share
         before, after = [], []
@@ -395,30 +422,33 @@ class Repairer:
                 share[i] = sum(found[n][2] - found[n][1] for n in best) / max(1, sum(map(len, _RUN.findall(lines[i]))))
         return out, fell, share
 
-    def _undo_swap(self, lines: list[str], counted: bool) -> list[tuple[str | None, float]]:
+    def _undo_swap(self, lines: list[str], text: "_Text", among: np.ndarray, counted: bool) -> list[tuple[str | None, float]]:
         """Each line with the one swap of one-byte encodings undone that lowers its cost most, or None; and by how much."""
-        runs: dict[str, int] = {}
-        where: list[list[tuple[int, int, int]]] = []
-        for line in lines:
-            own = []
-            for m in _RUN.finditer(line):
-                lo, hi = m.start(), m.end()
-                around = (line[lo - 1] if lo else "\t") + m.group() + (line[hi] if hi < len(line) else "\t")
-                own.append((runs.setdefault(around, len(runs)), lo, hi))
-            where.append(own)
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(lines)
-        if not runs:
+        lo, hi = text.runs()
+        line = text.line_of(lo)
+        cost = text.cost[hi] - text.cost[lo - 1]
+        odd_runs = np.flatnonzero((cost > 0.9 * np.maximum(FALL_SWAPPED, SOUND * (hi - lo + 1))) & among[line])
+        if not len(odd_runs):
             return out
+        runs: dict[str, int] = {}
+        where: dict[int, list[tuple[int, int, int]]] = {}
+        for i, begin, end in zip(line[odd_runs].tolist(), lo[odd_runs].tolist(), hi[odd_runs].tolist(), strict=True):
+            base = int(text.starts[i])
+            where.setdefault(i, []).append((runs.setdefault(text.joined[begin - 1 : end + 1], len(runs)), begin - base, end - base))
         texts = list(runs)
-        odd = self.costs.sums(texts, counted)
+        odd = self._by_text(texts, counted)
         rare = np.flatnonzero(odd > np.maximum(FALL_SWAPPED, SOUND * np.fromiter(map(len, texts), np.int64, len(texts)))).tolist()
         tried: list[tuple[int, tuple[str, str], str]] = []
         for n in rare:
             run = texts[n][1:-1]
-            kinds = set(map(ord, run))
-            for way in SWAPPED:
-                if kinds <= _exchange(*way).keys() and (restored := run.translate(_exchange(*way))) != run:
-                    tried.append((n, way, texts[n][0] + restored + texts[n][-1]))
+            kinds = set(run)
+            for read, ways in _BY_READ.items():
+                if kinds <= _byte_of(read).keys():
+                    for way in ways:
+                        exchange = _exchange(*way)
+                        if all(ord(ch) in exchange for ch in kinds) and (restored := run.translate(exchange)) != run:
+                            tried.append((n, way, texts[n][0] + restored + texts[n][-1]))
         if not tried:
             return out
         fall = odd[[n for n, _, _ in tried]] - self._by_text([t for _, _, t in tried], False)
@@ -427,26 +457,38 @@ class Repairer:
             n, way, restored = tried[k]
             better.setdefault(n, {})[way] = (float(fall[k]), restored[1:-1])
         chosen: dict[int, tuple[str, str]] = {}
-        for i, own in enumerate(where):
+        for i, own in where.items():
             gains: dict[tuple[str, str], float] = {}
             proven = set()
-            for n, lo, hi in own:
+            for n, begin, end in own:
                 for way, (gain, _) in better.get(n, {}).items():
                     gains[way] = gains.get(way, 0.0) + gain
-                    if gain > FALL_SWAPPED and gain > FALL_PER_CHAR * (hi - lo):
+                    if gain > FALL_SWAPPED and gain > FALL_PER_CHAR * (end - begin):
                         proven.add(way)
             if proven:
                 chosen[i] = max(proven, key=lambda w: (gains[w], w))
         # Beside a proven passage any fall is enough, also for runs that are not odd by themselves.
-        more = list({(n, way) for i, way in chosen.items() for n, _, _ in where[i] if n not in better and set(map(ord, texts[n][1:-1])) <= _exchange(*way).keys()})
+        ends = np.searchsorted(line, list(chosen), side="right")
+        rest: dict[str, int] = {}
+        for i, first, last in zip(chosen, np.searchsorted(line, list(chosen)).tolist(), ends.tolist(), strict=True):
+            base = int(text.starts[i])
+            where[i] = []
+            for begin, end in zip(lo[first:last].tolist(), hi[first:last].tolist(), strict=True):
+                around = text.joined[begin - 1 : end + 1]
+                n = runs.get(around)
+                if n is None:
+                    n = len(texts) + rest.setdefault(around, len(rest))
+                where[i].append((n, begin - base, end - base))
+        texts += list(rest)
+        more = list({(n, way) for i, way in chosen.items() for n, _, _ in where[i] if way not in better.get(n, {}) and set(map(ord, texts[n][1:-1])) <= _exchange(*way).keys()})
         if more:
             restored = [texts[n][0] + texts[n][1:-1].translate(_exchange(*way)) + texts[n][-1] for n, way in more]
-            fall = odd[[n for n, _ in more]] - self._by_text(restored, False)
+            fall = self._by_text([texts[n] for n, _ in more], counted) - self._by_text(restored, False)
             for k in np.flatnonzero(fall > 0).tolist():
                 better.setdefault(more[k][0], {})[more[k][1]] = (float(fall[k]), restored[k][1:-1])
         for i, way in chosen.items():
-            hits = [(lo, hi, *better[n][way]) for n, lo, hi in where[i] if way in better.get(n, {})]
-            out[i] = _replace(lines[i], [(lo, hi, restored) for lo, hi, _, restored in hits]), sum(gain for _, _, gain, _ in hits)
+            hits = [(begin, end, *better[n][way]) for n, begin, end in where[i] if way in better.get(n, {})]
+            out[i] = _replace(lines[i], [(begin, end, restored) for begin, end, _, restored in hits]), sum(gain for _, _, gain, _ in hits)
         return out
 
     def layer(self, lines: list[str], counted: bool) -> list[str | None]:
@@ -455,16 +497,17 @@ class Repairer:
         ``counted`` tells that the lines stand in the corpus and are no evidence for themselves. Bytes that form Unicode
         are the stronger evidence: where they explain most of a line's characters, no swap is tried.
         """
-        out, fall, share = self._undo_decoding(lines, counted)
-        rest = [i for i in range(len(lines)) if share[i] < 0.5]
-        for i, (line, more) in zip(rest, self._undo_swap([lines[i] for i in rest], counted), strict=True):
+        text = _Text(lines, self.costs, counted)
+        out, fall, share = self._undo_decoding(lines, text, counted)
+        rest = np.array(share) < 0.5
+        for i, (line, more) in enumerate(self._undo_swap(lines, text, rest, counted)):
             if line is not None and more > fall[i]:
                 out[i] = line
         return out
 
     def _by_text(self, texts: list[str], own: bool) -> np.ndarray:
         number: dict[str, int] = {}
-        which = [number.setdefault(t, len(number)) for t in texts]
+        which = [number.setdefault(t.replace("\n", "\t"), len(number)) for t in texts]
         return self.costs.sums(list(number), own)[which]
 
     def repair(self, texts: list[str | None]) -> list[tuple[str | None, int, bool]]:
