@@ -18,7 +18,6 @@ _WESTERN = ("cp1252", "cp850", "mac_roman", "cp1250", "iso8859-2")
 _OTHER = ("latin-1", "cp437")
 #: (encoding the text was written in, encoding it was read as), both with one byte per character.
 SWAPPED = tuple((w, r) for w in (*_CYRILLIC, *_WESTERN) for r in (*_CYRILLIC, *_WESTERN, *_OTHER) if w != r)
-_BY_READ = {r: [way for way in SWAPPED if way[1] == r] for r in (*_CYRILLIC, *_WESTERN, *_OTHER)}
 #: A passage is restored when its cost falls by so many nats: UTF-8 read as another encoding, and one one-byte encoding as another.
 FALL, FALL_SWAPPED = 4.0, 9.0
 #: Nats that any character saves by going, which is no merit of a reading that joins several into one.
@@ -132,6 +131,9 @@ def _exchange(written: str, read: str) -> dict[int, str]:
     return out
 
 
+#: Characters beyond ASCII that each swap can undo.
+_ALLOWED = {way: frozenset(map(chr, _exchange(*way))) for way in SWAPPED}
+
 # ----------------------------------------------------------------------------------------------- cost
 
 
@@ -377,6 +379,7 @@ class Repairer:
 
     def __init__(self, counts: np.ndarray) -> None:
         self.costs = Costs(counts)
+        self._known: dict[bool, dict[str, dict[tuple[str, str], tuple[float, str]]]] = {True: {}, False: {}}
 
     def _decodable(self, lines: list[str], text: "_Text") -> Iterator[tuple[int, int, int, str, tuple[str, str]]]:
         """(line, start, end, restored, (written, read)) of every odd passage that strictly decodes as Unicode."""
@@ -437,31 +440,15 @@ class Repairer:
             base = int(text.starts[i])
             where.setdefault(i, []).append((runs.setdefault(text.joined[begin - 1 : end + 1], len(runs)), begin - base, end - base))
         texts = list(runs)
-        odd = self._by_text(texts, counted)
-        rare = np.flatnonzero(odd > np.maximum(FALL_SWAPPED, SOUND * np.fromiter(map(len, texts), np.int64, len(texts)))).tolist()
-        tried: list[tuple[int, tuple[str, str], str]] = []
-        for n in rare:
-            run = texts[n][1:-1]
-            kinds = set(run)
-            for read, ways in _BY_READ.items():
-                if kinds <= _byte_of(read).keys():
-                    for way in ways:
-                        exchange = _exchange(*way)
-                        if all(ord(ch) in exchange for ch in kinds) and (restored := run.translate(exchange)) != run:
-                            tried.append((n, way, texts[n][0] + restored + texts[n][-1]))
-        if not tried:
+        better = self._swaps_of(texts, counted)
+        if not any(better):
             return out
-        fall = odd[[n for n, _, _ in tried]] - self._by_text([t for _, _, t in tried], False)
-        better: dict[int, dict[tuple[str, str], tuple[float, str]]] = {}
-        for k in np.flatnonzero(fall > 0).tolist():
-            n, way, restored = tried[k]
-            better.setdefault(n, {})[way] = (float(fall[k]), restored[1:-1])
         chosen: dict[int, tuple[str, str]] = {}
         for i, own in where.items():
             gains: dict[tuple[str, str], float] = {}
             proven = set()
             for n, begin, end in own:
-                for way, (gain, _) in better.get(n, {}).items():
+                for way, (gain, _) in better[n].items():
                     gains[way] = gains.get(way, 0.0) + gain
                     if gain > FALL_SWAPPED and gain > FALL_PER_CHAR * (end - begin):
                         proven.add(way)
@@ -480,17 +467,40 @@ class Repairer:
                     n = len(texts) + rest.setdefault(around, len(rest))
                 where[i].append((n, begin - base, end - base))
         texts += list(rest)
-        more = list({(n, way) for i, way in chosen.items() for n, _, _ in where[i] if way not in better.get(n, {}) and set(map(ord, texts[n][1:-1])) <= _exchange(*way).keys()})
+        better += [{} for _ in rest]
+        more = list({(n, way) for i, way in chosen.items() for n, _, _ in where[i] if way not in better[n] and _ALLOWED[way].issuperset(texts[n][1:-1])})
         if more:
             restored = [texts[n][0] + texts[n][1:-1].translate(_exchange(*way)) + texts[n][-1] for n, way in more]
             fall = self._by_text([texts[n] for n, _ in more], counted) - self._by_text(restored, False)
             for k in np.flatnonzero(fall > 0).tolist():
-                better.setdefault(more[k][0], {})[more[k][1]] = (float(fall[k]), restored[k][1:-1])
+                better[more[k][0]] = {**better[more[k][0]], more[k][1]: (float(fall[k]), restored[k][1:-1])}
         for i, way in chosen.items():
-            hits = [(begin, end, *better[n][way]) for n, begin, end in where[i] if way in better.get(n, {})]
+            hits = [(begin, end, *better[n][way]) for n, begin, end in where[i] if way in better[n]]
             out[i] = _replace(lines[i], [(begin, end, restored) for begin, end, _, restored in hits]), sum(gain for _, _, gain, _ in hits)
         return out
 
+    def _swaps_of(self, texts: list[str], counted: bool) -> list[dict[tuple[str, str], tuple[float, str]]]:
+        """For each run between its neighbours the swaps that lower its cost, with the fall and the restored run."""
+        known = self._known[counted]
+        if len(known) > 200_000:
+            known.clear()
+        new = [t for t in texts if t not in known]
+        if new:
+            odd = self._by_text(new, counted)
+            tried: list[tuple[int, tuple[str, str], str]] = []
+            for n in np.flatnonzero(odd > np.maximum(FALL_SWAPPED, SOUND * np.fromiter(map(len, new), np.int64, len(new)))).tolist():
+                run = new[n][1:-1]
+                for way in SWAPPED:
+                    if _ALLOWED[way].issuperset(run) and (restored := run.translate(_exchange(*way))) != run:
+                        tried.append((n, way, new[n][0] + restored + new[n][-1]))
+            known.update((t, {}) for t in new)
+            if tried:
+                fall = odd[[n for n, _, _ in tried]] - self._by_text([t for _, _, t in tried], False)
+                for k in np.flatnonzero(fall > 0).tolist():
+                    n, way, restored = tried[k]
+                    known[new[n]][way] = (float(fall[k]), restored[1:-1])
+        return [known[t] for t in texts]
+
     def layer(self, lines: list[str], counted: bool) -> list[str | None]:
         """Each line with the one wrong decoding undone that lowers its cost most, or None where none does.
 
