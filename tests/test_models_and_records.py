@@ -62,7 +62,7 @@ def test_discourse_and_components(spark):
     df = spark.createDataFrame([("но это верно, потому что так", "почему?", 0.2), ("спасибо", "текст", 0.0)], "s string, t string, v double")
     got = [x.l for x in df.select(observations.discourse_labels(F.col("s"), F.col("t"), F.col("v")).alias("l")).collect()]
     assert got == [["ANSWERS", "CONTRASTS", "ELABORATES"], ["ACKNOWLEDGES"]]
-    kinds = [x.k for x in spark.createDataFrame([("например так",), ("так как иначе",), ("просто текст",), (None,)], "s string").select(observations.argument_component(F.col("s")).alias("k")).collect()]
+    kinds = [x.k for x in spark.createDataFrame([("исследования показали",), ("так как иначе",), ("просто текст",), (None,)], "s string").select(observations.argument_component(F.col("s")).alias("k")).collect()]
     assert kinds == ["EVIDENCE", "PREMISE", "CLAIM", "CLAIM"]
 
 

@@ -24,9 +24,19 @@ DISCOURSE = {
     "ACCEPTS": ["согласен", "согласна", "согласны", "принимаю", "давайте", "давай", "поддерживаю"],
     "REJECTS": ["не согласен", "не согласна", "не согласны", "не подходит", "отклоняю", "отклоняем", "против"],
 }
+# Words of argument roles and relations; a star stands for any further letters.
+EVIDENCE = ["по данным", "исследовани*", "показыва*", "наблюдени*", "согласно"]
+PREMISE = ["потому что", "так как", "поскольку", "ведь", "поэтому", "следовательно"]
+SUPPORT = ["соглас*", "верно", "поддержива*", "именно", "да,", "да "]
+ATTACK = ["не соглас*", "неверно", "нет,", "нет ", "нет:", "ошиб*", "против", "однако", "но "]
+# Modal words and negations of the linguistic measures.
+MODALS = ["мочь", "должный", "нужно", "необходимо", "следовать", "хотеть", "возможно", "вероятно"]
+NEGATIONS = ["не", "ни"]
+# Words of the style rates.
 FUNCTION_WORDS = ["и", "а", "но", "что", "как", "если", "то", "же", "ли", "бы", "не"]
 PRONOUNS = ["я", "ты", "он", "она", "мы", "вы", "они", "это", "тот", "эта"]
 PARTICLES = ["же", "ли", "бы", "ведь", "вот", "даже", "только", "именно"]
+# Words and phrases of each affect.
 AFFECT = {
     "anger": ["злой", "злость", "бесит", "ярость", "возмущён", "ненавижу"],
     "fear": ["страшно", "страх", "боюсь", "опасно", "тревожно", "риск"],
@@ -39,20 +49,29 @@ AFFECT = {
     "hedge": ["возможно", "кажется", "наверное", "может", "не уверен"],
     "arousal": ["срочно", "немедленно", "ужас", "ура", "бесит", "критично"],
 }
-REDACTED = [r"(?i)https?://\S+", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"]
+# Pages, mailboxes, telephone numbers and handles that are redacted; the last two keep the sign before them.
+REDACTED = [
+    (r"(?i)https?://\S+", ""),
+    (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}", ""),
+    (r"(^|[^\p{L}\p{N}_])(\+?\p{Nd}[\p{Nd} ()-]{7,}\p{Nd})(?![\p{L}\p{N}_])", "$1"),
+    (r"(^|[^\p{L}\p{N}_])@[A-Za-z0-9_]{3,}", "$1"),
+]
 
 #: A border between words, without look-around, so that every engine reads it alike.
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
 def whole_words(words: list[str], anchored: bool = False) -> str:
-    """A pattern for any of ``words`` as whole words; give it ``(?iu)`` in Java, ``(?i)`` in RE2."""
+    """A pattern for any of ``words`` as whole words; give it ``(?iu)`` in Java, ``(?i)`` in RE2.
+
+    A word that ends in a sign or blank needs a word right after it, as a border between the two demands.
+    """
     either = "|".join(w.replace("-", r"\-") for w in words)
     if anchored:
         return rf"^({either})[.! ]*$"
-    ends = "|".join([_EDGE, "$"])
-    loose = [w for w in words if not w[-1].isalpha()]
-    tight = "|".join(w.replace("-", r"\-") for w in words if w[-1].isalpha())
-    parts = [rf"(^|{_EDGE})({tight})({ends})"] if tight else []
-    parts += [rf"(^|{_EDGE}){w}" for w in loose]
+    plain = lambda w: w.replace("-", r"\-").replace("*", r"[\p{L}\p{N}_]*")
+    tight = "|".join(plain(w) for w in words if w[-1].isalpha() or w[-1] == "*")
+    loose = "|".join(plain(w) for w in words if not (w[-1].isalpha() or w[-1] == "*"))
+    parts = [rf"(^|{_EDGE})({tight})({_EDGE}|$)"] if tight else []
+    parts += [rf"(^|{_EDGE})({loose})[\p{{L}}\p{{N}}_]"] if loose else []
     return "|".join(parts)

@@ -147,12 +147,21 @@ def affect(text: Column) -> Column:
 
 
 def redact(text: Column, mark: str = "[REDACTED]") -> Column:
-    """Addresses of pages and mailboxes replaced by ``mark``."""
-    for pattern in L.REDACTED:
-        text = F.regexp_replace(text, pattern, mark)
+    """Pages, mailboxes, telephone numbers and handles replaced by ``mark``."""
+    for pattern, kept in L.REDACTED:
+        text = F.regexp_replace(text, pattern, kept + mark)
     return text
 
 
+def n_redactions(text: Column) -> Column:
+    """How many of them ``redact`` replaces."""
+    total = F.lit(0)
+    for pattern, kept in L.REDACTED:
+        total = total + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, kept + "[REDACTED]")
+    return total
+
+
 def cosine(left: Column, right: Column) -> Column:
     """Cosine of two numeric arrays of one size; 0 where a norm is 0, null where sizes differ."""
     dot = F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -9,12 +9,8 @@ from threadloom.functions import lexicon as L
 from threadloom.functions import text as T
 from threadloom.operators.running import row_numbers
 
-# Words of the linguistic measures.
-NEGATIONS = ["не", "нет", "ни", "без"]
-MODALS = ["может", "можно", "нужно", "надо", "должен", "должна", "должны", "следует", "стоит"]
+# Personal pronouns of the third person.
 PRONOUNS = ["он", "она", "они", "оно", "его", "её", "их", "ему", "ей", "им"]
-EVIDENCE = ["например", "по данным", "согласно", "источник", "факт"]
-PREMISE = ["потому что", "так как", "поскольку", "ведь"]
 
 
 def act_sequences(messages: DataFrame, sizes: tuple[int, ...] = (2, 3, 4, 5), top: int | None = 30) -> DataFrame:
@@ -55,7 +51,7 @@ def discourse(messages: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def argument_component(text: Column) -> Column:
     """EVIDENCE before PREMISE before CLAIM."""
-    return F.when(T.has_words(text, EVIDENCE), "EVIDENCE").when(T.has_words(text, PREMISE), "PREMISE").otherwise("CLAIM")
+    return F.when(T.has_words(text, L.EVIDENCE), "EVIDENCE").when(T.has_words(text, L.PREMISE), "PREMISE").otherwise("CLAIM")
 
 
 def propositions(messages: DataFrame, most: int = 5) -> DataFrame:
@@ -69,34 +65,54 @@ def propositions(messages: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
-def argument_relations(messages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(source, target, relation): ATTACKS before SUPPORTS between the single propositions of paired messages.
+def proposition_pairs(messages: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
+    """(source, source_ordinal, target, target_ordinal, source_text, eligible): propositions of paired messages, ``most`` by ``most``.
 
-    Pairs are explicit replies, and candidates of rank 1 from a score of 0.15. Where either side has no or
-    several propositions the pair is ambiguous and gives nothing.
+    Pairs are explicit replies, and candidates of rank 1 from a score of 0.15 of messages without a reply link. Both
+    ends must hold one proposition alone for a pair to be eligible.
     """
-    single = propositions(messages).groupBy("row_id").agg(F.count(F.lit(1)).alias("_n"), F.first("proposition").alias("_p")).where("_n = 1")
-    pairs = candidates.where(F.col("source_native") | ((F.col("rank") == 1) & (F.col("score") >= 0.15))).select("source", "target").distinct()
-    pairs = pairs.join(single.select(F.col("row_id").alias("source"), F.col("_p").alias("_s")), "source").join(single.select(F.col("row_id").alias("target")), "target")
-    acts = T.dialogue_acts(F.col("_s"))
-    relation = F.when(F.array_contains(acts, "DISAGREE") | T.has_words(F.col("_s"), L.DISCOURSE["CONTRASTS"]), "ATTACKS").when(
-        F.array_contains(acts, "AGREE") | T.has_words(F.col("_s"), L.ARGUMENT), "SUPPORTS"
+    said = propositions(messages, most).select("row_id", "ordinal", "proposition")
+    count = said.groupBy("row_id").agg(F.count(F.lit(1)).alias("_n"))
+    said = said.join(count, "row_id")
+    own = F.col("reason") == "rank_1_lexical_similarity_at_least_0.15"
+    pairs = candidates.where(F.col("source_native") | own).select("source", "target").distinct()
+    left = said.select(F.col("row_id").alias("source"), F.col("ordinal").alias("source_ordinal"), F.col("proposition").alias("source_text"), F.col("_n").alias("_ns"))
+    right = said.select(F.col("row_id").alias("target"), F.col("ordinal").alias("target_ordinal"), F.col("_n").alias("_nt"))
+    return pairs.join(left, "source").join(right, "target").select(
+        "source", "source_ordinal", "target", "target_ordinal", "source_text", ((F.col("_ns") == 1) & (F.col("_nt") == 1)).alias("eligible")
+    )
+
+
+def argument_relations(messages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(source, target, relation): ATTACKS before SUPPORTS between the single propositions of paired messages."""
+    pairs = proposition_pairs(messages, candidates).where("eligible")
+    labels = discourse(messages, candidates).groupBy("source", "target").agg(F.collect_set("label").alias("_labels"))
+    rows = pairs.join(labels, ["source", "target"], "left").withColumn("_labels", F.coalesce("_labels", F.array().cast("array<string>")))
+    text = F.col("source_text")
+    among = lambda *names: F.arrays_overlap("_labels", F.array(*map(F.lit, names)))
+    relation = F.when(T.has_words(text, L.ATTACK) | among("REJECTS", "CORRECTS", "CONTRASTS"), "ATTACKS").when(
+        T.has_words(text, L.SUPPORT) | T.has_words(text, L.PREMISE) | among("ACCEPTS", "ANSWERS", "ELABORATES"), "SUPPORTS"
     )
-    return pairs.select("source", "target", relation.alias("relation")).where(F.col("relation").isNotNull())
+    return rows.select("source", "target", relation.alias("relation")).where(F.col("relation").isNotNull())
 
 
 def linguistic_counts(messages: DataFrame) -> DataFrame:
-    """(row_id, n_tokens, n_modals, n_negations, n_negated): ``n_negated`` tokens stand within three of a negation."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    rows = messages.where(F.col("text").isNotNull()).select("row_id", words.alias("w"))
-    negated = F.filter(
-        F.sequence(F.lit(0), F.size("w") - 1),
-        lambda i: ~F.get("w", i).isin(NEGATIONS) & F.exists(F.slice("w", F.greatest(i - 2, F.lit(1)).cast("int"), F.least(i, F.lit(3)).cast("int")), lambda x: x.isin(NEGATIONS)),
+    """(row_id, n_tokens, n_modals, n_negations, n_governed): a negation governs the first word of its next three tokens.
+
+    Tokens are words and single signs; ``n_tokens`` counts words. Lemmas are surface forms.
+    """
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_-]+|[^\p{L}\p{N}_\s])"), F.lit(1))
+    rows = messages.where(F.col("text").isNotNull()).select("row_id", pieces.alias("w"))
+    is_word = lambda x: x.rlike(r"^[\p{L}\p{N}_-]+$")
+    count = lambda test: F.size(F.filter("w", test))
+    governing = F.filter(
+        F.sequence(F.lit(1), F.size("w")),
+        lambda i: F.element_at("w", i.cast("int")).isin(L.NEGATIONS) & F.exists(F.slice("w", (i + 1).cast("int"), F.lit(3)), is_word),
     )
-    count = lambda these: F.size(F.filter("w", lambda x: x.isin(these)))
     return rows.select(
-        "row_id", F.size("w").alias("n_tokens"), count(MODALS).alias("n_modals"), count(NEGATIONS).alias("n_negations"), F.when(F.size("w") > 0, F.size(negated)).otherwise(0).alias("n_negated")
-    )
+        "row_id", count(is_word).alias("n_tokens"), count(lambda x: x.isin(L.MODALS)).alias("n_modals"), count(lambda x: x.isin(L.NEGATIONS)).alias("n_negations"),
+        F.when(F.size("w") > 0, F.size(governing)).otherwise(0).alias("n_governed"),
+    )
 
 
 def mentions(messages: DataFrame, people: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
@@ -183,6 +183,12 @@ def choice_features(messages: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _norm(words: Column, terms: Column) -> Column:
+    """Length of the vector of term counts."""
+    times = lambda term: F.size(F.filter(words, lambda w: w == term)).cast("double")
+    return F.sqrt(F.when(F.size(words) == F.size(terms), F.size(terms).cast("double")).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, t: s + times(t) * times(t))))
+
+
 def response_candidates(messages: DataFrame, window: int = 40, horizon_hours: int = 8, keep: int = 5) -> DataFrame:
     """(source, target, score, rank, source_native, eligible, reason): ranked candidates a message may answer.
 
@@ -197,31 +203,32 @@ def response_candidates(messages: DataFrame, window: int = 40, horizon_hours: in
         "conversation_id", "row_id", "external_id", "reply", "sent_at", filled.alias("_filled"),
         T.tokens(F.coalesce("text", F.lit("")), 2).alias("_tokens"),
     )
+    # Terms as numbers; their repetitions stay behind where no term of a message occurs twice, which is the rule.
+    hashed = F.transform("_tokens", lambda t: F.xxhash64(t))
+    base = base.withColumn("_tokens", hashed).withColumn("_terms", F.array_distinct("_tokens")).withColumn("_norm", _norm(F.col("_tokens"), F.col("_terms")))
+    base = base.withColumn("_tokens", F.when(F.size("_tokens") > F.size("_terms"), F.col("_tokens")))
     counted = running_sum(base, ["conversation_id"], hour_of("sent_at"), ["sent_at", "row_id"], F.col("_filled").cast("long"), "_upto")
     counted = counted.withColumn("_before", F.col("_upto") - F.col("_filled").cast("long")).drop("_upto")
     source = counted.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("_before") - window, F.lit(0)) / window), F.floor(F.greatest(F.col("_before") - 1, F.lit(0)) / window))))
     target = counted.where("_filled").select(
         F.col("conversation_id").alias("_c"), F.col("row_id").alias("target"), F.col("external_id").alias("_e"), F.col("sent_at").alias("_t"),
-        F.col("_tokens").alias("_words"), F.col("_before").alias("_k"), F.floor(F.col("_before") / window).alias("_b"),
+        F.col("_tokens").alias("_words"), F.col("_terms").alias("_other"), F.col("_norm").alias("_size"), F.col("_before").alias("_k"), F.floor(F.col("_before") / window).alias("_b"),
     )
-    near = (
-        source.join(target, (F.col("conversation_id") == F.col("_c")) & (F.col("_block") == F.col("_b")))
-        .where(
-            (F.col("_k") < F.col("_before"))
-            & (F.col("_k") >= F.col("_before") - window)
-            & (F.unix_micros("_t") >= F.unix_micros("sent_at") - horizon_hours * 3_600_000_000)
-        )
-        .drop("_block")
+    within = (
+        (F.col("_k") < F.col("_before"))
+        & (F.col("_k") >= F.col("_before") - window)
+        & (F.unix_micros("_t") >= F.unix_micros("sent_at") - horizon_hours * 3_600_000_000)
     )
+    near = source.join(target, (F.col("conversation_id") == F.col("_c")) & (F.col("_block") == F.col("_b"))).where(within).drop("_block")
     linked = counted.where(F.col("reply") != "").join(
         target, (F.col("conversation_id") == F.col("_c")) & (F.col("reply") == F.col("_e")) & (F.col("row_id") != F.col("target"))
     )
-    pairs = near.unionByName(linked).dropDuplicates(["row_id", "target"])
-    terms = lambda c: F.array_distinct(c)
-    count = lambda words, term: F.size(F.filter(words, lambda w: w == term)).cast("double")
-    dot = F.aggregate(F.array_intersect("_tokens", "_words"), F.lit(0.0), lambda s, t: s + count(F.col("_tokens"), t) * count(F.col("_words"), t))
-    norm = lambda c: F.sqrt(F.aggregate(terms(F.col(c)), F.lit(0.0), lambda s, t: s + count(F.col(c), t) * count(F.col(c), t)))
-    size = norm("_tokens") * norm("_words")
+    pairs = near.unionByName(linked.where(~within))
+    times = lambda words, term: F.when(words.isNull(), 1.0).otherwise(F.size(F.filter(words, lambda w: w == term)).cast("double"))
+    shared = F.array_intersect("_terms", "_other")
+    repeated = F.aggregate(shared, F.lit(0.0), lambda s, t: s + times(F.col("_tokens"), t) * times(F.col("_words"), t))
+    dot = F.when(F.col("_tokens").isNull() & F.col("_words").isNull(), F.size(shared).cast("double")).otherwise(repeated)
+    size = F.col("_norm") * F.col("_size")
     scored = pairs.select(
         F.col("row_id").alias("source"),
         "target",

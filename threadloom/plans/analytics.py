@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import lexicon as L
 from threadloom.functions import text as T
 from threadloom.operators import evaluation as E
 from threadloom.operators import graph as G
@@ -69,11 +68,6 @@ _MONTHS = f"{_M}, mo AS (SELECT strftime(sent_at, '%Y-%m') AS month, count(*) AS
 _TOK = r"[\p{L}\p{N}_-]+"
 
 
-def _whole(words: list[str], column: str = "text", anchored: bool = False) -> str:
-    pattern = L.whole_words(words, anchored).replace("'", "''")
-    return f"coalesce(regexp_matches({column}, '(?i){pattern}'), false)"
-
-
 # ------------------------------------------------------------------------------------------ counts
 
 
@@ -226,11 +220,6 @@ def choice_features(spark: SparkSession, d: str) -> DataFrame:
     return R.choice_features(rows, R.reply_events(rows))
 
 
-@query()
-def response_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return R.response_candidates(base(spark, d))
-
-
 # ------------------------------------------------------------------------------------------ networks
 
 
@@ -362,28 +351,6 @@ def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ text rules
 
-_UNNEG = "regexp_replace(text, '(?i)не (" + "|".join(L.NEGATABLE) + ")', '#', 'g')"
-_ACTS = f"""CASE WHEN {_whole(L.ACTS['QUESTION'])} OR contains(text, '?') THEN 'QUESTION' END,
-  CASE WHEN {_whole(L.ACTS['PROPOSE'])} THEN 'PROPOSE' END, CASE WHEN {_whole(L.ACTS['AGREE'], _UNNEG)} THEN 'AGREE' END,
-  CASE WHEN {_whole(L.ACTS['DISAGREE'])} THEN 'DISAGREE' END, CASE WHEN {_whole(L.ACTS['COMMIT'])} THEN 'COMMIT' END,
-  CASE WHEN {_whole(L.ACKNOWLEDGE, anchored=True)} THEN 'ACKNOWLEDGE' END"""
-
-
-@query(f"""WITH {_M}, a AS (SELECT row_id, list_filter([{_ACTS}], lambda x: x IS NOT NULL) AS x FROM m WHERE text IS NOT NULL AND text <> '')
-SELECT row_id, unnest(CASE WHEN len(x) > 0 THEN x ELSE ['ASSERT'] END) AS act FROM a""")
-def dialogue_acts(spark: SparkSession, d: str) -> DataFrame:
-    rows = base(spark, d, ["text"]).where(F.col("text") != "")
-    return rows.select("row_id", F.explode(T.dialogue_acts(F.col("text"))).alias("act"))
-
-
-@query(f"""WITH {_M} SELECT row_id, CASE WHEN {_whole(L.CLARIFICATION)} THEN 'CLARIFICATION_REQUESTED' WHEN {_whole(L.REPAIR)} THEN 'REPAIRED'
-  WHEN {_whole(L.ACKNOWLEDGE, anchored=True)} THEN 'ACKNOWLEDGED' END AS label, CASE WHEN {_whole(L.UNCERTAIN)} THEN 0.45 ELSE 0.78 END::DOUBLE AS commitment
-FROM m WHERE text IS NOT NULL AND text <> ''""")
-def grounding_labels(spark: SparkSession, d: str) -> DataFrame:
-    text = F.col("text")
-    return base(spark, d, ["text"]).where(text != "").select("row_id", T.grounding(text).alias("label"), T.commitment(text).alias("commitment"))
-
-
 @query(r"""WITH RECURSIVE s AS (SELECT evidence_id, text, regexp_extract_all(text, '[^.!?…\n]+[.!?…]*') AS parts FROM evidence_items WHERE text IS NOT NULL AND text <> ''),
 p AS (SELECT evidence_id, text, parts, 0 AS i, 1 AS at_, NULL::VARCHAR AS piece, 0 AS pos FROM s
   UNION ALL SELECT evidence_id, text, parts, i + 1, at_ + strpos(substr(text, at_), parts[i + 1]) - 1 + length(parts[i + 1]), parts[i + 1], at_ + strpos(substr(text, at_), parts[i + 1]) - 1
@@ -406,27 +373,6 @@ def affect_by_month(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.count_if(any_signal).alias("n_signal"), *[F.avg(f"a.{n}").alias(n) for n in names])
 
 
-@query()
-def stance_from_replies(spark: SparkSession, d: str) -> DataFrame:
-    """(source, target, position, n_propositions): agreement or disagreement with a reply's target, or ABSTAIN if it holds several propositions."""
-    rows = base(spark, d, ["sender", "reply", "text"])
-    ev = R.reply_events(rows, ("sender", "text")).where(F.col("source_sender").isNotNull())
-    said = F.transform(T.sentences(F.coalesce("target_text", F.lit(""))), lambda s: s["sentence"])
-    kept = ev.select("source", "target", "source_text", F.explode(said).alias("_p")).where(T.is_proposition(F.col("_p"), T.dialogue_acts(F.col("_p"))))
-    counts = kept.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_propositions"), F.first("source_text").alias("_t"))
-    acts = T.dialogue_acts(F.col("_t"))
-    side = F.when(F.array_contains(acts, "AGREE"), "support").when(F.array_contains(acts, "DISAGREE"), "oppose")
-    return counts.withColumn("_side", side).where(F.col("_side").isNotNull()).select(
-        "source", "target", F.when(F.col("n_propositions") == 1, F.col("_side")).otherwise("ABSTAIN").alias("position"), "n_propositions"
-    )
-
-
-@query("""SELECT evidence_id, regexp_replace(regexp_replace(text, '(?i)https?://\\S+', '[REDACTED]', 'g'), '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[A-Za-z]{2,}', '[REDACTED]', 'g') AS redacted
-FROM evidence_items""")
-def evidence_redaction(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "evidence_items").select("evidence_id", T.redact(F.col("text")).alias("redacted"))
-
-
 @query("""SELECT message_id, external_id, sha256(text) AS text_sha, coalesce(nullif(trim(display_name, ' '), ''), p.external_id_p, 'unknown') AS shown FROM (
   SELECT message_id, external_id, text, sender_external_id FROM messages WHERE text IS NOT NULL) m
 LEFT JOIN (SELECT external_id AS external_id_p, display_name FROM participants) p ON p.external_id_p = m.sender_external_id""")
@@ -578,14 +524,6 @@ def confidence_calibration(spark: SparkSession, d: str) -> DataFrame:
     return E.calibration(rows, "resolution_confidence", "ok")
 
 
-@query()
-def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking metrics of the response candidates against the reply links that the messages carry."""
-    rows = base(spark, d)
-    gold = R.reply_events(rows).select("source", "target")
-    return E.ranking_metrics(gold, R.response_candidates(rows), "source", "target")
-
-
 @query(f"""WITH {_M}, h AS (SELECT row_id, coalesce(message_type, '') AS kind, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) < 40 THEN 'short' WHEN length(text) < 200 THEN 'medium' ELSE 'long' END AS size,
   sha256('pilot:' || row_id) AS h FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY kind, size ORDER BY h, row_id) AS depth FROM h),
 o AS (SELECT *, row_number() OVER (ORDER BY depth, sha256('pilot:' || kind || '|' || size), row_id) AS place FROM k)

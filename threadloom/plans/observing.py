@@ -14,7 +14,8 @@ from threadloom.operators import records as C
 from threadloom.operators import replies as R
 from threadloom.operators import retrieval as Q
 from threadloom.operators import themes as H
-from threadloom.plans.analytics import _ACTS, _EV, _M, base, events
+from threadloom.plans.analytics import _EV, _M, base, events
+from threadloom.plans.rules import ACTS as _ACTS
 from threadloom.sources.tables import table
 
 QUERIES = {}
@@ -41,31 +42,6 @@ def act_sequences(spark: SparkSession, d: str) -> DataFrame:
     return O.act_sequences(base(spark, d, ["text", "sent_at"]))
 
 
-@query()
-def discourse_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = base(spark, d)
-    return O.discourse(rows, R.response_candidates(rows))
-
-
-@query()
-def propositions(spark: SparkSession, d: str) -> DataFrame:
-    return O.propositions(base(spark, d, ["text"]))
-
-
-@query()
-def argument_relations(spark: SparkSession, d: str) -> DataFrame:
-    rows = base(spark, d)
-    return O.argument_relations(rows, R.response_candidates(rows))
-
-
-_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
-@query(rf"""WITH {_M}, w AS (SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM m WHERE text IS NOT NULL)
-SELECT row_id, len(w)::INT AS n_tokens, len(list_filter(w, lambda x: x IN {_IN(O.MODALS)}))::INT AS n_modals, len(list_filter(w, lambda x: x IN {_IN(O.NEGATIONS)}))::INT AS n_negations,
-  len(list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN {_IN(O.NEGATIONS)} AND len(list_filter(w[greatest(i - 3, 1):i - 1], lambda y: y IN {_IN(O.NEGATIONS)})) > 0))::INT AS n_negated FROM w""")
-def linguistic_counts(spark: SparkSession, d: str) -> DataFrame:
-    return O.linguistic_counts(base(spark, d, ["text"]))
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +52,7 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT surface, count(DISTINCT person) AS n, min(person) AS person FROM p GROUP BY surface),
 w AS (SELECT DISTINCT row_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 2)) AS surface FROM m WHERE text IS NOT NULL)
 SELECT row_id, surface, CASE WHEN n = 1 THEN person END AS person, 'name' AS basis FROM w JOIN k USING (surface)
-UNION ALL SELECT row_id, surface, NULL, 'pronoun' FROM w WHERE surface IN {_IN(O.PRONOUNS)}""")
+UNION ALL SELECT row_id, surface, NULL, 'pronoun' FROM w WHERE surface IN ('он', 'она', 'они', 'оно', 'его', 'её', 'их', 'ему', 'ей', 'им')""")
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     return O.mentions(base(spark, d, ["text"]), _people(spark, d))
 
@@ -250,15 +226,6 @@ def message_shape(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
-def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall and F1 of the best candidate of each message against the links that messages carry."""
-    rows = base(spark, d)
-    gold = R.reply_events(rows).select("source", "target", F.lit("REPLIES_TO").alias("label"))
-    best = R.response_candidates(rows).where("rank = 1").select("source", "target", F.lit("REPLIES_TO").alias("label"))
-    return E.precision_recall(gold, best, ["source", "target"], "label")
-
-
 @query(f"""WITH {_M}, n AS (SELECT external_id, display_name FROM participants WHERE display_name IS NOT NULL)
 SELECT external_id, upper(substr(split_part(trim(display_name, ' '), ' ', 1), 1, 1)) || upper(substr(split_part(trim(display_name, ' '), ' ', 2), 1, 1)) AS initials FROM n WHERE trim(display_name, ' ') <> ''""")
 def initials(spark: SparkSession, d: str) -> DataFrame:
