@@ -53,3 +53,21 @@ def sessionize(
             "n_events",
         )
     )
+
+
+def episode_messages(messages: DataFrame, gap_us: int = EIGHT_HOURS_US) -> DataFrame:
+    """(conversation_id, row_id, episode_no, ordinal): the sessions of each conversation as episodes of its messages.
+
+    Every slice as long as the gap lies in one session, so messages meet their session on (conversation, slice);
+    ordinals count from 1 by time and row id. Messages without a time belong to no episode.
+    """
+    from threadloom.operators.running import row_numbers
+
+    slices = F.sequence(F.floor(F.col("start_us") / gap_us), F.floor(F.col("end_us") / gap_us))
+    sessions = sessionize(messages, "conversation_id", "sent_at", gap_us).select("conversation_id", F.col("session_no").alias("episode_no"), F.explode(slices).alias("_slice"))
+    placed = (
+        messages.where("conversation_id IS NOT NULL AND sent_at IS NOT NULL")
+        .select("conversation_id", "row_id", "sent_at", F.floor(F.unix_micros("sent_at") / gap_us).alias("_slice"))
+        .join(sessions, ["conversation_id", "_slice"])
+    )
+    return row_numbers(placed, ["conversation_id", "episode_no"], "sent_at", "row_id", "ordinal").select("conversation_id", "row_id", "episode_no", "ordinal")
