@@ -24,6 +24,8 @@ PROBES = 8
 TABLES, TABLES_UP_TO = 4, 100_000
 #: Rows of a bucket that one task compares with as many others; larger buckets are cut into such tiles.
 TILE = 4096
+#: Rows that may ask in one task; a bucket asked by more is cut along the asking side, too.
+ASKERS = 65_536
 #: Rows compared with a tile at a time, which bounds the memory of a task.
 QUERY_ROWS = 2048
 #: Copies of a vector spread over so many partial lists.
@@ -159,37 +161,44 @@ def _distinct(vectors: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _compare(rows: dict, at_least: float, keep: int) -> list[tuple[np.ndarray, ...]]:
-    """Pairs (q, i, cosine) of one bucket, each direction pruned to the ``keep`` best."""
-    own = rows["own"]
-    if not own.any():
-        return []
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """One signed byte per coordinate, the largest of a vector at 127."""
+    return np.round(unit * (127.0 / np.abs(unit).max(1, keepdims=True))).astype(np.int8)
+
+
+def _compare(own: np.ndarray, rep: np.ndarray, marks: np.ndarray, at_least: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (q, i) of rows of one bucket that may be among the ``keep`` best of either.
+
+    A byte is off by half a step at most, so a sketch of length L is turned by at most sqrt(dims) / 2L from its vector
+    and a cosine of two sketches is off by no more than the sum of both: nothing that could count is left out.
+    """
     index = np.flatnonzero(own)
-    unit, found = rows["unit"], []
-    compact = unit.astype(np.float32)
-    right_side = compact[index].T
+    if not len(index):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    length = np.linalg.norm(marks.astype(np.float32), axis=1)
+    unit = marks.astype(np.float32) / length[:, None]
+    off = np.float32(1.02 * 0.5 * math.sqrt(marks.shape[1])) / length
+    right_side, right_off = unit[index].T, off[index]
+    found = []
     for lo in range(0, len(own), QUERY_ROWS):
         query = slice(lo, lo + QUERY_ROWS)
-        close = compact[query] @ right_side >= np.float32(at_least - 1e-4)
-        close &= rows["scope"][query][:, None] == rows["scope"][index][None, :]
-        close &= rows["rep"][query][:, None] != rows["rep"][index][None, :]
-        x, y = np.nonzero(close)
-        found.append((x + lo, index[y]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        cosine = unit[query] @ right_side
+        cosine[rep[query][:, None] == rep[index][None, :]] = -2
+        x, y = np.nonzero(cosine + off[query][:, None] + right_off[None, :] >= np.float32(at_least - 1e-4))
+        found.append((x + lo, index[y], cosine[x, y], off[x + lo] + right_off[y]))
+    a, b, cosine, slack = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(a):
-        return []
-    cosine = np.einsum("ij,ij->i", unit[a], unit[b])
-    right = cosine >= at_least
-    a, b, cosine = a[right], b[right], np.round(cosine[right], 6)
-    out = []
-    for left, other in ((a, b), (b, a)):
-        order = np.lexsort((rows["rep"][other], -cosine, left))
-        l, o, c = left[order], other[order], cosine[order]
-        start = np.r_[0, np.flatnonzero(np.diff(l)) + 1] if len(l) else np.empty(0, np.int64)
-        rank = np.arange(len(l)) - np.repeat(start, np.diff(np.r_[start, len(l)]))
-        top = rank < keep
-        out.append((l[top], o[top], c[top]))
-    return out
+        return a, b
+    kept = np.zeros(len(a), bool)
+    for left in (a, b):
+        # Beyond the keep-th surely reached cosine of its row no pair can count.
+        order = np.lexsort((-(cosine - slack), left))
+        l = left[order]
+        start = np.r_[0, np.flatnonzero(np.diff(l)) + 1]
+        size = np.diff(np.r_[start, len(l)])
+        floor = np.where(size >= keep, (cosine - slack)[order][np.minimum(start + keep - 1, len(l) - 1)], -2.0)
+        kept[order] |= (cosine + slack)[order] >= np.repeat(floor, size)
+    return a[kept], b[kept]
 
 
 def similar_vectors(
@@ -209,10 +218,11 @@ def similar_vectors(
     by the smaller id. Ids are unique. Other columns are ignored, an empty table gives an empty table.
 
     Copies of a vector are hashed and compared once, whatever their number, and every copy gets its rows.
-    Each table sends a vector to its own bucket and to the ``probes`` perturbed ones likeliest to hold a
-    neighbour; whatever meets there is compared exactly, in both directions. The numbers of hash functions
-    and tables follow from the size of the collection. A bucket beyond ``TILE`` rows is cut into tiles
-    that meet pairwise in different tasks, so nothing in it is left out.
+    Each table sends a sketch of a vector, a byte per coordinate, to its own bucket and to the ``probes`` perturbed
+    ones likeliest to hold a neighbour; what meets there and may count by the bounds of the sketches becomes a pair of
+    ids, and each pair meets its two vectors once, for the exact cosine. The numbers of hash functions
+    and tables follow from the size of the collection. A bucket beyond ``TILE`` owners or ``ASKERS`` rows is
+    cut into tiles that meet pairwise in different tasks, so nothing in it is left out.
     """
     keep = k + 1
     vectors = usable_vectors(rows, key, vector, scope, dims)
@@ -220,51 +230,53 @@ def similar_vectors(
     n = distinct.count()
     functions, tables = plan_size(n)
 
-    def own_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = _unit(_matrix(batch.column(1), dims)).astype(np.float32)
             codes = batch.column(0).to_numpy()
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(hash_buckets(unit, codes, t, functions, 0)[:, 0])], ["bucket"])
+                buckets = hash_buckets(unit, codes, t, functions, probes)
+                keys, which = np.unique(buckets, return_inverse=True)
+                which = which.reshape(buckets.shape)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.bincount(which[:, 0], minlength=len(keys))), pa.array(np.bincount(which.ravel(), minlength=len(keys)))], ["bucket", "owners", "all"]
+                )
 
     hot = cut(
         distinct.select("scope", "vec")
-        .mapInArrow(own_buckets, "bucket bigint")
+        .mapInArrow(bucket_sizes, "bucket bigint, owners bigint, all bigint")
         .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .where(F.col("_size") > TILE)
+        .agg(F.sum("owners").alias("_owners"), F.sum("all").alias("_all"))
+        .where((F.col("_owners") > 0) & ((F.col("_owners") > TILE) | (F.col("_all") > ASKERS)))
     )
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                unit = _unit(_matrix(part.column(2), dims)).astype(np.float32)
+                unit = _unit(_matrix(part.column(2), dims))
+                marks = pa.array([row.tobytes() for row in sketch(unit)], pa.binary())
                 codes = part.column(1).to_numpy()
                 for t in range(tables):
-                    buckets = hash_buckets(unit, codes, t, functions, probes)
-                    width = buckets.shape[1]
-                    take = pa.array(np.repeat(np.arange(len(part)), width))
+                    buckets = hash_buckets(unit.astype(np.float32), codes, t, functions, probes)
+                    take = pa.array(np.repeat(np.arange(len(part)), buckets.shape[1]))
                     own = np.zeros(buckets.shape, bool)
                     own[:, 0] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(buckets.ravel()), pa.array(own.ravel()), *[part.column(c).take(take) for c in range(4)]],
-                        ["bucket", "own", "rep", "scope", "vec", "ids"],
-                    )
-
-    schema = "bucket bigint, own boolean, rep bigint, scope bigint, vec binary, ids array<bigint>"
-    sent = distinct.select("rep", "scope", "vec", "ids").mapInArrow(scatter, schema)
-    tile_columns = [F.lit(0).alias("_tile_q"), F.lit(0).alias("_tile_i")]
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(own.ravel()), part.column(0).take(take), marks.take(take)], ["bucket", "own", "rep", "mark"])
+
+    schema = "bucket bigint, own boolean, rep bigint, mark binary"
+    sent = distinct.select("rep", "scope", "vec").mapInArrow(scatter, schema)
     if hot.isEmpty():
-        placed = sent.select("*", *tile_columns, F.lit(True).alias("_asks"))
+        placed = sent.select("*", F.lit(0).alias("_tile_q"), F.lit(0).alias("_tile_i"))
     else:
         sent = sent.join(hot, "bucket", "left")
-        parts = F.coalesce(F.ceil(F.col("_size") / TILE), F.lit(1)).cast("int")
-        mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
-        every = F.sequence(F.lit(0), parts - 1)
-        asks = sent.select(*schema_names(schema), mine.alias("_tile_q"), F.explode(every).alias("_tile_i")).withColumn("own", F.lit(False))
-        answers = sent.where("own").select(*schema_names(schema), F.explode(every).alias("_tile_q"), mine.alias("_tile_i"))
-        placed = asks.withColumn("_asks", F.lit(True)).unionByName(answers.withColumn("_asks", F.lit(False)))
+        parts_i = F.greatest(F.coalesce(F.ceil(F.col("_owners") / TILE), F.lit(1)), F.lit(1)).cast("int")
+        parts_q = F.greatest(F.coalesce(F.ceil(F.col("_all") / ASKERS), F.lit(1)), F.lit(1)).cast("int")
+        mine = lambda parts: F.pmod(F.xxhash64("rep"), parts).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+        asks = sent.select(*schema_names(schema), mine(parts_q).alias("_tile_q"), every(parts_i).alias("_tile_i")).withColumn("own", F.lit(False))
+        answers = sent.where("own").select(*schema_names(schema), every(parts_q).alias("_tile_q"), mine(parts_i).alias("_tile_i"))
+        placed = asks.unionByName(answers)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -278,37 +290,25 @@ def similar_vectors(
             return np.flatnonzero(change)
 
         def work(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            chunk = table.to_batches()[0]
-            names = chunk.schema.names
-            whole = {
-                "own": chunk.column(names.index("own")).to_numpy(zero_copy_only=False),
-                "scope": chunk.column(names.index("scope")).to_numpy(),
-                "rep": chunk.column(names.index("rep")).to_numpy(),
-            }
-            has = np.add.reduceat(whole["own"], edges) if len(edges) else edges
+            chunk = table.combine_chunks().to_batches()[0]
+            own, rep, mark = (chunk.column(chunk.schema.names.index(c)) for c in ("own", "rep", "mark"))
+            own, rep = own.to_numpy(zero_copy_only=False), rep.to_numpy()
+            flat = mark.cast(pa.large_binary())
+            first = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset]
+            marks = np.frombuffer(flat.buffers()[2], np.int8)[first : first + len(chunk) * dims].reshape(len(chunk), dims)
+            has = np.add.reduceat(own, edges)
             ends = np.r_[edges[1:], len(table)]
-            vec = chunk.column(names.index("vec"))
-            qs, os, cs = [], [], []
+            low, high = [], []
             for lo, hi, owners in zip(edges, ends, has, strict=True):
                 if owners and hi - lo > 1:
-                    rows = {c: whole[c][lo:hi] for c in whole}
-                    rows["unit"] = _unit(_matrix(vec.slice(lo, hi - lo), dims))
-                    for q, o, c in _compare(rows, at_least, keep):
-                        qs.append(q + lo)
-                        os.append(o + lo)
-                        cs.append(c)
-            if qs:
-                q, o = np.concatenate(qs), pa.array(np.concatenate(os))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(whole["rep"][q]),
-                        pa.array(-np.concatenate(cs)),
-                        pa.array(whole["rep"]).take(o),
-                        chunk.column(names.index("ids")).take(o),
-                    ],
-                    ["rep", "away", "other", "ids"],
-                )
+                    q, i = _compare(own[lo:hi], rep[lo:hi], marks[lo:hi], at_least, keep)
+                    if len(q):
+                        x, y = rep[lo + q], rep[lo + i]
+                        low.append(np.minimum(x, y))
+                        high.append(np.maximum(x, y))
+            if low:
+                pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
         for batch in batches:
             if not len(batch):
@@ -326,11 +326,24 @@ def similar_vectors(
             table = pa.Table.from_batches(held)
             yield from work(table, bounds(table))
 
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (_unit(_matrix(batch.column(c), dims)) for c in (2, 3))
+            cosine = np.einsum("ij,ij->i", left, right)
+            good = np.flatnonzero(cosine >= at_least)
+            away, take = -np.round(cosine[good], 6), pa.array(good)
+            for a, b, ids in ((0, 1, 5), (1, 0, 4)):
+                yield pa.RecordBatch.from_arrays([batch.column(a).take(take), pa.array(away), batch.column(b).take(take), batch.column(ids).take(take)], ["rep", "away", "other", "ids"])
+
     order = ["bucket", "_tile_q", "_tile_i"]
+    candidates = placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(meet, "x bigint, y bigint").distinct()
+    side = lambda end, n: distinct.select(F.col("rep").alias(end), F.col("scope").alias(f"_s{n}"), F.col("vec").alias(f"_v{n}"), F.col("ids").alias(f"_i{n}"))
     pairs = (
-        placed.repartition(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(meet, "rep bigint, away double, other bigint, ids array<bigint>")
+        candidates.join(side("x", 0), "x")
+        .join(side("y", 1), "y")
+        .where("_s0 = _s1")
+        .select("x", "y", "_v0", "_v1", "_i0", "_i1")
+        .mapInArrow(exact, "rep bigint, away double, other bigint, ids array<bigint>")
     )
     itself = distinct.select("rep", F.lit(-1.0).alias("away"), F.col("rep").alias("other"), "ids")
     best = (
