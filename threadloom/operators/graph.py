@@ -53,16 +53,40 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     return ranks
 
 
+def _transitive_triples(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n): a→b, b→c, a→c with three different nodes in each graph of distinct edges ``src``, ``dst``.
+
+    Every triangle of the undirected graph is met once, from its node of least degree, whose neighbours of higher degree
+    are few in any graph: a hot node makes no wedges. Its six possible arrows then tell how many triples it holds.
+    """
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    links = pairs.groupBy(*keys, low.alias("u"), high.alias("v")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("f"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("b"))
+    ends = links.select(*keys, F.explode(F.array("u", "v")).alias("id")).groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("d"))
+    at = lambda end: ends.select(*keys, F.col("id").alias(end), F.col("d").alias(f"_d{end}"))
+    ranked = links.join(at("u"), [*keys, "u"]).join(at("v"), [*keys, "v"])
+    up = F.struct("_du", "u") < F.struct("_dv", "v")
+    turned = cut(
+        ranked.select(
+            *keys, F.when(up, F.struct(F.col("_du").alias("d"), F.col("u").alias("i"))).otherwise(F.struct(F.col("_dv").alias("d"), F.col("v").alias("i"))).alias("a"),
+            F.when(up, F.struct(F.col("_dv").alias("d"), F.col("v").alias("i"))).otherwise(F.struct(F.col("_du").alias("d"), F.col("u").alias("i"))).alias("z"),
+            F.when(up, F.col("f")).otherwise(F.col("b")).alias("f"), F.when(up, F.col("b")).otherwise(F.col("f")).alias("b"),
+        )
+    )
+    one = turned.select(*keys, "a", F.col("z").alias("x"), F.col("f").alias("ax"), F.col("b").alias("xa"))
+    two = turned.select(*keys, "a", F.col("z").alias("y"), F.col("f").alias("ay"), F.col("b").alias("ya"))
+    three = turned.select(*keys, F.col("a").alias("x"), F.col("z").alias("y"), F.col("f").alias("xy"), F.col("b").alias("yx"))
+    found = one.join(two, [*keys, "a"]).where("x < y").join(three, [*keys, "x", "y"])
+    arrows = F.expr("ax*xy*ay + ay*yx*ax + xa*ay*xy + xy*ya*xa + ya*ax*yx + yx*xa*ya")
+    return found.groupBy(*keys).agg(F.sum(arrows).alias("_n"))
+
+
 def motif_counts(edges: DataFrame) -> DataFrame:
     """One row: reciprocal_dyads and transitive_triples (a→b, b→c, a→c with three different nodes)."""
-    pairs = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    pairs = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    dyads = pairs.join(back, ["src", "dst"], "left_semi").where(F.col("src") < F.col("dst")).agg(F.count(F.lit(1)).alias("reciprocal_dyads"))
-    second = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
-    paths = pairs.join(second, "dst").where(F.col("src") != F.col("_far"))
-    closing = pairs.select("src", F.col("dst").alias("_far"))
-    triples = paths.join(closing, ["src", "_far"], "left_semi").agg(F.count(F.lit(1)).alias("transitive_triples"))
-    return dyads.crossJoin(F.broadcast(triples))
+    dyads = pairs.join(back, ["src", "dst"], "left_semi").where(F.col("src") < F.col("dst")).agg(F.count(F.lit(1)).alias("reciprocal_dyads"), F.lit(0).cast("long").alias("transitive_triples"))
+    triples = _transitive_triples(pairs, []).agg(F.lit(0).cast("long").alias("reciprocal_dyads"), F.coalesce(F.sum("_n"), F.lit(0)).alias("transitive_triples"))
+    return dyads.unionByName(triples).agg(F.max("reciprocal_dyads").alias("reciprocal_dyads"), F.max("transitive_triples").alias("transitive_triples"))
 
 
 def role_profiles(senders: DataFrame, edges: DataFrame, least: int = 5) -> DataFrame:
@@ -233,17 +257,21 @@ def dyad_null(events: DataFrame, permutations: int = 200, seed: int = 42, top: i
 
     Receivers are shuffled within their conversation ``permutations`` times, all dyads sharing the shuffles.
     A shuffle orders the receivers of a conversation by a hash of (permutation, event); p counts shuffles at
-    least as far from their mean, (extreme + 1)/(permutations + 1). The permutation is a column, so the work
-    is one window over (permutation, conversation).
+    least as far from their mean, (extreme + 1)/(permutations + 1). The permutation is a column; places in a conversation
+    are running counts over parts of the hash, so no conversation is ordered by one task.
     """
     rows = events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select(
         "conversation_id", "source", F.col("source_sender").alias("sender"), F.col("target_sender").alias("receiver")
     )
     seen = rows.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("observed")).orderBy(F.desc("observed"), "sender", "receiver").limit(top)
-    each = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    where = Window.partitionBy("conversation_id", "p")
-    fixed = each.select("conversation_id", "p", "sender", F.row_number().over(where.orderBy("source")).alias("_i"))
-    mixed = each.select("conversation_id", "p", "receiver", F.row_number().over(where.orderBy(F.xxhash64(F.lit(seed), "p", "source"), "source")).alias("_i"))
+    from threadloom.operators.running import running_sum
+
+    one = F.lit(1).cast("long")
+    placed = cut(running_sum(rows, ["conversation_id"], F.floor(F.col("source") / 1000), ["source"], one, "_i"))
+    shuffles = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p")
+    fixed = placed.select("conversation_id", "sender", "_i", shuffles)
+    each = placed.select("conversation_id", "source", "receiver", shuffles).withColumn("_h", F.xxhash64(F.lit(seed), "p", "source"))
+    mixed = running_sum(each, ["conversation_id", "p"], F.shiftright("_h", 56), ["_h", "source"], one, "_i").select("conversation_id", "p", "receiver", "_i")
     counts = (
         fixed.join(mixed, ["conversation_id", "p", "_i"])
         .join(F.broadcast(seen.select("sender", "receiver")), ["sender", "receiver"])
@@ -309,10 +337,7 @@ def motif_null(events: DataFrame, permutations: int = 100, seed: int = 42) -> Da
     shuffled = cut(mixed.join(fixed.select("_i", "src"), "_i").where(F.col("src") != F.col("dst")).select("p", "src", "dst").distinct())
     back = shuffled.select("p", F.col("dst").alias("src"), F.col("src").alias("dst"))
     dyads = shuffled.join(back, ["p", "src", "dst"], "left_semi").where(F.col("src") < F.col("dst")).groupBy("p").agg(F.count(F.lit(1)).alias("_n")).withColumn("motif", F.lit("reciprocal_dyads"))
-    second = shuffled.select("p", F.col("src").alias("dst"), F.col("dst").alias("_far"))
-    closing = shuffled.select("p", "src", F.col("dst").alias("_far"))
-    paths = shuffled.join(second, ["p", "dst"]).where(F.col("src") != F.col("_far"))
-    triples = paths.join(closing, ["p", "src", "_far"], "left_semi").groupBy("p").agg(F.count(F.lit(1)).alias("_n")).withColumn("motif", F.lit("transitive_triples"))
+    triples = _transitive_triples(shuffled, ["p"]).withColumn("motif", F.lit("transitive_triples"))
     sums = dyads.unionByName(triples).groupBy("motif").agg(F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
     seen = motif_counts(fixed).unpivot([], ["reciprocal_dyads", "transitive_triples"], "motif", "observed")
     mean = F.coalesce("_s", F.lit(0)) / permutations

@@ -159,14 +159,14 @@ def choice_features(messages: DataFrame, events: DataFrame) -> DataFrame:
         )
         wanted = asked.select(*keys, "at", "source", "candidate", F.lit(0).alias("_hit"))
         # A question stands before the reply itself, so it sees strictly earlier replies only.
-        order = Window.partitionBy("_to", *(["_from"] if pair_from else [])).orderBy("at", "source", "_hit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            happened.unionByName(wanted)
-            .withColumn(name, F.sum("_hit").over(order))
-            .withColumn(f"{name}_at", F.max(F.when(F.col("_hit") == 1, F.col("at"))).over(order))
-            .where(F.col("_hit") == 0)
-            .select("source", "candidate", name, f"{name}_at")
-        )
+        rows = happened.unionByName(wanted)
+        if pair_from is None:
+            # Everybody may write to one receiver: counts run over hours, so that no receiver is ordered by one task.
+            rows = running_sum(rows, ["_to"], hour_of("at"), ["at", "source", "_hit"], F.col("_hit").cast("long"), name).withColumn(f"{name}_at", F.col("at"))
+        else:
+            order = Window.partitionBy("_to", "_from").orderBy("at", "source", "_hit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            rows = rows.withColumn(name, F.sum("_hit").over(order)).withColumn(f"{name}_at", F.max(F.when(F.col("_hit") == 1, F.col("at"))).over(order))
+        return rows.where(F.col("_hit") == 0).select("source", "candidate", name, f"{name}_at")
 
     both = asked.join(history("source_sender", "candidate", "_rep"), ["source", "candidate"])
     both = both.join(history("candidate", "source_sender", "_rec"), ["source", "candidate"])

@@ -34,10 +34,21 @@ def stratified_sample(rows: DataFrame, key: str, strata: list[str], size: int, s
 
 
 def lowest_hashes(rows: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
-    """(key): the round(n·fraction) keys of lowest hash, half to even."""
-    hashed = rows.select(key, priority(seed, F.col(key)).alias("_h"))
-    n = hashed.count()
-    return hashed.orderBy("_h", key).limit(int(round(n * fraction))).select(key)
+    """(key): the round(n·fraction) keys of lowest hash, half to even.
+
+    The counts of the 65,536 first halves of hashes, at most so many rows, tell in which of them the last key lies; all below are
+    taken as they are, and only that one share is ordered.
+    """
+    hashed = rows.select(key, priority(seed, F.col(key)).alias("_h")).withColumn("_first", F.substring("_h", 1, 4))
+    counts = dict(hashed.groupBy("_first").count().collect())
+    left, last = int(round(sum(counts.values()) * fraction)), ""
+    for first in sorted(counts):
+        last = first
+        if left <= counts[first]:
+            break
+        left -= counts[first]
+    below = hashed.where(F.col("_first") < last).select(key)
+    return below.unionByName(hashed.where(F.col("_first") == last).orderBy("_h", key).limit(left).select(key))
 
 
 def balanced_split(rows: DataFrame, group: str, shares: dict[str, float], seed: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,20 +32,27 @@ def transfer_entropy(states: DataFrame, least: int = 20) -> DataFrame:
     """(source, target, n, bits): I(target next; source now | target now) over common consecutive weeks.
 
     Plug-in estimate, at least 0, for ordered pairs with ``least`` triples. ``states`` are weekly, so a pair
-    has few rows; pairs come from a join on the week.
+    has few rows. Only senders that have so many weeks, or so many consecutive ones, can be in such a pair, so only they
+    meet on the week; the four entropies come from one table of counts per pair.
     """
     now = states.select("sender", "week", "state")
     nxt = now.select("sender", F.date_add("week", -7).alias("week"), F.col("state").alias("next"))
-    target = now.join(nxt, ["sender", "week"]).select(F.col("sender").alias("target"), "week", F.col("state").alias("z"), F.col("next").alias("y"))
-    source = now.select(F.col("sender").alias("source"), "week", F.col("state").alias("x"))
-    triples = target.join(source, "week").where(F.col("source") != F.col("target"))
+    busy = lambda df, key: df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least).select(key), key, "left_semi")
+    target = busy(now.join(nxt, ["sender", "week"]).select(F.col("sender").alias("target"), "week", F.col("state").alias("z"), F.col("next").alias("y")), "target")
+    source = busy(now.select(F.col("sender").alias("source"), "week", F.col("state").alias("x")), "source")
     pair = ["source", "target"]
-    n = triples.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    triples = triples.join(n.select(*pair), pair, "left_semi")
-    parts = n
-    for name, keys in (("_yz", ["y", "z"]), ("_xz", ["x", "z"]), ("_z", ["z"]), ("_xyz", ["x", "y", "z"])):
-        parts = parts.join(entropy(triples, keys, name, pair), pair)
-    return parts.select(*pair, "n", F.greatest(F.col("_yz") + F.col("_xz") - F.col("_z") - F.col("_xyz"), F.lit(0.0)).alias("bits"))
+    cells = target.join(source, "week").where(F.col("source") != F.col("target")).groupBy(*pair, "x", "y", "z").agg(F.count(F.lit(1)).alias("_n"))
+    every = F.collect_list(F.struct("x", "y", "z", "_n")).alias("_cells")
+    pairs = cells.groupBy(*pair).agg(F.sum("_n").alias("n"), every).where(F.col("n") >= least)
+
+    # Σ n·log2(n / total of its margin) over the cells of a pair; a pair has at most as many cells as weeks.
+    def of(*keys: str) -> Column:
+        same = lambda c, o: reduce(lambda p, q: p & q, [c[k].eqNullSafe(o[k]) for k in keys])
+        margin = lambda c: F.aggregate(F.filter("_cells", lambda o: same(c, o)), F.lit(0).cast("long"), lambda t, o: t + o["_n"])
+        return F.aggregate(F.transform("_cells", lambda c: c["_n"] * F.log2(margin(c))), F.lit(0.0), lambda t, v: t + v)
+
+    bits = (of("x", "y", "z") + of("z") - of("y", "z") - of("x", "z")) / F.col("n")
+    return pairs.select(*pair, "n", F.greatest(bits, F.lit(0.0)).alias("bits"))
 
 
 def information_atoms(triples: DataFrame, group: list[str], least: int = 30) -> DataFrame:
