@@ -76,3 +76,28 @@ def test_late_rows_are_told_apart(spark):
     batch = spark.createDataFrame([("a", T0 - timedelta(1)), ("a", T0), ("b", T0 - timedelta(9))], "who string, at timestamp")
     on_time, late = split_late(batch, held, "who", "at")
     assert (on_time.count(), late.count()) == (2, 1)
+
+
+def test_large_json_is_split_by_lines(spark, tmp_path):
+    from threadloom.sources.chats import read_large_json
+
+    messages = [{"id": i, "type": "message", "date": "2024-01-01T00:00:00Z", "from": "A", "from_id": "u1", "text": ["a\n{", {"type": "bold", "text": f"{i}"}], "note": {"deep": [1]}} for i in range(500)]
+    (tmp_path / "result.json").write_text(json.dumps({"name": "c", "id": 77, "messages": messages}, indent=1, ensure_ascii=False))
+    whole = sorted(tuple(x) for x in read_json(spark, str(tmp_path)).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        parts = read_large_json(spark, str(tmp_path))
+        assert sorted(tuple(x) for x in parts.collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_text_export_over_several_blocks(spark, tmp_path):
+    lines = [f"[01.02.2024, 10:{i // 60 % 60:02}:{i % 60:02}] U{i % 5}: text {i}\nmore {i}" for i in range(900)]
+    (tmp_path / "chat.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = sorted((int(x.external_id), x.text) for x in read_txt(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, f"text {i}\nmore {i}") for i in range(900)]

@@ -126,6 +126,12 @@ def role_profiles(senders: DataFrame, edges: DataFrame, least: int = 5) -> DataF
     return rows.crossJoin(F.broadcast(marks)).select("sender", "n_messages", "mean_chars", "question_share", "sent", "received", role.alias("role"))
 
 
+def top_roles(profiles: DataFrame, top: int = 30) -> DataFrame:
+    """(profiles, place): the ``top`` profiles, brokers first, then by number of messages, ties by sender."""
+    order = [F.desc((F.col("role") == "broker").cast("int")), F.desc("n_messages"), F.col("sender")]
+    return profiles.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def _betweenness(edges: pd.DataFrame) -> pd.DataFrame:
     """Brandes' weighted betweenness with distance 1/weight, by Dijkstra from every node."""
     import heapq

@@ -161,7 +161,7 @@ def distinctive_terms(weights: DataFrame, groups: DataFrame, key: str, group: st
     own = rows.groupBy(group, "term").agg(F.sum("weight").alias("_c")).join(sizes, group)
     every = rows.groupBy("term").agg(F.sum("weight").alias("_g")).crossJoin(F.broadcast(total))
     c, g = F.col("_c") / F.col("_m"), F.col("_g") / F.col("_all")
-    scored = own.join(every, "term").select(group, "term", (c * F.greatest(F.log((c + 1e-9) / (g + 1e-9)), F.lit(0.0))).alias("score"))
+    scored = own.join(every, "term").select(group, "term", F.round(c * F.greatest(F.log((c + 1e-9) / (g + 1e-9)), F.lit(0.0)), 9).alias("score"))
     order = Window.partitionBy(group).orderBy(F.desc("score"), "term")
     return scored.withColumn("place", F.row_number().over(order)).where((F.col("place") <= top) & (F.col("score") > 0)).select(group, "place", "term", "score")
 

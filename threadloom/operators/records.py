@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.snapshots import digest_tree
+
 from threadloom.operators.running import hour_of, running_sum
 
 
@@ -44,11 +46,10 @@ def unit_status(judgments: DataFrame) -> DataFrame:
 
 
 def frozen_manifest(judgments: DataFrame) -> DataFrame:
-    """(annotation_set_id, n, manifest): a fingerprint of each set's judgments, the same in any order of rows."""
+    """(annotation_set_id, n, manifest): a SHA-256 over each set's judgments, the same in any order of rows."""
     cells = ["judgment_id", "unit_id", "task", "slot", "status", "annotator", "label"]
     key = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in cells])
-    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), key).cast("decimal(20,0)"))
-    return judgments.groupBy("annotation_set_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(2).cast("string")), 256).alias("manifest"))
+    return digest_tree(judgments, ["annotation_set_id"], key)
 
 
 def lineage_edges(annotations: DataFrame) -> DataFrame:

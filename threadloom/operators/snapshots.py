@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.session import cut
@@ -33,14 +33,22 @@ def advance(parent: DataFrame, imported: DataFrame) -> DataFrame:
     return parent.join(names, "conversation_id", "left_anti").unionByName(imported)
 
 
-def manifest(members: DataFrame, by: str = "conversation_id") -> DataFrame:
-    """(by, n, manifest): a fingerprint of each conversation's members, the same in any order.
+def digest_tree(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
+    """(keys, n, manifest): one SHA-256 of all rows of each key, the same in any order of rows.
 
-    Two 64-bit hashes of each member are summed, so every task adds up its part and nothing is collected.
+    Every row has a SHA-256 of its content; those with the same first five digits are sorted and hashed together, then those
+    of the same first two, then all. A list in a task holds a millionth of the rows of a key, then at most 4,096 digests, then 256.
     """
-    key = F.concat_ws("\x01", "external_id", "text_hash")
-    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), key).cast("decimal(20,0)"))
-    return members.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(2).cast("string")), 256).alias("manifest"))
+    step = lambda df, by: df.groupBy(*keys, *by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
+    each = rows.select(*keys, F.lit(1).cast("long").alias("n"), F.sha2(content, 256).alias("_h"))
+    fine = step(each.withColumn("_five", F.substring("_h", 1, 5)), ["_five"])
+    coarse = step(fine.withColumn("_two", F.substring("_five", 1, 2)), ["_two"])
+    return step(coarse, []).select(*keys, "n", F.col("_h").alias("manifest"))
+
+
+def manifest(members: DataFrame, by: str = "conversation_id") -> DataFrame:
+    """(by, n, manifest): a SHA-256 over the members of each conversation, the same in any order."""
+    return digest_tree(members, [by], F.concat_ws("\x01", "external_id", "text_hash"))
 
 
 def new_rows(incoming: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators.running import row_numbers
+from threadloom.operators.running import hour_of, row_numbers
 from threadloom.session import cut
 
 
+#: Terms that a topic model holds at most.
+VOCABULARY = 2**18
+
+
 def windows_of_messages(messages: DataFrame, size: int = 40, least_tail: int = 10) -> DataFrame:
     """(conversation_id, window_no, row_id, ordinal): runs of ``size`` messages; a short tail joins the one before.
 
@@ -32,11 +36,11 @@ def windows_of_messages(messages: DataFrame, size: int = 40, least_tail: int = 1
     )
 
 
-def tfidf(rows: DataFrame, key: str, text: str, least_df: int = 2, most_share: float = 0.9, vocabulary: int = 20_000) -> DataFrame:
+def tfidf(rows: DataFrame, key: str, text: str, least_df: int = 2, most_share: float = 0.9, vocabulary: int = 2**18) -> DataFrame:
     """(key, term, weight): (1 + ln tf)·(ln((1 + N)/(1 + df)) + 1), of unit length per text.
 
     Terms of four characters at least, in at least ``least_df`` and at most ``most_share`` of the texts; the
-    ``vocabulary`` most frequent ones.
+    ``vocabulary`` most frequent ones: beyond that the terms are too many to hold in every task.
     """
     words = rows.where(F.col(text).isNotNull()).select(key, F.explode(T.tokens(F.col(text), 4)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("_tf"))
     n = rows.where(F.col(text).isNotNull()).select(key).distinct().count()
@@ -73,10 +77,15 @@ def clusters(rows: DataFrame, key: str, vector: str, most: int = 10, seed: int =
     return best[2].transform(data).select(key, F.col("prediction").alias("cluster"), F.lit(best[1]).alias("k"), F.lit(name).alias("separation"))
 
 
+def topic_count(n: int) -> int:
+    """How many topics ``n`` texts get: between 2 and 5, about one for three; none below 6 texts."""
+    return 0 if n < 6 else min(5, max(2, round(n / 3)))
+
+
 def topics_lda(rows: DataFrame, key: str, text: str, k: int = 5, top: int = 10, seed: int = 42) -> DataFrame:
     """(topic, place, term, weight): the ``top`` terms of each topic of a latent Dirichlet model."""
     words = rows.where(F.col(text).isNotNull()).select(key, T.tokens(F.col(text), 4).alias("_w")).where(F.size("_w") > 0)
-    counter = CountVectorizer(inputCol="_w", outputCol="features", vocabSize=5000, minDF=2.0).fit(words)
+    counter = CountVectorizer(inputCol="_w", outputCol="features", vocabSize=VOCABULARY, minDF=2.0).fit(words)
     data = cut(counter.transform(words).select(key, "features"))
     model = LDA(k=k, seed=seed, maxIter=10, optimizer="online").fit(data)
     names = F.array(*[F.lit(v) for v in counter.vocabulary])
@@ -84,9 +93,11 @@ def topics_lda(rows: DataFrame, key: str, text: str, k: int = 5, top: int = 10,
     return described.select("topic", "place", F.element_at(names, F.col("_t.termIndices") + 1).alias("term"), F.col("_t.termWeights").alias("weight"))
 
 
-def topics_nmf(weights: DataFrame, key: str, k: int = 5, rounds: int = 8, seed: int = 42, top: int = 10) -> DataFrame:
+def topics_nmf(weights: DataFrame, key: str, k: int = 5, rounds: int = 400, seed: int = 42, top: int = 10, settled: float = 1e-3) -> DataFrame:
     """(topic, place, term, weight): non-negative factors of a (key, term, weight) matrix.
 
+    Rounds end after ``rounds``, or when the length of the terms' factor changes by less than the share ``settled`` in one.
+
     Multiplicative updates by joins: the factor of the texts is distributed by key, that of the terms by
     term, and only their k×k products meet on the driver.
     """
@@ -106,26 +117,48 @@ def topics_nmf(weights: DataFrame, key: str, k: int = 5, rounds: int = 8, seed:
         new = F.array(*[F.col(mine)[i] * F.col("_up")[i] / down[i] for i in range(k)])
         return cut(own.join(up, own_key).select(own_key, new.alias(mine)))
 
+    length = 0.0
     for _ in range(rounds):
         left = update(left, right, "_d", "term", "h", "w")
         right = update(right, left, "term", "_d", "w", "h")
+        before, length = length, float(np.sqrt(np.trace(gram(right, "w") @ gram(left, "h"))))
+        if abs(length - before) < settled * length:
+            break
     each = right.select("term", F.posexplode("w").alias("topic", "weight"))
     order = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
     return each.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < top).select("topic", "place", "term", "weight")
 
 
-def semantic_change(messages: DataFrame, vectors: DataFrame, least: int = 2, top: int = 50) -> DataFrame:
+def later_half(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_late``: false for the first n // 2 by time, then row id.
+
+    The counts of hours tell in which of them the middle lies, and only the rows of that hour are ordered.
+    """
+    hours = dict(rows.groupBy(hour_of("sent_at").alias("_p")).count().collect())
+    left = sum(hours.values()) // 2
+    for hour in sorted(hours):
+        if left < hours[hour]:
+            break
+        left -= hours[hour]
+    else:
+        return rows.withColumn("_late", F.lit(True))
+    inside = rows.where(hour_of("sent_at") == hour).select("sent_at", "row_id").orderBy("sent_at", "row_id").limit(left + 1)
+    middle = F.broadcast(inside.agg(F.max(F.struct("sent_at", "row_id")).alias("_middle")))
+    return rows.join(middle, F.lit(True)).withColumn("_late", F.struct("sent_at", "row_id") >= F.col("_middle")).drop("_middle")
+
+
+def semantic_change(messages: DataFrame, vectors: DataFrame, least: int = 2, top: int = 50, least_rows: int = 6) -> DataFrame:
     """(term, n_early, n_late, distance, shift): how the contexts of a term move from the early to the late half.
 
-    ``vectors`` hold row_id and an array; the halves are by time of the messages with a vector. ``distance``
+    ``vectors`` hold row_id and an array; the early half are the first n // 2 messages with a vector, by time. ``distance``
     is the mean cosine distance between early and late contexts, which for unit vectors is one less the
-    product of the two means; ``shift`` is the length of the difference of the means.
+    product of the two means; ``shift`` is the length of the difference of the means. Below ``least_rows`` messages nothing comes out.
     """
-    rows = messages.where(F.col("text").isNotNull() & F.col("sent_at").isNotNull()).join(vectors, "row_id")
-    ends = rows.agg(F.median(F.unix_micros("sent_at")).alias("_mid"))
+    rows = messages.where(F.col("text").isNotNull() & F.col("sent_at").isNotNull()).select("row_id", "text", "sent_at").join(vectors, "row_id")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.when(norm > 0, F.transform("vec", lambda x: x / norm)).otherwise(F.col("vec"))
-    sides = rows.crossJoin(F.broadcast(ends)).select("text", (F.unix_micros("sent_at") > F.col("_mid")).alias("_late"), unit.alias("_u"))
+    enough = rows.limit(least_rows).count() == least_rows
+    sides = later_half(rows).where(F.lit(enough)).select("text", "_late", unit.alias("_u"))
     halves = sides.select(F.explode(F.array_distinct(T.tokens(F.col("text"), 4))).alias("term"), "_late", "_u")
     counts = halves.groupBy("term").agg(F.count_if(~F.col("_late")).alias("n_early"), F.count_if(F.col("_late")).alias("n_late")).where((F.col("n_early") >= least) & (F.col("n_late") >= least))
     kept = halves.join(counts.select("term"), "term", "left_semi").select("term", "_late", F.posexplode("_u").alias("_i", "_x"))
@@ -133,4 +166,4 @@ def semantic_change(messages: DataFrame, vectors: DataFrame, least: int = 2, top
     moved = means.groupBy("term").agg(
         (1 - F.sum(F.col("_a") * F.col("_b"))).alias("distance"), F.sqrt(F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b")))).alias("shift")
     )
-    return moved.join(counts, "term").select("term", "n_early", "n_late", "distance", "shift").orderBy(F.desc("distance"), "term").limit(top)
+    return moved.join(counts, "term").select("term", "n_early", "n_late", F.round("distance", 9).alias("distance"), "shift").orderBy(F.desc("distance"), "term").limit(top)

@@ -20,6 +20,8 @@ from threadloom.operators.running import row_numbers
 from threadloom.plans.registry import Measurement, Registry, artifact_json
 from threadloom.sources.tables import table
 
+#: Query vectors that one block of a search broadcasts, twice what an even deal gives it.
+QUERY_BLOCK = 100_000
 BASE_COLUMNS = ["message_id", "sender", "sent_at", "message_type", "reply", "text"]
 
 
@@ -197,7 +199,14 @@ def reply_survival(spark: SparkSession, d: str) -> DataFrame:
     return R.kaplan_meier(R.first_reply_durations(rows, R.reply_events(rows)))
 
 
-@query()
+@query(rf"""WITH {_EV}, b0 AS (SELECT sender, coalesce(text, '') AS t_b, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w_b FROM m WHERE sender IS NOT NULL AND text <> ''), b1 AS (SELECT sender, [len(list_filter(w_b, lambda x: x IN ('и','а','но','что','как','если','то','же','ли','бы','не'))) / greatest(len(w_b), 1), len(list_filter(w_b, lambda x: x IN ('я','ты','он','она','мы','вы','они','это','тот','эта'))) / greatest(len(w_b), 1), len(list_filter(w_b, lambda x: x IN ('же','ли','бы','ведь','вот','даже','только','именно'))) / greatest(len(w_b), 1),
+  (length(t_b) - length(translate(t_b, '.,!?;:', ''))) / greatest(length(t_b), 1), (length(t_b) - length(regexp_replace(t_b, '[\x{{1F300}}-\x{{1FAFF}}]', '', 'g'))) / greatest(length(t_b), 1), least(len(w_b), 100) / 100] AS s FROM b0),
+mb AS (SELECT sender, [avg(s[1]), avg(s[2]), avg(s[3]), avg(s[4]), avg(s[5]), avg(s[6])] AS base FROM b1 GROUP BY sender),
+e0 AS (SELECT source_sender, target_sender, coalesce(source_text, '') AS t_r, regexp_extract_all(lower(coalesce(source_text, '')), '[\p{{L}}\p{{N}}_]+') AS w_r, coalesce(target_text, '') AS t_t, regexp_extract_all(lower(coalesce(target_text, '')), '[\p{{L}}\p{{N}}_]+') AS w_t FROM ev WHERE source_sender <> target_sender), e1 AS (SELECT source_sender, target_sender, [len(list_filter(w_r, lambda x: x IN ('и','а','но','что','как','если','то','же','ли','бы','не'))) / greatest(len(w_r), 1), len(list_filter(w_r, lambda x: x IN ('я','ты','он','она','мы','вы','они','это','тот','эта'))) / greatest(len(w_r), 1), len(list_filter(w_r, lambda x: x IN ('же','ли','бы','ведь','вот','даже','только','именно'))) / greatest(len(w_r), 1),
+  (length(t_r) - length(translate(t_r, '.,!?;:', ''))) / greatest(length(t_r), 1), (length(t_r) - length(regexp_replace(t_r, '[\x{{1F300}}-\x{{1FAFF}}]', '', 'g'))) / greatest(length(t_r), 1), least(len(w_r), 100) / 100] AS r, [len(list_filter(w_t, lambda x: x IN ('и','а','но','что','как','если','то','же','ли','бы','не'))) / greatest(len(w_t), 1), len(list_filter(w_t, lambda x: x IN ('я','ты','он','она','мы','вы','они','это','тот','эта'))) / greatest(len(w_t), 1), len(list_filter(w_t, lambda x: x IN ('же','ли','бы','ведь','вот','даже','только','именно'))) / greatest(len(w_t), 1),
+  (length(t_t) - length(translate(t_t, '.,!?;:', ''))) / greatest(length(t_t), 1), (length(t_t) - length(regexp_replace(t_t, '[\x{{1F300}}-\x{{1FAFF}}]', '', 'g'))) / greatest(length(t_t), 1), least(len(w_t), 100) / 100] AS t FROM e0),
+e2 AS (SELECT target_sender AS initiator, source_sender AS responder, list_avg(list_transform(range(1, 7), lambda i: 1 - least(abs(t[i] - r[i]), 1.0))) - list_avg(list_transform(range(1, 7), lambda i: 1 - least(abs(t[i] - base[i]), 1.0))) AS d FROM e1 JOIN mb ON mb.sender = source_sender)
+SELECT initiator, responder, count(*)::BIGINT AS n, avg(d) AS delta, avg(d) - 1.96 * CASE WHEN count(*) > 1 THEN stddev_samp(d) / sqrt(count(*)) ELSE 0 END AS lower, avg(d) + 1.96 * CASE WHEN count(*) > 1 THEN stddev_samp(d) / sqrt(count(*)) ELSE 0 END AS upper FROM e2 GROUP BY 1, 2""")
 def style_coordination(spark: SparkSession, d: str) -> DataFrame:
     rows = base(spark, d, ["sender", "reply", "text"])
     return R.coordination(rows, R.reply_events(rows, ("sender", "text")))
@@ -249,7 +258,21 @@ def motif_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.motif_counts(edges(spark, d))
 
 
-@query()
+_ROLES = f"""{_ED}, sc AS (SELECT sender, count(*) AS n_messages, coalesce(sum(length(text)), 0) AS n_chars, count(*) FILTER (contains(text, '?')) AS q FROM m WHERE sender IS NOT NULL GROUP BY sender HAVING count(*) >= 5),
+st AS (SELECT src AS sender, sum(weight) AS w FROM ed GROUP BY 1), rt AS (SELECT dst AS sender, sum(weight) AS w FROM ed GROUP BY 1),
+ro AS (SELECT sc.sender, n_messages, n_chars / n_messages AS mean_chars, q / n_messages AS question_share, coalesce(st.w, 0) AS sent, coalesce(rt.w, 0) AS received FROM sc LEFT JOIN st USING (sender) LEFT JOIN rt USING (sender)),
+at_ AS (SELECT round_even((count(*) - 1) * 0.75, 0)::INT + 1 AS i FROM ro),
+mk AS (SELECT list_sort(list(sent))[any_value(i)] AS ms, list_sort(list(received))[any_value(i)] AS mr, list_sort(list(question_share))[any_value(i)] AS mq, list_sort(list(mean_chars))[any_value(i)] AS mc FROM ro, at_),
+rp AS (SELECT sender, n_messages::BIGINT AS n_messages, mean_chars, question_share, sent::BIGINT AS sent, received::BIGINT AS received, CASE WHEN sent >= ms AND sent > 0 AND received >= mr AND received > 0 THEN 'broker' WHEN received >= mr AND received > 0 THEN 'initiator'
+  WHEN sent >= ms AND sent > 0 THEN 'responder' WHEN question_share >= mq AND question_share > 0 THEN 'questioner' WHEN mean_chars >= mc AND mean_chars > 0 THEN 'broadcaster' ELSE 'participant' END AS role FROM ro, mk)"""
+
+
+@query(f"WITH {_ROLES} SELECT * FROM rp ORDER BY CASE WHEN role = 'broker' THEN 0 ELSE 1 END, n_messages DESC, sender LIMIT 30".replace("SELECT * FROM rp", "SELECT *, row_number() OVER (ORDER BY CASE WHEN role = 'broker' THEN 0 ELSE 1 END, n_messages DESC, sender)::INT AS place FROM rp"))
+def top_roles(spark: SparkSession, d: str) -> DataFrame:
+    return G.top_roles(role_profiles(spark, d))
+
+
+@query(f"WITH {_ROLES} SELECT * FROM rp")
 def role_profiles(spark: SparkSession, d: str) -> DataFrame:
     return G.role_profiles(P.sender_counts(base(spark, d)), edges(spark, d))
 
@@ -363,7 +386,16 @@ def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("evidence_id", F.col("_s.start").alias("start_codepoint"), F.col("_s.end").alias("end_codepoint"), F.col("_s.sentence").alias("sentence"))
 
 
-@query()
+@query(f"""WITH {_M}, a AS (SELECT strftime(sent_at, '%Y-%m') AS month, regexp_extract_all(lower(text), '[а-яёa-z][а-яёa-z-]*') AS w FROM m WHERE text <> ''), j AS (SELECT month, w, ' ' || array_to_string(w, ' ') || ' ' AS j FROM a),
+r AS (SELECT month, (len(list_filter(w, lambda x: x IN ('хорошо', 'отлично', 'рад', 'успех', 'получилось', 'спасибо')))) / greatest(len(w), 1) - (len(list_filter(w, lambda x: x IN ('плохо', 'ошибка', 'провал', 'проблема', 'страх', 'злость')))) / greatest(len(w), 1) AS valence,
+  (len(list_filter(w, lambda x: x IN ('срочно', 'немедленно', 'ужас', 'ура', 'бесит', 'критично')))) / greatest(len(w), 1) AS arousal,
+  (len(list_filter(w, lambda x: x IN ('точно', 'обязательно', 'решено', 'делаем', 'требую', 'нужно')))) / greatest(len(w), 1) - (len(list_filter(w, lambda x: x IN ('возможно', 'кажется', 'наверное', 'может'))) + CASE WHEN contains(j, 'не уверен') THEN 1 ELSE 0 END) / greatest(len(w), 1) AS dominance,
+  (len(list_filter(w, lambda x: x IN ('злой', 'злость', 'бесит', 'ярость', 'возмущён', 'ненавижу')))) / greatest(len(w), 1) AS anger,
+  (len(list_filter(w, lambda x: x IN ('страшно', 'страх', 'боюсь', 'опасно', 'тревожно', 'риск')))) / greatest(len(w), 1) AS fear,
+  (len(list_filter(w, lambda x: x IN ('грустно', 'печально', 'жаль', 'потеря', 'разочарован')))) / greatest(len(w), 1) AS sadness,
+  (len(list_filter(w, lambda x: x IN ('рад', 'рада', 'радость', 'отлично', 'счастлив', 'ура')))) / greatest(len(w), 1) AS joy,
+  (len(list_filter(w, lambda x: x IN ('устал', 'надоело', 'опять', 'тупик', 'раздражает'))) + CASE WHEN contains(j, 'не получается') THEN 1 ELSE 0 END) / greatest(len(w), 1) AS frustration FROM j)
+SELECT month, count(*)::BIGINT AS n, count(*) FILTER (valence <> 0 OR arousal <> 0 OR dominance <> 0 OR anger <> 0 OR fear <> 0 OR sadness <> 0 OR joy <> 0 OR frustration <> 0)::BIGINT AS n_signal, avg(valence) AS valence, avg(arousal) AS arousal, avg(dominance) AS dominance, avg(anger) AS anger, avg(fear) AS fear, avg(sadness) AS sadness, avg(joy) AS joy, avg(frustration) AS frustration FROM r GROUP BY month""")
 def affect_by_month(spark: SparkSession, d: str) -> DataFrame:
     rows = base(spark, d, ["text", "sent_at"]).where(F.col("text") != "").select(F.date_format("sent_at", "yyyy-MM").alias("month"), T.affect(F.col("text")).alias("a"))
     names = ["valence", "arousal", "dominance", "anger", "fear", "sadness", "joy", "frustration"]
@@ -403,37 +435,50 @@ def lexical_retrieval(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def embedding_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 20 against all vectors, in one pass with the queries broadcast after a check of their number."""
+    """Every vector whose id is divisible by 20 against all vectors, the queries broadcast in blocks of at most ``QUERY_BLOCK`` of them."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    small = asked.count() <= 100_000
-    pairs = vectors.join(F.broadcast(asked) if small else asked, F.col("vec_id") != F.col("query_id"))
+    blocks = max(1, -(-2 * asked.count() // QUERY_BLOCK))
+    pairs = None
+    for block in range(blocks):
+        part = vectors.join(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)), F.col("vec_id") != F.col("query_id"))
+        pairs = part if pairs is None else pairs.unionByName(part)
     scored = pairs.select("query_id", "vec_id", F.round(T.cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 10)
 
 
-@query()
+_TFIDF = rf"""w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 4)) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), v AS (SELECT term, df FROM df, n WHERE df >= 2 AND df <= 0.9 * n ORDER BY df DESC, term LIMIT 262144),
+x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n), tw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x)"""
+
+
+@query(f"WITH {_TFIDF} SELECT doc_id, term, weight FROM tw")
 def document_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return H.tfidf(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return H.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", most=5)
+    return H.clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query()
 def topics_lda(spark: SparkSession, d: str) -> DataFrame:
-    return H.topics_lda(table(spark, d, "documents"), "doc_id", "text", k=3)
+    return H.topics_lda(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
 def topics_nmf(spark: SparkSession, d: str) -> DataFrame:
-    return H.topics_nmf(H.tfidf(table(spark, d, "documents"), "doc_id", "text", vocabulary=2000), "doc_id", k=3, rounds=3)
+    return H.topics_nmf(H.tfidf(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(rf"""WITH {_M}, g AS (SELECT message_id, arg_min(vec_values::DOUBLE[], feature_id) AS v FROM message_features WHERE len(vec_values) = 64 AND len(list_filter(vec_values, lambda x: x IS NOT NULL AND NOT isnan(x))) = 64 GROUP BY 1),
+r AS (SELECT row_id, text, row_number() OVER (ORDER BY sent_at, row_id) - 1 AS i, count(*) OVER () AS n, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS u FROM m JOIN g USING (message_id) WHERE text IS NOT NULL AND sent_at IS NOT NULL),
+t AS (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 4))) AS term, i >= n // 2 AS late, u FROM r WHERE n >= 6),
+c AS (SELECT term, count(*) FILTER (NOT late) AS n_early, count(*) FILTER (late) AS n_late FROM t GROUP BY term HAVING count(*) FILTER (NOT late) >= 2 AND count(*) FILTER (late) >= 2),
+e AS (SELECT term, late, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM t SEMI JOIN c USING (term)), a AS (SELECT term, k, avg(x) FILTER (NOT late) AS a, avg(x) FILTER (late) AS b FROM e GROUP BY ALL),
+d AS (SELECT term, round(1 - sum(a * b), 9) AS distance, sqrt(sum((a - b) * (a - b))) AS shift FROM a GROUP BY term) SELECT term, n_early::BIGINT AS n_early, n_late::BIGINT AS n_late, distance, shift FROM d JOIN c USING (term) ORDER BY distance DESC, term LIMIT 50""")
 def semantic_change(spark: SparkSession, d: str) -> DataFrame:
     good = table(spark, d, "message_features").where((F.size("vec_values") == 64) & ~F.exists("vec_values", lambda x: x.isNull() | F.isnan(x)))
     one = good.groupBy("message_id").agg(F.min_by(F.transform("vec_values", lambda x: x.cast("double")), "feature_id").alias("vec"))
@@ -471,7 +516,13 @@ def transfer_entropy(spark: SparkSession, d: str) -> DataFrame:
     return X.transfer_entropy(_states(spark, d))
 
 
-@query()
+@query(f"""WITH {_M}, t AS (SELECT CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN length(text) < 40 THEN 'short' WHEN length(text) < 200 THEN 'medium' ELSE 'long' END AS y, coalesce(message_type, '?') AS x1, coalesce(reply, '') <> '' AS x2 FROM m),
+n AS (SELECT count(*) AS n FROM t), py AS (SELECT y, count(*) AS k FROM t GROUP BY y), a1 AS (SELECT y, x1 AS x, count(*) AS k FROM t GROUP BY ALL), a2 AS (SELECT y, x2::VARCHAR AS x, count(*) AS k FROM t GROUP BY ALL),
+s1 AS (SELECT a1.y, sum(a1.k / py.k * log2(a1.k * n / (m1.k * py.k))) AS s FROM a1 JOIN py USING (y) JOIN (SELECT x, sum(k) AS k FROM a1 GROUP BY x) m1 ON m1.x = a1.x, n GROUP BY a1.y),
+s2 AS (SELECT a2.y, sum(a2.k / py.k * log2(a2.k * n / (m2.k * py.k))) AS s FROM a2 JOIN py USING (y) JOIN (SELECT x, sum(k) AS k FROM a2 GROUP BY x) m2 ON m2.x = a2.x, n GROUP BY a2.y),
+i AS (SELECT sum(py.k / n * least(s1.s, s2.s)) AS r, sum(py.k / n * s1.s) AS i1, sum(py.k / n * s2.s) AS i2 FROM py JOIN s1 USING (y) JOIN s2 USING (y), n),
+h AS (SELECT (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY y)) + (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY x1, x2)) - (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY x1, x2, y)) AS total)
+SELECT 'all' AS scope, n::BIGINT AS n, r AS redundancy, i1 - r AS unique_1, i2 - r AS unique_2, total - i1 - i2 + r AS synergy FROM n, i, h WHERE n >= 30""")
 def information_atoms(spark: SparkSession, d: str) -> DataFrame:
     rows = base(spark, d, ["sender", "sent_at", "text", "message_type", "reply"])
     triples = rows.select(

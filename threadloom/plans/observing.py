@@ -14,7 +14,7 @@ from threadloom.operators import records as C
 from threadloom.operators import replies as R
 from threadloom.operators import retrieval as Q
 from threadloom.operators import themes as H
-from threadloom.plans.analytics import _EV, _M, base, events
+from threadloom.plans.analytics import _EV, _M, _TFIDF, base, events
 from threadloom.plans.rules import ACTS as _ACTS
 from threadloom.sources.tables import table
 
@@ -57,20 +57,37 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return O.mentions(base(spark, d, ["text"]), _people(spark, d))
 
 
-@query()
+@query(rf"""WITH {_M}, pl AS (SELECT conversation_id, row_id, row_number() OVER (PARTITION BY conversation_id ORDER BY sent_at NULLS FIRST, row_id) AS i FROM m),
+p AS (SELECT DISTINCT external_id AS person, unnest(list_filter(regexp_extract_all(lower(display_name), '[\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 4)) AS surface FROM participants), k AS (SELECT DISTINCT surface FROM p),
+w AS (SELECT DISTINCT row_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda x: length(x) >= 2)) AS surface FROM m WHERE text IS NOT NULL),
+f AS (SELECT row_id, surface, 'name' AS basis FROM w JOIN k USING (surface) UNION ALL SELECT row_id, surface, 'pronoun' FROM w WHERE surface IN ('он', 'она', 'они', 'оно', 'его', 'её', 'их', 'ему', 'ей', 'им')),
+r AS (SELECT f.*, conversation_id, i FROM f JOIN pl USING (row_id)),
+s AS (SELECT a.row_id, a.surface, b.row_id AS antecedent, b.surface AS antecedent_surface, b.i AS j, round(CASE WHEN a.surface = b.surface THEN 0.9 WHEN a.basis = 'pronoun' AND b.basis = 'name' THEN 0.55 END - (a.i - b.i) / 200, 6) AS score
+  FROM r a JOIN r b ON b.conversation_id = a.conversation_id AND b.i < a.i AND a.i - b.i <= 40)
+SELECT row_id, surface, antecedent, antecedent_surface, score, row_number() OVER (PARTITION BY row_id, surface ORDER BY score DESC, j DESC, antecedent_surface)::INT AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 5""")
 def coreference(spark: SparkSession, d: str) -> DataFrame:
     rows = base(spark, d, ["text", "sent_at"])
     return O.coreference(rows, O.mentions(rows, _people(spark, d)))
 
 
-@query()
+@query(f"""WITH {_TFIDF.replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")}, gr AS (SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), sz AS (SELECT lang, count(*) AS k FROM gr GROUP BY lang),
+own AS (SELECT lang, term, sum(weight) AS c FROM tw JOIN gr USING (doc_id) GROUP BY ALL), ev AS (SELECT term, sum(weight) / (SELECT count(*) FROM gr) AS g FROM tw GROUP BY term),
+sc AS (SELECT lang, term, round(c / k * greatest(ln((c / k + 1e-9) / (g + 1e-9)), 0), 9) AS score FROM own JOIN sz USING (lang) JOIN ev USING (term))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term)::INT AS place, term, score FROM sc WHERE score > 0 QUALIFY place <= 10""")
 def document_themes(spark: SparkSession, d: str) -> DataFrame:
     """Distinctive terms of the languages of the documents, as groups that are known."""
     rows = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     return O.distinctive_terms(H.tfidf(rows, "doc_id", "text"), rows, "doc_id", "lang")
 
 
-@query()
+@query(rf"""WITH {_M}, r AS (SELECT row_id, strftime(sent_at, '%Y-%m') AS month, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+') AS w FROM m WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT row_id, month, unnest(list_filter(w, lambda x: length(x) >= 4)) AS theme FROM r), top AS (SELECT theme FROM t GROUP BY theme ORDER BY count(*) DESC, theme LIMIT 20), tot AS (SELECT month, count(*) AS k FROM r GROUP BY month),
+c AS (SELECT theme, month, count(*) AS n FROM t SEMI JOIN top USING (theme) GROUP BY ALL), sh AS (SELECT theme, month, n, n / k AS share FROM c JOIN tot USING (month) WHERE n >= 5 QUALIFY count(*) OVER (PARTITION BY theme) >= 4),
+p AS (SELECT *, lag(share) OVER (PARTITION BY theme ORDER BY month) AS previous, list(share) OVER (PARTITION BY theme ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM sh),
+g AS (SELECT *, ln((share + 1e-4) / (previous + 1e-4)) AS log_change FROM p WHERE previous IS NOT NULL), ce AS (SELECT theme, median(log_change) AS ce FROM g GROUP BY theme), ma AS (SELECT theme, median(abs(log_change - ce)) AS mad FROM g JOIN ce USING (theme) GROUP BY theme),
+s AS (SELECT theme, month, log_change, CASE WHEN mad > 0 THEN abs(log_change - ce) / (1.4826 * mad) ELSE abs(log_change - ce) END AS robust_score,
+  coalesce(list_min(list_filter(range(1, len(after) + 1), lambda i: CASE WHEN log_change > 0 THEN after[i] <= previous ELSE after[i] >= previous END)) - 1, len(after))::INT AS persistence FROM g JOIN ce USING (theme) JOIN ma USING (theme))
+SELECT theme, month, log_change, robust_score, persistence FROM s WHERE robust_score >= 2 ORDER BY robust_score DESC, theme, month LIMIT 5""")
 def theme_share_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes of the monthly share of messages that hold each of the 20 most frequent terms."""
     rows = base(spark, d, ["text", "sent_at"]).where(F.col("text").isNotNull())
@@ -124,7 +141,8 @@ def unit_status(spark: SparkSession, d: str) -> DataFrame:
     return C.unit_status(table(spark, d, "gold_task_judgments"))
 
 
-@query()
+@query("""WITH e AS (SELECT annotation_set_id, sha256(concat_ws(chr(1), coalesce(judgment_id::VARCHAR, chr(2)), coalesce(unit_id::VARCHAR, chr(2)), coalesce(task::VARCHAR, chr(2)), coalesce(slot::VARCHAR, chr(2)), coalesce(status::VARCHAR, chr(2)), coalesce(annotator::VARCHAR, chr(2)), coalesce(label::VARCHAR, chr(2)))) AS h FROM gold_task_judgments), f AS (SELECT annotation_set_id, substr(h, 1, 5) AS five, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY ALL),
+c AS (SELECT annotation_set_id, substr(five, 1, 2) AS two, sum(n) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f GROUP BY annotation_set_id, substr(five, 1, 2)) SELECT annotation_set_id, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY h)) AS manifest FROM c GROUP BY annotation_set_id""")
 def frozen_manifest(spark: SparkSession, d: str) -> DataFrame:
     return C.frozen_manifest(table(spark, d, "gold_task_judgments"))
 

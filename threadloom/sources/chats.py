@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.running import running_sum
+
 #: Columns that every reader gives: the chat, the message's id in it, who and when, what it answers, the text.
 SCHEMA = (
     "chat STRING, external_id STRING, sender_external_id STRING, sender_name STRING, sent_at TIMESTAMP, source_local_timestamp STRING, "
@@ -17,10 +19,11 @@ SCHEMA = (
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
-_JSON = (
-    "id STRING, name STRING, messages ARRAY<STRUCT<id: STRING, type: STRING, date: STRING, date_unixtime: STRING, `from`: STRING, from_id: STRING, "
-    "actor: STRING, actor_id: STRING, text: VARIANT, caption: VARIANT, reply_to_message_id: STRING>>"
+_MESSAGE = (
+    "STRUCT<id: STRING, type: STRING, date: STRING, date_unixtime: STRING, `from`: STRING, from_id: STRING, "
+    "actor: STRING, actor_id: STRING, text: VARIANT, caption: VARIANT, reply_to_message_id: STRING>"
 )
+_JSON = f"id STRING, name STRING, messages ARRAY<{_MESSAGE}>"
 
 
 def _flat_text(value: str) -> Column:
@@ -38,12 +41,41 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     A Unix time is certain (confidence 1), so is a time with a zone; one without is taken as UTC at 0.5. A
     message without any time has none, at 0.
     """
-    m = spark.read.schema(_JSON).option("multiLine", True).json(path).select("id", "name", F.explode("messages").alias("m"))
+    return _of_json(spark.read.schema(_JSON).option("multiLine", True).json(path).select(F.col("id").alias("chat"), F.explode("messages").alias("m")))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line) of text files: ``block`` and ``at`` give the order in a file, which many tasks may share."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")
+    )
+
+
+def read_large_json(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """Messages of JSON exports written with one field per line, as exporting programs do, each file shared by many tasks.
+
+    A message begins with a lone brace ``indent`` blanks deep and ends with the next one; its lines are put together and parsed
+    by themselves, so no task holds a file. The chat's own id stands before the messages, less deep.
+    """
+    lines = _lines(spark, path)
+    deep = " " * indent
+    opens, closes = F.col("line").rlike(rf"^{deep}\{{\s*$"), F.col("line").rlike(rf"^{deep}\}},?\s*$")
+    rows = running_sum(lines, ["file"], F.col("block"), ["block", "at"], opens.cast("long"), "_k")
+    number = rows.where(F.col("_k") > 0).withColumn("_end", closes)
+    ended = running_sum(number, ["file", "_k"], F.col("block"), ["block", "at"], F.col("_end").cast("long"), "_e")
+    inside = ended.where((F.col("_e") == 0) | (F.col("_end") & (F.col("_e") == 1)))
+    each = inside.groupBy("file", "_k").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("_l"))
+    text = F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), r",\s*$", "")
+    chats = lines.where(F.col("line").rlike(rf'^ {{0,{indent - 1}}}"id":')).groupBy("file").agg(F.min_by(F.regexp_extract("line", r'"id":\s*"?([^",]+)', 1), F.struct("block", "at")).alias("chat"))
+    return _of_json(each.join(chats, "file", "left").select("chat", F.from_json(text, _MESSAGE).alias("m")))
+
+
+def _of_json(m: DataFrame) -> DataFrame:
     unix = F.col("m.date_unixtime").try_cast("bigint")
     zoned = F.col("m.date").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     at = F.coalesce(F.timestamp_seconds(unix), F.try_to_timestamp(F.col("m.date")))
     return m.select(
-        F.col("id").alias("chat"),
+        "chat",
         F.col("m.id").alias("external_id"),
         F.coalesce("m.from_id", "m.actor_id").alias("sender_external_id"),
         F.coalesce("m.from", "m.actor").alias("sender_name"),
@@ -62,14 +94,12 @@ _HEAD = r"^‎?\[?(\d{1,2}[./]\d{1,2}[./]\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)\]
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """Messages of text exports: ``[dd.mm.yyyy, HH:MM:SS] sender: text``, brackets optional.
 
-    Lines without such a head continue the message before. Ids are ordinals in the file, confidence is 0.4.
+    Lines without such a head continue the message before. Ids are ordinals in the file, confidence is 0.4. A file is read by
+    as many tasks as it has blocks; heads are counted block by block.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("chat"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")
-    )
-    order = Window.partitionBy("chat").orderBy("n")
+    lines = _lines(spark, path).withColumn("chat", F.regexp_extract("file", r"([^/]+)$", 1)).withColumn("n", F.struct("block", "at"))
     head = F.col("line").rlike(_HEAD)
-    numbered = lines.withColumn("k", F.sum(head.cast("int")).over(order)).where(F.col("k") > 0)
+    numbered = running_sum(lines, ["chat"], F.col("block"), ["block", "at"], head.cast("long"), "k").where(F.col("k") > 0)
     body = F.when(head, F.regexp_extract("line", _HEAD, 4)).otherwise(F.col("line"))
     parts = numbered.select("chat", "k", "n", body.alias("body"), *[F.when(head, F.regexp_extract("line", _HEAD, i)).alias(f"h{i}") for i in (1, 2, 3)])
     each = parts.groupBy("chat", "k").agg(
