@@ -87,18 +87,34 @@ def resolve_hierarchy(
     get a null root and depth −1 (and a null path); a node that is its own parent is a circle. ``path``
     lists the ancestors from the parent up to the root. Columns besides the two named are ignored.
 
-    Deterministic hash splitters stand for one node in ``stride``. Every node walks to its next splitter
+    A node without children has its parent's root and one more step, so only nodes with children walk. Deterministic
+    hash splitters stand for one node in ``stride``. Every such node walks to its next splitter
     or root, the graph of splitters alone is solved in the same way, and the two parts are added up. A
     circle without a splitter never ends its walk and is recognised in the first phase, any other one in
-    the second. All joins are on single nodes, so neither a huge tree nor a long chain meets one task.
+    the second. All joins are on single nodes, so no long chain meets one task; the children of one parent meet
+    it once, in a join whose large side adaptive execution splits.
     """
-    links = links.select(F.col(node).alias("id"), F.col(parent).alias("parent"))
+    links = links.select(F.col(node).alias("id"), F.col(parent).alias("parent")).where("id IS NOT NULL AND parent IS NOT NULL")
+    above = links.select(F.col("parent").alias("id")).distinct().withColumn("_inner", F.lit(True))
+    links = cut(links.join(above, "id", "left"))
+    inner = links.where("_inner").select("id", "parent")
+    solved = _resolve(inner, stride, False)
     if with_path:
         # Paths around a circle would never end, so circles are found first and kept out.
-        lost = cut(_resolve(links, stride, False)).where(F.col("depth") < 0)
-        clean = links.join(lost.select("id"), "id", "left_anti")
-        return _resolve(clean, stride, True).unionByName(lost, allowMissingColumns=True)
-    return _resolve(links, stride, False)
+        lost = cut(solved).where(F.col("depth") < 0)
+        clean = inner.join(lost.select("id"), "id", "left_anti")
+        solved = _resolve(clean, stride, True).unionByName(lost, allowMissingColumns=True)
+    solved = cut(solved)
+    up = solved.select(F.col("id").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), *([F.col("path").alias("_path")] if with_path else []))
+    leaves = links.where("_inner IS NULL").select("id", "parent").join(up, "parent", "left")
+    lost = F.col("_depth") < 0
+    ends = leaves.select(
+        "id",
+        F.when(F.col("_depth").isNull(), F.col("parent")).when(~lost, F.col("_root")).alias("root"),
+        F.when(F.col("_depth").isNull(), F.lit(1)).when(lost, F.lit(-1)).otherwise(F.col("_depth") + 1).cast("long").alias("depth"),
+        *([F.when(F.col("_depth").isNull(), F.array("parent")).when(~lost, F.concat(F.array("parent"), "_path")).alias("path")] if with_path else []),
+    )
+    return solved.unionByName(ends)
 
 
 def _resolve(links: DataFrame, stride: int, with_path: bool) -> DataFrame:
