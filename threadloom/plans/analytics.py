@@ -341,14 +341,19 @@ def message_revisions(spark: SparkSession, d: str) -> DataFrame:
     return V.revisions(table(spark, d, "messages")).withColumn("imported_us", F.unix_micros("imported_at")).drop("imported_at")
 
 
-@query("""SELECT conversation_id, external_id, arg_max(row_id, (imported_at, row_id)) AS row_id, arg_max(text_hash, (imported_at, row_id)) AS text_hash FROM (
+_MEMBERS = """SELECT conversation_id, external_id, arg_max(row_id, (imported_at, row_id)) AS row_id, arg_max(text_hash, (imported_at, row_id)) AS text_hash FROM (
   SELECT *, lag(text_hash) OVER w IS NOT DISTINCT FROM text_hash AND row_number() OVER w > 1 AS same FROM messages
-  WINDOW w AS (PARTITION BY conversation_id, external_id ORDER BY imported_at, row_id)) WHERE NOT same AND imported_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00' GROUP BY ALL""")
+  WINDOW w AS (PARTITION BY conversation_id, external_id ORDER BY imported_at, row_id)) WHERE NOT same AND imported_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00' GROUP BY ALL"""
+
+
+@query(_MEMBERS)
 def snapshot_members(spark: SparkSession, d: str) -> DataFrame:
     return V.members_at(V.revisions(table(spark, d, "messages")), "2024-01-01 00:00:00")
 
 
-@query()
+@query(f"""WITH mb AS ({_MEMBERS}),
+e AS (SELECT conversation_id, sha256(concat_ws(chr(1), external_id, text_hash)) AS h FROM mb), f AS (SELECT conversation_id, substr(h, 1, 5) AS five, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY ALL),
+c AS (SELECT conversation_id, substr(five, 1, 2) AS two, sum(n) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f GROUP BY conversation_id, substr(five, 1, 2)) SELECT conversation_id, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY h)) AS manifest FROM c GROUP BY conversation_id""")
 def snapshot_manifest(spark: SparkSession, d: str) -> DataFrame:
     return V.manifest(V.members_at(V.revisions(table(spark, d, "messages")), "2024-01-01 00:00:00"))
 
