@@ -29,6 +29,14 @@ EVIDENCE = ["по данным", "исследовани*", "показыва*",
 PREMISE = ["потому что", "так как", "поскольку", "ведь", "поэтому", "следовательно"]
 SUPPORT = ["соглас*", "верно", "поддержива*", "именно", "да,", "да "]
 ATTACK = ["не соглас*", "неверно", "нет,", "нет ", "нет:", "ошиб*", "против", "однако", "но "]
+# Cues that are rare, in order; a concession is one of its words and "но" within 80 characters of a line.
+RARE_CUES = {
+    "repair": ["точнее", "поправлюсь", "имел в виду", "имела в виду", "имели в виду", "не так выразил"],
+    "concession": ["согласен", "согласна", "допустим", "пусть"],
+    "attribution": ["по словам", "считает", "утверждает", "говорят", "якобы"],
+    "uncertainty": ["возможно", "кажется", "наверное", "не уверен", "не уверена"],
+    "argument": ["потому что", "так как", "поэтому", "следовательно", "однако"],
+}
 # Modal words and negations of the linguistic measures.
 MODALS = ["мочь", "должный", "нужно", "необходимо", "следовать", "хотеть", "возможно", "вероятно"]
 NEGATIONS = ["не", "ни"]

@@ -81,6 +81,18 @@ def grounding(text: Column) -> Column:
     )
 
 
+def rare_cue(text: Column) -> Column:
+    """The first rare cue that a text holds, else none."""
+    out = F.lit("none")
+    for name, words in reversed(L.RARE_CUES.items()):
+        if name == "concession":
+            test = F.coalesce(text.rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)}).{{0,79}}[^\p{{L}}\p{{N}}_\n]но([^\p{{L}}\p{{N}}_]|$)"), F.lit(False))
+        else:
+            test = has_words(text, words)
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Pieces between blanks."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

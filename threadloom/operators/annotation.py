@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.operators.sampling import priority
 
-# Marks of several propositions in a text, and cues that are rare.
-SEVERAL = ["и", "но", "однако", "поэтому"]
-
 
 def is_difficult(text: Column, reply: Column) -> Column:
     """An explicit reply, a question, more than 180 characters or more than one full stop."""
@@ -20,15 +17,13 @@ def is_difficult(text: Column, reply: Column) -> Column:
 
 def strata(messages: DataFrame, episodes: DataFrame, chats: DataFrame) -> DataFrame:
     """One row per message with its eleven strata: quarter, conversation, participant, size of episode, reply, length, question,
-    several propositions, the rarest act, platform and goal."""
+    several sentences, the first rare cue, platform and goal."""
     size = episodes.groupBy("conversation_id", "episode_no").agg(F.count(F.lit(1)).alias("_size"))
     sized = episodes.join(size, ["conversation_id", "episode_no"]).select("row_id", "_size")
     known = chats.select("conversation_id", "platform", "goal").dropDuplicates(["conversation_id"])
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
     bucket = lambda v, low, high: F.when(v < low, "short").when(v < high, "medium").otherwise("long")
-    acts = T.dialogue_acts(text)
-    rare = F.when(F.array_contains(acts, "DISAGREE"), "DISAGREE").when(F.array_contains(acts, "COMMIT"), "COMMIT").when(F.array_contains(acts, "PROPOSE"), "PROPOSE").otherwise("none")
     rows = messages.join(sized, "row_id", "left").join(known, "conversation_id", "left")
     return rows.select(
         "row_id",
@@ -36,7 +31,7 @@ def strata(messages: DataFrame, episodes: DataFrame, chats: DataFrame) -> DataFr
         "conversation_id", F.coalesce("sender", F.lit("UNRESOLVED")).alias("participant"),
         F.when(F.coalesce("_size", F.lit(0)) < 10, "small").when(F.col("_size") < 50, "medium").otherwise("large").alias("episode_size"),
         (F.coalesce("reply", F.lit("")) != "").alias("has_reply"), bucket(n, 60, 180).alias("length"), text.contains("?").alias("question"),
-        (F.size(T.sentences(text)) > 1).alias("several"), rare.alias("rare"), "platform", "goal",
+        (F.size(T.sentences(text)) > 1).alias("several"), T.rare_cue(text).alias("rare"), "platform", "goal",
     )
 
 

@@ -15,7 +15,7 @@ from threadloom.operators import retrieval as Q
 from threadloom.operators.sessions import episode_messages as episodes_of
 from threadloom.operators.sessions import sessionize
 from threadloom.plans.analytics import _EV, _M, base
-from threadloom.plans.rules import CANDIDATES, DISCOURSE, acknowledged, acts, sentences, word
+from threadloom.plans.rules import CANDIDATES, DISCOURSE, RARE, acknowledged, acts, sentences, word
 from threadloom.session import cut
 from threadloom.sources.tables import table
 
@@ -202,9 +202,9 @@ def vectors_to_make(spark: SparkSession, d: str) -> DataFrame:
 _STRATA = f"""st AS (SELECT m.row_id, extract(year FROM m.sent_at) || '-Q' || extract(quarter FROM m.sent_at) AS time_period, m.conversation_id, coalesce(m.sender, 'UNRESOLVED') AS participant,
   CASE WHEN coalesce(ep.size, 0) < 10 THEN 'small' WHEN ep.size < 50 THEN 'medium' ELSE 'large' END AS episode_size, coalesce(m.reply, '') <> '' AS has_reply,
   CASE WHEN length(coalesce(m.text, '')) < 60 THEN 'short' WHEN length(m.text) < 180 THEN 'medium' ELSE 'long' END AS length, contains(coalesce(m.text, ''), '?') AS question, coalesce(sn.n, 0) > 1 AS several,
-  CASE WHEN list_contains(ma.a, 'DISAGREE') THEN 'DISAGREE' WHEN list_contains(ma.a, 'COMMIT') THEN 'COMMIT' WHEN list_contains(ma.a, 'PROPOSE') THEN 'PROPOSE' ELSE 'none' END AS rare, c.platform, c.goal
+  ma.rare, c.platform, c.goal
   FROM m LEFT JOIN ep ON ep.row_id = m.row_id LEFT JOIN (SELECT conversation_id, platform, goal FROM chats) c ON c.conversation_id = m.conversation_id
-  LEFT JOIN (SELECT row_id, count(*) AS n FROM sent GROUP BY row_id) sn ON sn.row_id = m.row_id LEFT JOIN (SELECT row_id, {acts("coalesce(text, '')")} AS a FROM m) ma ON ma.row_id = m.row_id)"""
+  LEFT JOIN (SELECT row_id, count(*) AS n FROM sent GROUP BY row_id) sn ON sn.row_id = m.row_id LEFT JOIN (SELECT row_id, {RARE} AS rare FROM m) ma ON ma.row_id = m.row_id)"""
 _BUCKET = "concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in A.STRATA) + ")"
 
 

@@ -66,6 +66,10 @@ cand AS (SELECT source, target, score, least(r, 5)::INT AS rank, source_native,
     CASE WHEN has AND source_native THEN 'source_native_reply_target' WHEN has THEN 'source_native_reply_target_takes_precedence' WHEN r <> 1 THEN 'only_rank_1_is_relation_eligible'
       WHEN score < 0.15 THEN 'lexical_similarity_below_0.15' ELSE 'rank_1_lexical_similarity_at_least_0.15' END AS reason
   FROM bl WHERE CASE WHEN below = 1 THEN r < 5 OR source_native ELSE r <= 5 END)"""
+RARE = rf"""CASE WHEN {word('точнее|поправлюсь|имел в виду|имела в виду|имели в виду|не так выразил')} THEN 'repair'
+  WHEN coalesce(regexp_matches(text, '(?i)(^|{_E})(согласен|согласна|допустим|пусть)[^\n]{{0,79}}[^\p{{L}}\p{{N}}_\n]но({_E}|$)'), false) THEN 'concession'
+  WHEN {word('по словам|считает|утверждает|говорят|якобы')} THEN 'attribution' WHEN {word('возможно|кажется|наверное|не уверен|не уверена')} THEN 'uncertainty'
+  WHEN {word('потому что|так как|поэтому|следовательно|однако')} THEN 'argument' ELSE 'none' END"""
 _N = lambda c: rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> ''))"
 #: CTE bodies after ``cand``: ``disc(source, target, label)``.
 DISCOURSE = f"""dp AS (SELECT source, target, score, coalesce(s.text, '') AS st, coalesce(t.text, '') AS tt FROM cand JOIN m s ON s.row_id = source JOIN m t ON t.row_id = target WHERE eligible),
