@@ -79,13 +79,15 @@ def resolve_hierarchy(
     parent: str = "parent",
     stride: int = SPLITTER_STRIDE,
     with_path: bool = False,
+    leaves: bool = True,
 ) -> DataFrame:
     """(id, root, depth[, path]) of every row of ``links``, one row per node that has a parent.
 
     ``links`` holds unique non-null nodes; rows with a null node or parent are left out, since such a
     node is a root. A parent without a row is a root. Nodes in a circle, or whose links lead into one,
     get a null root and depth −1 (and a null path); a node that is its own parent is a circle. ``path``
-    lists the ancestors from the parent up to the root. Columns besides the two named are ignored.
+    lists the ancestors from the parent up to the root. Columns besides the two named are ignored. Without ``leaves``
+    only nodes that have children come out, which is enough to find circles.
 
     A node without children has its parent's root and one more step, so only nodes with children walk. Deterministic
     hash splitters stand for one node in ``stride``. Every such node walks to its next splitter
@@ -96,7 +98,7 @@ def resolve_hierarchy(
     """
     links = links.select(F.col(node).alias("id"), F.col(parent).alias("parent")).where("id IS NOT NULL AND parent IS NOT NULL")
     above = links.select(F.col("parent").alias("id")).distinct().withColumn("_inner", F.lit(True))
-    links = cut(links.join(above, "id", "left"))
+    links = cut(links.join(above, "id", "left" if leaves else "inner"))
     inner = links.where("_inner").select("id", "parent")
     solved = _resolve(inner, stride, False)
     if with_path:
@@ -104,11 +106,13 @@ def resolve_hierarchy(
         lost = cut(solved).where(F.col("depth") < 0)
         clean = inner.join(lost.select("id"), "id", "left_anti")
         solved = _resolve(clean, stride, True).unionByName(lost, allowMissingColumns=True)
+    if not leaves:
+        return solved
     solved = cut(solved)
     up = solved.select(F.col("id").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), *([F.col("path").alias("_path")] if with_path else []))
-    leaves = links.where("_inner IS NULL").select("id", "parent").join(up, "parent", "left")
+    last = links.where("_inner IS NULL").select("id", "parent").join(up, "parent", "left")
     lost = F.col("_depth") < 0
-    ends = leaves.select(
+    ends = last.select(
         "id",
         F.when(F.col("_depth").isNull(), F.col("parent")).when(~lost, F.col("_root")).alias("root"),
         F.when(F.col("_depth").isNull(), F.lit(1)).when(lost, F.lit(-1)).otherwise(F.col("_depth") + 1).cast("long").alias("depth"),
