@@ -69,7 +69,7 @@ def conversations(rows: DataFrame) -> DataFrame:
     kept = stage(linked.drop("loose").join(sound, "conversation_id", "left_semi"))
     links = kept.where(F.col("parent").isNotNull())
     circles = (
-        resolve_hierarchy(links, "row_id", "parent")
+        resolve_hierarchy(links, "row_id", "parent", leaves=False)
         .where(F.col("depth") < 0)
         .join(links.select(F.col("row_id").alias("id"), "conversation_id"), "id")
         .select("conversation_id")
