@@ -7,11 +7,13 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom.operators.hierarchy import descendants, reply_links, resolve_hierarchy
+from threadloom.operators.hierarchy import descendant_counts, descendants, reply_links, resolve_hierarchy
 from threadloom.operators.messages import latest_messages
 from threadloom.operators.sessions import EIGHT_HOURS_US, sessionize
 from threadloom.operators.timestamps import normalise_timestamps
+from threadloom.plans.problems import p7_descendants
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -101,6 +103,32 @@ def test_descendants_and_empty_hierarchy(spark):
     assert resolve_hierarchy(df.limit(0)).count() == 0
 
 
+def test_descendant_counts_equal_the_pairs(spark):
+    r = random.Random(8)
+    parent = {i: r.randrange(max(0, i - 4), i) for i in range(1, 60)} | {100: 101, 101: 102, 102: 100, 103: 100, 104: 103, 105: 105, 106: 105}
+    df = spark.createDataFrame([*parent.items(), (None, 3), (200, None)], "id long, parent long")
+    want = {}
+    for node in parent:
+        for i, above in enumerate(walk(parent, node) or [], 1):
+            n, far = want.get(above, (0, 0))
+            want[above] = (n + 1, max(far, i))
+    assert {x.ancestor: (x.n_descendants, x.max_distance) for x in descendant_counts(df).collect()} == want
+    assert descendant_counts(df.limit(0)).count() == 0
+
+
+def test_descendants_of_a_long_chain_make_no_pairs(spark, tmp_path):
+    n = 300
+    text = lambda c: c.cast("string")
+    rows = spark.range(n).select(
+        F.col("id").alias("row_id"), F.lit("c").alias("conversation_id"), text(F.col("id")).alias("external_id"), F.current_timestamp().alias("imported_at"), F.when(F.col("id") > 0, text(F.col("id") - 1)).alias("reply_to_external_id")
+    )
+    rows.write.parquet(f"{tmp_path}/messages.parquet")
+    got = p7_descendants(spark, str(tmp_path))
+    assert got.where(F.col("n_descendants") != n - 1 - F.col("ancestor")).count() == 0
+    assert got.where("max_distance = n_descendants").count() == n - 1
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_reply_links_need_a_message_of_the_conversation(spark):
     rows = [(1, "c", "1", None), (2, "c", "2", "1"), (3, "c", "3", ""), (4, "c", "4", "9"), (5, "e", "5", "1"), (6, "c", "6", "6")]
     links = reply_links(spark.createDataFrame(rows, "row_id long, conversation_id string, external_id string, reply_to_external_id string"))
