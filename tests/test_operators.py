@@ -212,3 +212,20 @@ def test_graphs_beyond_the_bound_are_refused(spark, monkeypatch):
     for find in (graph.betweenness, graph.communities):
         with pytest.raises(ValueError, match="at most 1"):
             find(edges(spark, ("a", "b", 1), ("b", "c", 1)))
+
+
+def _replies(spark, n, conversations):
+    r = random.Random(9)
+    rows = [(f"c{r.randrange(conversations) ** 2 // conversations}", i * 7 % 1009 + 2000 * i, r.choice("aaabcdé"), r.choice("abbcdex")) for i in range(n)]
+    return spark.createDataFrame(rows, "conversation_id string, source long, source_sender string, target_sender string")
+
+
+def test_dyads_on_arrays_equal_those_of_joins(spark, monkeypatch):
+    df = _replies(spark, 400, 9)
+    order = lambda out: sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(graph, "MAX_IN_CONVERSATION", 0)
+    want = order(graph.dyad_null(df, permutations=12, top=8))
+    for most, shared, once in ((10**6, 10**6, 10**6), (10**6, 10, 16), (60, 25, 40)):
+        monkeypatch.setattr(graph, "MAX_IN_CONVERSATION", most), monkeypatch.setattr(graph, "SHARED_FROM", shared), monkeypatch.setattr(graph, "AT_ONCE", once)
+        assert order(graph.dyad_null(df, permutations=12, top=8)) == want
+    assert graph.dyad_null(df.limit(0), permutations=3).count() == 0

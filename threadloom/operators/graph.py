@@ -15,6 +15,12 @@ from threadloom.session import cut
 
 #: Most edges of an actor graph that are worked on as a whole by one task; beyond it the result is unavailable.
 MAX_WHOLE_EDGES = 2_000_000
+#: Roots times edges that one task of betweenness takes.
+ROOTS_TIMES_EDGES = 50_000_000
+#: Replies whose shuffles are made on arrays: of one conversation in one task, and of all that every task gets. Beyond them joins make the same shuffles.
+MAX_IN_CONVERSATION, MAX_IN_ALL = 5_000_000, 4_000_000
+#: Replies of a conversation from which several tasks share its permutations, and replies that are shuffled at once.
+SHARED_FROM, AT_ONCE = 200_000, 300_000
 
 
 def reply_edges(events: DataFrame) -> DataFrame:
@@ -132,44 +138,6 @@ def top_roles(profiles: DataFrame, top: int = 30) -> DataFrame:
     return profiles.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def _betweenness(edges: pd.DataFrame) -> pd.DataFrame:
-    """Brandes' weighted betweenness with distance 1/weight, by Dijkstra from every node."""
-    import heapq
-
-    names = sorted(set(edges["src"]) | set(edges["dst"]))
-    number = {v: i for i, v in enumerate(names)}
-    near: list[list[tuple[int, float]]] = [[] for _ in names]
-    for s, d, w in edges[["src", "dst", "weight"]].itertuples(index=False):
-        near[number[s]].append((number[d], 1.0 / max(float(w), 1.0)))
-    total = np.zeros(len(names))
-    for root in range(len(names)):
-        dist = {root: 0.0}
-        paths = {root: 1.0}
-        before: dict[int, list[int]] = {root: []}
-        done, order, heap = set(), [], [(0.0, root)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            order.append(v)
-            for u, step in near[v]:
-                new = d + step
-                if u not in dist or new < dist[u] - 1e-12:
-                    dist[u], paths[u], before[u] = new, paths[v], [v]
-                    heapq.heappush(heap, (new, u))
-                elif abs(new - dist[u]) <= 1e-12 and u not in done:
-                    paths[u] += paths[v]
-                    before[u].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
-            if v != root:
-                total[v] += share[v]
-    return pd.DataFrame({"id": names, "betweenness": total})
-
-
 def _communities(edges: pd.DataFrame) -> pd.DataFrame:
     """Greedy modularity moves over undirected weights, level by level, in a fixed order."""
     names = sorted(set(edges["src"]) | set(edges["dst"]))
@@ -233,12 +201,30 @@ def _communities(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": names, "community": [order[m] for m in member]})
 
 
-def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
-    """One task over the whole graph, after a check that it is small; an error beyond the bound."""
+def _bounded(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     n = edges.count()
     if n > MAX_WHOLE_EDGES:
         raise ValueError(f"the graph has {n} edges; one task holds at most {MAX_WHOLE_EDGES}")
+    return edges
+
+
+def _numbered(rows: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """(id, _no) of all nodes, and ``rows`` with the numbers of both ends in ``left`` and ``right``, as longs with gaps."""
+    nodes = rows.select(F.col(left).alias("id")).union(rows.select(right)).distinct()
+    nodes = cut(nodes.withColumn("_no", F.monotonically_increasing_id()))
+    for end in (left, right):
+        rows = rows.join(nodes.select(F.col("id").alias(end), F.col("_no").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return nodes, rows
+
+
+def _column(table, name: str) -> np.ndarray:  # noqa: ANN001
+    return table.column(name).to_numpy()
+
+
+def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
+    """One task over the whole graph, after a check that it is small; an error beyond the bound."""
+    edges = _bounded(edges)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [p for p in parts if len(p)]
@@ -248,6 +234,44 @@ def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
     return edges.coalesce(1).mapInPandas(run, schema)
 
 
+def _betweenness(edges: pd.DataFrame) -> pd.DataFrame:
+    """Brandes' weighted betweenness with distance 1/weight, by Dijkstra from every node."""
+    import heapq
+
+    names = sorted(set(edges["src"]) | set(edges["dst"]))
+    number = {v: i for i, v in enumerate(names)}
+    near: list[list[tuple[int, float]]] = [[] for _ in names]
+    for s, d, w in edges[["src", "dst", "weight"]].itertuples(index=False):
+        near[number[s]].append((number[d], 1.0 / max(float(w), 1.0)))
+    total = np.zeros(len(names))
+    for root in range(len(names)):
+        dist = {root: 0.0}
+        paths = {root: 1.0}
+        before: dict[int, list[int]] = {root: []}
+        done, order, heap = set(), [], [(0.0, root)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in done:
+                continue
+            done.add(v)
+            order.append(v)
+            for u, step in near[v]:
+                new = d + step
+                if u not in dist or new < dist[u] - 1e-12:
+                    dist[u], paths[u], before[u] = new, paths[v], [v]
+                    heapq.heappush(heap, (new, u))
+                elif abs(new - dist[u]) <= 1e-12 and u not in done:
+                    paths[u] += paths[v]
+                    before[u].append(v)
+        share = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in before[v]:
+                share[u] += paths[u] / paths[v] * (1 + share[v])
+            if v != root:
+                total[v] += share[v]
+    return pd.DataFrame({"id": names, "betweenness": total})
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness) over shortest paths of length 1/weight; an error beyond ``MAX_WHOLE_EDGES`` edges."""
     return _whole(edges, _betweenness, "id string, betweenness double")
@@ -258,18 +282,85 @@ def communities(edges: DataFrame) -> DataFrame:
     return _whole(edges, _communities, "id string, community bigint")
 
 
-def dyad_null(events: DataFrame, permutations: int = 200, seed: int = 42, top: int = 50) -> DataFrame:
-    """(sender, receiver, observed, expected, sd, z, p) of the ``top`` most frequent dyads.
-
-    Receivers are shuffled within their conversation ``permutations`` times, all dyads sharing the shuffles.
-    A shuffle orders the receivers of a conversation by a hash of (permutation, event); p counts shuffles at
-    least as far from their mean, (extreme + 1)/(permutations + 1). The permutation is a column; places in a conversation
-    are running counts over parts of the hash, so no conversation is ordered by one task.
-    """
-    rows = events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select(
-        "conversation_id", "source", F.col("source_sender").alias("sender"), F.col("target_sender").alias("receiver")
+def _seeds(spark, permutations: int, seed: int) -> list[int]:  # noqa: ANN001
+    """The hash of (seed, permutation) from which those of the events go on, of the permutations from 1."""
+    rows = spark.range(1, permutations + 1).select("id", F.xxhash64(F.lit(seed), F.col("id").cast("int")).alias("h")).collect()
+    return [x.h for x in sorted(rows, key=lambda x: x.id)]
+
+
+def _dyads_on_arrays(rows: DataFrame, seen: DataFrame, sizes: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(sender, receiver, p, _n) of the dyads ``seen`` in the shuffles of all conversations but the huge ones; several rows may belong together."""
+    from threadloom.operators import kernels
+
+    pairs = seen.select("sender", "receiver").collect()
+    coded = {c: {v: i for i, v in enumerate(sorted({x[c] for x in pairs}), 1)} for c in ("sender", "receiver")}
+    code = lambda c: F.coalesce(F.create_map(*[F.lit(x) for kv in coded[c].items() for x in kv])[F.col(c)], F.lit(0)).cast("short") if pairs else F.lit(0).cast("short")
+    width = 1 + max([0, *map(len, coded.values())])
+    seeds = _seeds(rows.sparkSession, permutations, seed)
+    shares = F.least(F.lit(permutations), F.ceil(F.coalesce("_size", F.lit(1)) / SHARED_FROM).cast("int"))
+    narrow = (
+        rows.select("conversation_id", F.col("source").cast("long").alias("source"), code("sender").alias("a"), code("receiver").alias("b"))
+        .join(F.broadcast(sizes), "conversation_id", "left")
+        .where(F.coalesce("_size", F.lit(0)) <= MAX_IN_CONVERSATION)
+        .withColumn("shares", shares)
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .select("conversation_id", "share", "shares", "source", "a", "b")
+        .repartition("conversation_id", "share")
+        .sortWithinPartitions("conversation_id", "share", "source")
     )
-    seen = rows.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("observed")).orderBy(F.desc("observed"), "sender", "receiver").limit(top)
+
+    def shuffle(group: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, shares: np.ndarray, totals: np.ndarray) -> None:
+        n = int(group[-1]) + 1
+        both = (np.bincount(group, a > 0, n) > 0) & (np.bincount(group, b > 0, n) > 0)
+        for p, s in enumerate(seeds):
+            take = both[group] & (p % shares == share) if not p or shares.max() > 1 else take
+            if not p or shares.max() > 1:
+                g, x, aa, bb = group[take], source[take], a[take], b[take]
+                g = g.astype(np.uint16) if n <= 65_536 else g
+                asked = np.flatnonzero(aa)
+                first = aa[asked].astype(np.int64) * width
+            if len(asked):
+                order = kernels.shuffled(x, s, g)
+                totals[p] += np.bincount(first + bb[order[asked]], minlength=width * width)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        totals = np.zeros((permutations, width * width), np.int64)
+        held, most = [], AT_ONCE
+
+        def work(last: bool) -> None:
+            nonlocal held, most
+            table = pa.Table.from_batches(held).combine_chunks()
+            names = table.column("conversation_id").combine_chunks()
+            names = names.dictionary_encode().indices.to_numpy()
+            share = _column(table, "share")
+            begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (share[1:] != share[:-1])])
+            end = table.num_rows if last else int(begins[-1])
+            if end:
+                group = np.zeros(end, np.int64)
+                group[begins[begins < end][1:]] = 1
+                shuffle(np.cumsum(group), *(_column(table, c)[:end] for c in ("source", "a", "b", "share", "shares")), totals)
+            held = table.slice(end).to_batches()
+            most = max(AT_ONCE, 2 * (table.num_rows - end))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= most:
+                    work(False)
+        if held:
+            work(True)
+        p, ab = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array((p + 1).astype(np.int32)), pa.array((ab // width).astype(np.int32)), pa.array((ab % width).astype(np.int32)), pa.array(totals[p, ab])], ["p", "a", "b", "_n"])
+
+    found = narrow.mapInArrow(run, "p int, a int, b int, _n bigint").groupBy("p", "a", "b").agg(F.sum("_n").alias("_n"))
+    keys = seen.select("sender", "receiver", code("sender").cast("int").alias("a"), code("receiver").cast("int").alias("b"))
+    return found.join(F.broadcast(keys), ["a", "b"]).select("sender", "receiver", "p", "_n")
+
+
+def _dyads_by_joins(rows: DataFrame, seen: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """As ``_dyads_on_arrays``, with the permutation as a column; places are running counts over parts of the hash."""
     from threadloom.operators.running import running_sum
 
     one = F.lit(1).cast("long")
@@ -278,12 +369,35 @@ def dyad_null(events: DataFrame, permutations: int = 200, seed: int = 42, top: i
     fixed = placed.select("conversation_id", "sender", "_i", shuffles)
     each = placed.select("conversation_id", "source", "receiver", shuffles).withColumn("_h", F.xxhash64(F.lit(seed), "p", "source"))
     mixed = running_sum(each, ["conversation_id", "p"], F.shiftright("_h", 56), ["_h", "source"], one, "_i").select("conversation_id", "p", "receiver", "_i")
-    counts = (
+    return (
         fixed.join(mixed, ["conversation_id", "p", "_i"])
         .join(F.broadcast(seen.select("sender", "receiver")), ["sender", "receiver"])
         .groupBy("sender", "receiver", "p")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+
+
+def dyad_null(events: DataFrame, permutations: int = 200, seed: int = 42, top: int = 50) -> DataFrame:
+    """(sender, receiver, observed, expected, sd, z, p) of the ``top`` most frequent dyads.
+
+    Receivers are shuffled within their conversation ``permutations`` times, all dyads sharing the shuffles.
+    A shuffle orders the receivers of a conversation by a hash of (permutation, event); p counts shuffles at
+    least as far from their mean, (extreme + 1)/(permutations + 1). Each conversation meets one task, which makes all shuffles on
+    arrays and keeps counts only; from ``SHARED_FROM`` replies on several tasks share its permutations, and one of more
+    than ``MAX_IN_CONVERSATION`` replies is shuffled by joins, without being ordered by one task.
+    """
+    rows = cut(
+        events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select(
+            "conversation_id", "source", F.col("source_sender").alias("sender"), F.col("target_sender").alias("receiver")
+        )
+    )
+    seen = cut(rows.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("observed")).orderBy(F.desc("observed"), "sender", "receiver").limit(top))
+    sizes = cut(rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > min(SHARED_FROM, MAX_IN_CONVERSATION)))
+    counts = _dyads_on_arrays(rows, seen, sizes, permutations, seed)
+    huge = sizes.where(F.col("_size") > MAX_IN_CONVERSATION).select("conversation_id")
+    if not huge.isEmpty():
+        counts = counts.unionByName(_dyads_by_joins(rows.join(F.broadcast(huge), "conversation_id", "left_semi"), seen, permutations, seed))
+    counts = counts.groupBy("sender", "receiver", "p").agg(F.sum("_n").alias("_n"))
     stats = counts.groupBy("sender", "receiver").agg(
         F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"), F.collect_list("_n").alias("_all")
     )
