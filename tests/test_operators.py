@@ -229,3 +229,13 @@ def test_dyads_on_arrays_equal_those_of_joins(spark, monkeypatch):
         monkeypatch.setattr(graph, "MAX_IN_CONVERSATION", most), monkeypatch.setattr(graph, "SHARED_FROM", shared), monkeypatch.setattr(graph, "AT_ONCE", once)
         assert order(graph.dyad_null(df, permutations=12, top=8)) == want
     assert graph.dyad_null(df.limit(0), permutations=3).count() == 0
+
+
+def test_motifs_on_arrays_equal_those_of_joins(spark, monkeypatch):
+    df = _replies(spark, 60, 3)
+    monkeypatch.setattr(graph, "MAX_IN_ALL", 10**6)
+    got = sorted(map(tuple, graph.motif_null(df, permutations=5).collect()))
+    monkeypatch.setattr(graph, "MAX_IN_ALL", 0)
+    assert got == sorted(map(tuple, graph.motif_null(df, permutations=5).collect())) and got[0][1] > 0 and got[1][3] > 0
+    monkeypatch.setattr(graph, "MAX_IN_ALL", 10**6)
+    assert {x.observed for x in graph.motif_null(df.limit(0), permutations=2).collect()} == {0}

@@ -440,16 +440,35 @@ def excitation(messages: DataFrame, top: int = 10, beta_hours: float = 24.0, cut
     )
 
 
-def motif_null(events: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
-    """(motif, observed, expected, sd, z): motif counts against shuffles of who is replied to.
+def _motifs_on_arrays(rows: DataFrame, permutations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(motif, observed) and (motif, _s, _q): counts of the graph, and their sums and squares over the shuffles."""
+    from threadloom.operators import kernels
 
-    Replies keep their sender and get another reply's receiver; deviations have the divisor n. Each shuffle
-    orders the receivers by a hash, numbered by running counts over parts of the hash, so no shuffle is
-    ordered by one task. Self-replies are no edges, as in the observed graph.
-    """
+    spark = rows.sparkSession
+    _, numbered = _numbered(rows.withColumn("source", F.col("source").cast("long")), "src", "dst")
+    found = numbered.toArrow()
+    by = np.argsort(_column(found, "source"), kind="stable")
+    names, ends = np.unique(np.concatenate([_column(found, "src")[by], _column(found, "dst")[by]]), return_inverse=True)
+    n, m = max(1, len(names)), len(by)
+    shared = spark.sparkContext.broadcast((_column(found, "source")[by], ends[:m].astype(np.int32), ends[m:].astype(np.int32)))
+    seeds = _seeds(spark, permutations, seed)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, src, dst = shared.value
+        for part in parts:
+            for p in part["id"]:
+                counts = kernels.motifs(src, dst[kernels.shuffled(source, seeds[p - 1])] if p else dst, n)
+                yield pd.DataFrame({"p": p, "motif": ["reciprocal_dyads", "transitive_triples"], "_n": counts})
+
+    each = cut(spark.range(0, permutations + 1, 1, permutations + 1).mapInPandas(run, "p bigint, motif string, _n bigint"))
+    sums = each.where("p > 0").groupBy("motif").agg(F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
+    return each.where("p = 0").select("motif", F.col("_n").alias("observed")), sums
+
+
+def _motifs_by_joins(rows: DataFrame, permutations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """As ``_motifs_on_arrays``, with the permutation as a column."""
     from threadloom.operators.running import running_sum
 
-    rows = events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select("source", F.col("source_sender").alias("src"), F.col("target_sender").alias("dst"))
     part = F.floor(F.col("source") / 100_000)
     fixed = cut(running_sum(rows, [], part, ["source"], F.lit(1).cast("long"), "_i"))
     each = fixed.select("source", "dst").withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_h", F.xxhash64(F.lit(seed), "p", "source"))
@@ -460,6 +479,19 @@ def motif_null(events: DataFrame, permutations: int = 100, seed: int = 42) -> Da
     triples = _transitive_triples(shuffled, ["p"]).withColumn("motif", F.lit("transitive_triples"))
     sums = dyads.unionByName(triples).groupBy("motif").agg(F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
     seen = motif_counts(fixed).unpivot([], ["reciprocal_dyads", "transitive_triples"], "motif", "observed")
+    return seen, sums
+
+
+def motif_null(events: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """(motif, observed, expected, sd, z): motif counts against shuffles of who is replied to.
+
+    Replies keep their sender and get another reply's receiver; deviations have the divisor n. Each shuffle
+    orders the receivers by a hash. Up to ``MAX_IN_ALL`` replies every task has them all as arrays and makes whole shuffles;
+    beyond, joins make the same ones, numbered by running counts over parts of the hash. Self-replies are no edges, as in
+    the observed graph.
+    """
+    rows = cut(events.where(F.col("source_sender").isNotNull() & F.col("target_sender").isNotNull()).select("source", F.col("source_sender").alias("src"), F.col("target_sender").alias("dst")))
+    seen, sums = (_motifs_on_arrays if rows.count() <= MAX_IN_ALL else _motifs_by_joins)(rows, permutations, seed)
     mean = F.coalesce("_s", F.lit(0)) / permutations
     return (
         seen.join(sums, "motif", "left")
