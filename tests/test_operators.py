@@ -239,3 +239,13 @@ def test_motifs_on_arrays_equal_those_of_joins(spark, monkeypatch):
     assert got == sorted(map(tuple, graph.motif_null(df, permutations=5).collect())) and got[0][1] > 0 and got[1][3] > 0
     monkeypatch.setattr(graph, "MAX_IN_ALL", 10**6)
     assert {x.observed for x in graph.motif_null(df.limit(0), permutations=2).collect()} == {0}
+
+
+def test_betweenness_of_many_shares_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROOTS_TIMES_EDGES", 20)
+    star = [(f"s{i}", "hub", 1) for i in range(6)] + [("hub", f"t{i}", 2) for i in range(5)] + [("s0", "x", 1), ("x", "y", 1), ("y", "z", 4)]
+    got = graph.betweenness(edges(spark, *star))
+    between = {x.id: x.betweenness for x in got.collect()}
+    assert between.pop("hub") == 30 and between.pop("x") == 2 and between.pop("y") == 2
+    assert set(between.values()) == {0}
+    assert "MapInPandas" in (plan := got._jdf.queryExecution().toString()) and "Coalesce 1" not in plan and graph.betweenness(edges(spark, *star).limit(0)).count() == 0

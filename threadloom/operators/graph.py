@@ -234,47 +234,33 @@ def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
     return edges.coalesce(1).mapInPandas(run, schema)
 
 
-def _betweenness(edges: pd.DataFrame) -> pd.DataFrame:
-    """Brandes' weighted betweenness with distance 1/weight, by Dijkstra from every node."""
-    import heapq
+def betweenness(edges: DataFrame) -> DataFrame:
+    """(id, betweenness) over shortest paths of length 1/weight; an error beyond ``MAX_WHOLE_EDGES`` edges.
 
-    names = sorted(set(edges["src"]) | set(edges["dst"]))
-    number = {v: i for i, v in enumerate(names)}
-    near: list[list[tuple[int, float]]] = [[] for _ in names]
-    for s, d, w in edges[["src", "dst", "weight"]].itertuples(index=False):
-        near[number[s]].append((number[d], 1.0 / max(float(w), 1.0)))
-    total = np.zeros(len(names))
-    for root in range(len(names)):
-        dist = {root: 0.0}
-        paths = {root: 1.0}
-        before: dict[int, list[int]] = {root: []}
-        done, order, heap = set(), [], [(0.0, root)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            order.append(v)
-            for u, step in near[v]:
-                new = d + step
-                if u not in dist or new < dist[u] - 1e-12:
-                    dist[u], paths[u], before[u] = new, paths[v], [v]
-                    heapq.heappush(heap, (new, u))
-                elif abs(new - dist[u]) <= 1e-12 and u not in done:
-                    paths[u] += paths[v]
-                    before[u].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
-            if v != root:
-                total[v] += share[v]
-    return pd.DataFrame({"id": names, "betweenness": total})
+    Every task has the numbered edges and takes a share of the nodes as roots of paths; what they add is summed up.
+    """
+    from threadloom.operators import kernels
 
+    nodes, rows = _numbered(_bounded(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")), "src", "dst")
+    found = rows.toArrow()
+    numbers, ends = np.unique(np.concatenate([_column(found, "src"), _column(found, "dst")]), return_inverse=True)
+    n, m = len(numbers), found.num_rows
+    if not m:
+        return nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast((numbers, ends[:m].astype(np.int32), ends[m:].astype(np.int32), _column(found, "weight")))
+    shares = int(min(n, 1 + n * m // ROOTS_TIMES_EDGES, 400))
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """(id, betweenness) over shortest paths of length 1/weight; an error beyond ``MAX_WHOLE_EDGES`` edges."""
-    return _whole(edges, _betweenness, "id string, betweenness double")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, src, dst, weight = shared.value
+        for part in parts:
+            for share in part["id"]:
+                total = kernels.betweenness(n, src, dst, weight, np.arange(share, n, shares))
+                some = np.flatnonzero(total)
+                yield pd.DataFrame({"_no": numbers[some], "_x": total[some]})
+
+    added = spark.range(0, shares, 1, shares).mapInPandas(run, "_no bigint, _x double").groupBy("_no").agg(F.sum("_x").alias("_x"))
+    return nodes.join(added, "_no", "left").select("id", F.coalesce("_x", F.lit(0.0)).alias("betweenness"))
 
 
 def communities(edges: DataFrame) -> DataFrame:
