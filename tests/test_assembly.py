@@ -91,3 +91,16 @@ def test_comparison_cases_of_both_sides(spark):
     df = spark.createDataFrame(notes, "object long, annotation string, label string, confidence double")
     got = assembly.comparison_cases(df, spark.createDataFrame([(1,)], "row_id long"), top=2).collect()
     assert sorted((x.side, x.annotation, x.place) for x in got) == [("hard_negative", "n6B", 2), ("hard_negative", "n8B", 1), ("supporting", "n5A", 2), ("supporting", "n7A", 1)]
+
+
+def test_communities_of_writers_equal_those_of_their_edges(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"{'ж' if k % 5 else 'B'}{k}", " ".join(["all"] + [f"w{k % 4}{min(int(r.expovariate(0.2)), 19)}" for _ in range(10)])) for k in range(60)] + [("lone", "nobody else"), (None, "all")]
+    df = spark.createDataFrame(rows, "sender string, text string")
+    got = {tuple(x) for x in networks.similar_writer_communities(df).select("id", "community").collect()}
+    monkeypatch.setattr(networks, "MAX_WEIGHTS", 0)
+    assert got == {tuple(x) for x in networks.similar_writer_communities(df).select("id", "community").collect()} and len({c for _, c in got}) > 1
+    monkeypatch.undo()
+    assert networks.similar_writer_communities(df.limit(0)).count() == 0

@@ -164,3 +164,40 @@ def _hops(start: np.ndarray, end: np.ndarray, x: np.ndarray):  # noqa: ANN202
             return
         x = np.bincount(end[some], moved[some], len(x))
         yield x
+
+
+def split_vectors(n: int, at: np.ndarray, term: np.ndarray, w: np.ndarray, dense: int = 600) -> tuple:
+    """Sparse unit vectors, the ``dense`` most used terms apart as a matrix, the others by sender and by term."""
+    used = np.bincount(term)
+    column = np.full(len(used), -1)
+    column[np.argsort(-used, kind="stable")[:dense]] = np.arange(min(dense, len(used)))
+    common = column[term] >= 0
+    matrix = np.zeros((n, min(dense, len(used))))
+    matrix[at[common], column[term[common]]] = w[common]
+    at, term, w = at[~common].astype(np.int32), term[~common].astype(np.int32), w[~common]
+    by, to = np.argsort(at, kind="stable"), np.argsort(term, kind="stable")
+    ends = lambda x, k: np.r_[0, np.cumsum(np.bincount(x, minlength=k))]
+    return matrix, ends(at, n), term[by], w[by], ends(term, len(used)), at[to], w[to]
+
+
+def best_labels(vectors: tuple, rows: np.ndarray, labels: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the label of most similarity (to nine digits) around it, its own on ties and then the smallest; and whether anything is near."""
+    matrix, of, term, weight, by, sender, other = vectors
+    n = len(matrix)
+    near = matrix[rows] @ matrix.T
+    best, some = labels[rows].copy(), np.zeros(len(rows), bool)
+    for k, i in enumerate(rows):
+        line = near[k]
+        terms, x = term[of[i] : of[i + 1]], weight[of[i] : of[i + 1]]
+        each = by[terms + 1] - by[terms]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(by[terms], each)
+        line += np.bincount(sender[place], np.repeat(x, each) * other[place], n)
+        line[i] = 0.0
+        close = np.flatnonzero(line >= at_least)
+        if len(close):
+            some[k] = True
+            sums = np.round(np.bincount(labels[close], line[close], n), 9)
+            most = sums.max()
+            if sums[best[k]] != most:
+                best[k] = int(np.argmax(sums))
+    return best, some

@@ -2,29 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators import kernels
 from threadloom.operators.graph import communities
 from threadloom.operators.retrieval import term_frequencies
 from threadloom.session import cut
 
+#: Weights of vectors that every task may hold, and senders whose similarities one task makes at once.
+MAX_WEIGHTS, WRITERS_AT_ONCE = 8_000_000, 400
 
-def similar_writers(messages: DataFrame, at_least: float = 0.25, least_df: int = 2) -> DataFrame:
-    """(left, right, similarity): senders whose TF-IDF vectors of all their words have a cosine of ``at_least``; left < right.
 
-    Terms count that ``least_df`` senders use; weights are tf · (ln((1+n)/(1+df)) + 1). Unit vectors with such a cosine share a term
-    among the rarest of one of them, those before which the rest of the vector is shorter than ``at_least``: only these
-    are matched with all terms of the others, so the words that everybody uses make no pairs.
-    """
+def writer_vectors(messages: DataFrame, least_df: int = 2) -> DataFrame:
+    """(id, term, df, w): the unit TF-IDF vector of all words of each sender, of terms that ``least_df`` senders use."""
     rows = messages.where("sender IS NOT NULL AND text IS NOT NULL").select(F.col("sender").alias("_k"), "text")
     tf = term_frequencies(rows, "_k", "text", 2).groupBy("_k", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
     n = rows.select("_k").distinct().count()
     weighted = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norm = weighted.groupBy("_k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    unit = cut(weighted.join(norm, "_k").select(F.col("_k").alias("id"), "term", "df", (F.col("w") / F.col("_norm")).alias("w")))
+    return cut(weighted.join(norm, "_k").select(F.col("_k").alias("id"), "term", "df", (F.col("w") / F.col("_norm")).alias("w")))
+
+
+def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, rounds: int = 8) -> DataFrame:
+    """(id, community) as ``label_communities`` gives it for the edges of ``similar_writers``, without making these.
+
+    Such edges are a good part of all pairs of senders, so they are never rows: each round multiplies blocks of the vectors of the
+    senders that move with all others and keeps labels only, until two rounds move none. Up to ``MAX_WEIGHTS`` weights,
+    which every task holds; beyond, from the rows of edges.
+    """
+    unit = writer_vectors(messages)
+    if unit.count() > MAX_WEIGHTS:
+        edges = similar_writers(messages, at_least).select(F.lit(0).alias("_g"), F.col("left").alias("src"), F.col("right").alias("dst"), F.col("similarity").alias("weight"))
+        return label_communities(edges, ["_g"], rounds).drop("_g")
+    spark = messages.sparkSession
+    ids = unit.select("id").distinct().select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")).toPandas().sort_values("id", key=lambda x: x.map(lambda v: v.encode()), ignore_index=True)
+    terms = unit.select("term").distinct().withColumn("_t", F.monotonically_increasing_id())
+    terms = cut(terms)
+    rows = unit.select("id", "term", "w").join(terms.select("term", "_t"), "term").select("id", "_t", "w")
+    numbers = spark.createDataFrame(pd.DataFrame({"id": ids["id"], "_i": np.arange(len(ids))}), "id string, _i int")
+    found = rows.join(numbers, "id").select("_i", "_t", "w").toArrow()
+    n = len(ids)
+    if not n:
+        return unit.limit(0).select("id", F.col("id").alias("community"))
+    at, w = found.column("_i").to_numpy(), found.column("w").to_numpy()
+    _, term = np.unique(found.column("_t").to_numpy(), return_inverse=True)
+    shared = spark.sparkContext.broadcast(kernels.split_vectors(n, at, term, w))
+    labels, half = np.arange(n), ids["half"].to_numpy()
+    linked, still = np.zeros(n, bool), 0
+    for turn in range(rounds):
+        own = np.flatnonzero(half == turn % 2)
+        given = spark.sparkContext.broadcast(labels)
+
+        def run(parts):  # noqa: ANN001, ANN202
+            for part in parts:
+                for block in part["id"]:
+                    rows = own[block * WRITERS_AT_ONCE : (block + 1) * WRITERS_AT_ONCE]
+                    best, any_ = kernels.best_labels(shared.value, rows, given.value, at_least)
+                    yield pd.DataFrame({"i": rows, "best": best, "linked": any_})
+
+        blocks = -(-len(own) // WRITERS_AT_ONCE)
+        if blocks:
+            got = spark.range(0, blocks, 1, blocks).mapInPandas(run, "i bigint, best bigint, linked boolean").toPandas()
+            fresh = labels.copy()
+            fresh[got["i"]] = np.where(got["linked"], got["best"], labels[got["i"]])
+            linked[got["i"]] = got["linked"]
+            still = still + 1 if (fresh == labels).all() else 0
+            labels = fresh
+        else:
+            still += 1
+        if still == 2:
+            break
+    names = ids["id"].to_numpy()
+    out = pd.DataFrame({"id": names[linked], "community": names[labels[linked]]})
+    return spark.createDataFrame(out, "id string, community string")
+
+
+def similar_writers(messages: DataFrame, at_least: float = 0.25, least_df: int = 2) -> DataFrame:
+    """(left, right, similarity): senders whose TF-IDF vectors of all their words have a cosine of ``at_least``; left < right.
+
+    Terms count that ``least_df`` senders use; weights are tf · (ln((1+n)/(1+df)) + 1). Unit vectors with such a cosine share a term
+    among the rarest of one of them, those before which the rest of the vector is shorter than ``at_least``: only these
+    are matched with all terms of the others, so the words that everybody uses make no pairs.
+    """
+    unit = writer_vectors(messages, least_df)
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rare = unit.withColumn("_rest", rest).where(F.col("_rest") >= at_least * at_least - 1e-9).select(F.col("id").alias("a"), "term")
     pairs = rare.join(unit.select(F.col("id").alias("b"), "term"), "term").where("a <> b").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()

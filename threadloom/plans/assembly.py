@@ -363,9 +363,9 @@ def layer_communities(spark: SparkSession, d: str) -> DataFrame:
     argued = argument_relations(rows, cut(R.response_candidates(rows)))
     argued = argued.join(who.select(F.col("row_id").alias("source"), F.col("sender").alias("_a")), "source").join(who.select(F.col("row_id").alias("target"), F.col("sender").alias("_b")), "target")
     layers = edge(ev, "interaction", "source_sender", "target_sender", F.lit(1)).where("src IS NOT NULL AND dst IS NOT NULL")
-    layers = layers.unionByName(edge(N.similar_writers(rows), "semantic_similarity", "left", "right", F.col("similarity")))
     layers = layers.unionByName(argued.select(F.when(F.col("relation") == "SUPPORTS", "support").otherwise("attack").alias("layer"), F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit(1.0).alias("weight")))
-    return N.label_communities(layers, ["layer"])
+    alike = N.similar_writer_communities(rows).select(F.lit("semantic_similarity").alias("layer"), "id", "community")
+    return N.label_communities(layers, ["layer"]).unionByName(alike)
 
 
 @query()
