@@ -16,7 +16,7 @@ from threadloom.operators.sessions import episode_messages as episodes_of
 from threadloom.operators.sessions import sessionize
 from threadloom.plans.analytics import _EV, _M, base
 from threadloom.plans.rules import CANDIDATES, DISCOURSE, RARE, acknowledged, acts, sentences, word
-from threadloom.session import cut
+from threadloom.session import cut, stage
 from threadloom.sources.tables import table
 
 QUERIES = {}
@@ -356,11 +356,11 @@ def layer_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of the layers of replies, of similar writing, of support and of attack."""
     from threadloom.operators.observations import argument_relations
 
-    rows = cut(base(spark, d))
+    rows = stage(base(spark, d))
     edge = lambda df, name, a, b, w: df.select(F.lit(name).alias("layer"), F.col(a).alias("src"), F.col(b).alias("dst"), w.cast("double").alias("weight"))
     ev = R.reply_events(rows)
     who = rows.where("sender IS NOT NULL")
-    argued = argument_relations(rows, cut(R.response_candidates(rows)))
+    argued = argument_relations(rows, stage(R.response_candidates(rows)))
     argued = argued.join(who.select(F.col("row_id").alias("source"), F.col("sender").alias("_a")), "source").join(who.select(F.col("row_id").alias("target"), F.col("sender").alias("_b")), "target")
     layers = edge(ev, "interaction", "source_sender", "target_sender", F.lit(1)).where("src IS NOT NULL AND dst IS NOT NULL")
     layers = layers.unionByName(argued.select(F.when(F.col("relation") == "SUPPORTS", "support").otherwise("attack").alias("layer"), F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit(1.0).alias("weight")))
