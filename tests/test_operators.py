@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 
 from threadloom.functions import text as T
@@ -249,3 +250,45 @@ def test_betweenness_of_many_shares_by_hand(spark, monkeypatch):
     assert between.pop("hub") == 30 and between.pop("x") == 2 and between.pop("y") == 2
     assert set(between.values()) == {0}
     assert "MapInPandas" in (plan := got._jdf.queryExecution().toString()) and "Coalesce 1" not in plan and graph.betweenness(edges(spark, *star).limit(0)).count() == 0
+
+
+def test_betweenness_by_way_of_a_hub_equals_all_paths():
+    from fractions import Fraction
+
+    from threadloom.operators import kernels
+
+    r = random.Random(4)
+    for n in (9, 14):
+        nodes = range(n)
+        edges = {(a, b): r.randint(1, 3) for a in nodes for b in nodes if a != b and (a < 9) == (b < 9) and r.random() < (0.7 if {0, 9} & {a, b} else 0.25)}
+        want = [0.0] * n
+        dist = [{a: Fraction(0)} for a in nodes]
+        for a in nodes:
+            for _ in nodes:
+                for (u, v), w in edges.items():
+                    if u in dist[a] and dist[a][u] + Fraction(1, w) < dist[a].get(v, 99):
+                        dist[a][v] = dist[a][u] + Fraction(1, w)
+        for a in nodes:
+            paths = {a: [(a,)]}
+            for v in sorted(dist[a], key=lambda v: dist[a][v])[1:]:
+                paths[v] = [(*x, v) for u in nodes if (u, v) in edges and u in dist[a] and dist[a][u] + Fraction(1, edges[u, v]) == dist[a][v] for x in paths[u]]
+                for x in paths[v]:
+                    for u in x[1:-1]:
+                        want[u] += 1 / len(paths[v])
+        src, dst = (np.array([k[i] for k in edges]) for i in (0, 1))
+        graph_ = kernels.hub_paths(n, src, dst, np.array([*edges.values()]))
+        got = sum(kernels.betweenness(graph_, np.arange(k, n, 3)) for k in range(3))
+        assert np.allclose(got, want, atol=1e-9) and max(want) > 1
+
+
+def test_betweenness_walks_only_what_the_hub_does_not_give(monkeypatch):
+    from threadloom.operators import kernels
+
+    r, n = np.random.default_rng(2), 3000
+    ring, far = np.arange(1, n), np.zeros(n - 1, int)
+    src, dst = np.r_[ring, far, r.integers(1, n, 9000)], np.r_[far, ring, r.integers(1, n, 9000)]
+    weight = np.r_[np.full(2 * (n - 1), 4.0), np.ones(9000)]
+    hops, walked = kernels._hops, []
+    monkeypatch.setattr(kernels, "_hops", lambda start, end, x: walked.append(len(start)) or hops(start, end, x))
+    got = kernels.betweenness(kernels.hub_paths(n, src, dst, weight), np.arange(n))
+    assert got[0] == (n - 1) * (n - 2) and not got[1:].any() and sum(walked) < 5 * n

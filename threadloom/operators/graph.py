@@ -15,8 +15,8 @@ from threadloom.session import cut
 
 #: Most edges of an actor graph that are worked on as a whole by one task; beyond it the result is unavailable.
 MAX_WHOLE_EDGES = 2_000_000
-#: Roots times edges that one task of betweenness takes.
-ROOTS_TIMES_EDGES = 50_000_000
+#: Roots times edges that one task of betweenness takes, and its most tasks (each gives a row per node).
+ROOTS_TIMES_EDGES, MAX_SHARES = 200_000_000, 64
 #: Replies whose shuffles are made on arrays: of one conversation in one task, and of all that every task gets. Beyond them joins make the same shuffles.
 MAX_IN_CONVERSATION, MAX_IN_ALL = 5_000_000, 4_000_000
 #: Replies of a conversation from which several tasks share its permutations, and replies that are shuffled at once.
@@ -237,7 +237,8 @@ def _whole(edges: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness) over shortest paths of length 1/weight; an error beyond ``MAX_WHOLE_EDGES`` edges.
 
-    Every task has the numbered edges and takes a share of the nodes as roots of paths; what they add is summed up.
+    Every task has the numbered edges and takes a share of the nodes as roots of paths; what they add is summed up. Paths by way of the
+    node of most edges are counted together, so a root costs what it reaches as soon without that node (of each part of the graph).
     """
     from threadloom.operators import kernels
 
@@ -248,14 +249,14 @@ def betweenness(edges: DataFrame) -> DataFrame:
     if not m:
         return nodes.select("id", F.lit(None).cast("double").alias("betweenness"))
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast((numbers, ends[:m].astype(np.int32), ends[m:].astype(np.int32), _column(found, "weight")))
-    shares = int(min(n, 1 + n * m // ROOTS_TIMES_EDGES, 400))
+    shared = spark.sparkContext.broadcast((numbers, kernels.hub_paths(n, ends[:m], ends[m:], _column(found, "weight"))))
+    shares = int(min(n, 1 + n * m // ROOTS_TIMES_EDGES, MAX_SHARES))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, src, dst, weight = shared.value
+        numbers, graph = shared.value
         for part in parts:
             for share in part["id"]:
-                total = kernels.betweenness(n, src, dst, weight, np.arange(share, n, shares))
+                total = kernels.betweenness(graph, np.arange(share, n, shares))
                 some = np.flatnonzero(total)
                 yield pd.DataFrame({"_no": numbers[some], "_x": total[some]})
 

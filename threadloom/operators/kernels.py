@@ -104,54 +104,130 @@ def _runs(wedges: np.ndarray, i: int, j: int, most: int = 4_000_000):  # noqa: A
         i = k
 
 
-def betweenness(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """What the shortest paths from ``roots`` add to the betweenness of the ``n`` nodes, by Brandes' sums with distance 1/weight.
+def hub_paths(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple:
+    """A graph of ``n`` nodes with distance 1/weight, as ``betweenness`` takes it: its parts that no edge joins and their hubs (the node of most
+    edges of each), its edges by start without those of hubs, then for the ways to the hub and those from it their distances,
+    numbers of shortest paths and edges of such paths.
+    """
+    step = 1.0 / np.maximum(weight.astype(float), 1.0)
+    part = np.arange(n)
+    while (part[src] != part[dst]).any():
+        least = part.copy()
+        np.minimum.at(least, part[src], part[dst])
+        np.minimum.at(least, part[dst], part[src])
+        while (least != least[least]).any():
+            least = least[least]
+        part = least[part]
+    order = np.lexsort((np.bincount(src, minlength=n) + np.bincount(dst, minlength=n), part))
+    hub = np.zeros(n, bool)
+    hub[order[np.r_[part[order][1:] != part[order][:-1], True]]] = True
+    ways = []
+    for a, b in ((dst, src), (src, dst)):
+        by = np.argsort(b, kind="stable")
+        a, b, length = a[by], b[by], step[by]
+        dist = np.full(n, np.inf)
+        dist[hub] = 0.0
+        changed = hub
+        while len(e := np.flatnonzero(changed[a])):
+            heads = np.flatnonzero(np.r_[True, b[e][1:] != b[e][:-1]])
+            new, at = np.minimum.reduceat(dist[a[e]] + length[e], heads), b[e][heads]
+            changed = np.zeros(n, bool)
+            changed[at[new < dist[at] - 1e-12]] = True
+            dist[at] = np.minimum(new, dist[at])
+        with np.errstate(invalid="ignore"):
+            e = np.flatnonzero(np.abs(dist[a] + length - dist[b]) <= 1e-12)
+        paths = hub.astype(float)
+        for x in _hops(a[e], b[e], paths):
+            paths += x
+        ways.append((dist, paths, a[e], b[e]))
+    e = np.flatnonzero(~hub[src] & ~hub[dst])
+    e = e[np.argsort(src[e], kind="stable")]
+    return part, hub, np.r_[0, np.cumsum(np.bincount(src[e], minlength=n))], dst[e].astype(np.int64), step[e], *ways
+
 
-    Many roots go at once: distances fall by rounds over the edges whose start has just changed, numbers of paths and shares
-    follow the edges of shortest paths hop by hop. Distances are equal up to 1e-12.
+def betweenness(graph: tuple, roots: np.ndarray) -> np.ndarray:
+    """What the shortest paths from ``roots`` add to the betweenness of the nodes of ``hub_paths``, by Brandes' sums.
+
+    Paths by way of the hub are not walked one by one: a root has as many as nodes are reached from the hub, less those that it
+    reaches as soon without. Only the latter are looked for, by a search that ends where the way by the hub is shorter; many roots go at once.
+    What goes by the hub then flows along the shortest paths to it and from it. Distances are equal up to 1e-12.
     """
-    by = np.argsort(dst, kind="stable")
-    src, dst = src[by], dst[by]
-    step = 1.0 / np.maximum(weight[by].astype(float), 1.0)
-    total = np.zeros(n)
-    width = int(np.clip(4_000_000 // max(len(src), 1), 1, 64))
-    for at in range(0, len(roots), width):
-        own = roots[at : at + width]
-        s = len(own)
-        home = own * s + np.arange(s)
-        dist = np.full((n, s), np.inf)
-        dist.ravel()[home] = 0.0
-        changed = np.zeros(n, bool)
-        changed[own] = True
-        while len(e := np.flatnonzero(changed[src])):
-            d = dst[e]
-            heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            new = dist[src[e]]
-            new += step[e, None]
-            new = np.minimum.reduceat(new, heads, axis=0)
-            old = dist[d[heads]]
-            less = (new < old - 1e-12).any(axis=1)
-            changed[:] = False
-            changed[d[heads[less]]] = True
-            dist[d[heads]] = np.minimum(new, old)
-        near = dist[src]
-        near += step[:, None]
+    part, hub, begin, end, step, (to, to_paths, *to_edges), (far, far_paths, *far_edges) = graph
+    n = len(to)
+    total, lost = np.zeros(n), np.zeros(n)
+    out, into = np.zeros(n), np.zeros(n)
+    others = roots[~hub[roots]]
+    width = int(np.clip(4_000_000 // n, 1, 256))
+    place = np.zeros(min(width, max(len(others), 1)) * n, np.int64)
+    dist = np.full(len(place), np.inf)
+    degree = np.diff(begin)
+
+    def spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All edges from ``keys``: place among the keys, key of the end and its distance this way."""
+        node = keys % n
+        each = degree[node]
+        at = np.repeat(np.arange(len(keys)), each)
+        edge = np.arange(len(at)) + np.repeat(begin[node] - (np.cumsum(each) - each), each)
+        return at, (keys - node)[at] + end[edge], dist[keys][at] + step[edge]
+
+    for first in range(0, len(others), width):
+        own = others[first : first + width]
+        home = np.arange(len(own)) * n + own
+        dist[home] = 0.0
+        met, now = [home], home
+        while len(now):
+            _, key, new = spread(now)
+            some = np.flatnonzero(new < dist[key] - 1e-12)
+            key, new = key[some], new[some]
+            some = np.flatnonzero(new <= to[own[key // n]] + far[key % n] + 1e-12)
+            key, new = key[some], new[some]
+            fresh = np.isinf(dist[key])
+            np.minimum.at(dist, key, new)
+            place[key] = np.arange(len(key))
+            once = place[key] == np.arange(len(key))
+            now = key[once]
+            met.append(key[once & fresh])
+        keys = np.concatenate(met)
+        place[keys] = np.arange(len(keys))
+        up, key, new = spread(keys)
         with np.errstate(invalid="ignore"):
-            near -= dist[dst]
-            edge, col = np.nonzero(np.abs(near) <= 1e-12)
-        del near
-        up, down = src[edge] * s + col, dst[edge] * s + col
-        paths = np.zeros(n * s)
-        paths[home] = 1.0
+            some = np.flatnonzero(np.abs(new - dist[key]) <= 1e-12)
+        up, down = up[some], place[key[some]]
+        paths = np.zeros(len(keys))
+        paths[: len(own)] = 1.0
         for x in _hops(up, down, paths):
             paths += x
-        reached = paths > 0
-        back = np.zeros(n * s)
-        for x in _hops(down, up, np.divide(1.0, paths, out=np.zeros(n * s), where=reached)):
+        root, node = own[keys // n], keys % n
+        way = to[root] + far[node]
+        tied = np.where(dist[keys] >= way - 1e-12, to_paths[root] * far_paths[node], 0.0)
+        every = paths + tied
+        back = np.zeros(len(keys))
+        for x in _hops(down, up, 1.0 / every):
             back += x
         back *= paths
-        back[home] = 0.0
-        total += back.reshape(n, s).sum(axis=1)
+        back[: len(own)] = 0.0
+        total += np.bincount(node, back, n)
+        less = np.where(np.isinf(way), 0.0, 1.0 - tied / every)
+        less[: len(own)] = ~np.isinf(way[: len(own)])
+        lost += np.bincount(node, less, n)
+        out += np.bincount(root, less, n)
+        dist[keys] = np.inf
+    reached = ~np.isinf(far) & ~hub
+    starts = others[~np.isinf(to[others])]
+    out = -out
+    out[starts] += np.bincount(part[reached], minlength=n)[part[starts]]
+    into[reached] = (np.bincount(part[starts], minlength=n)[part] - lost)[reached]
+    total[hub] = np.bincount(part[starts], out[starts], n)[part[hub]]
+    out[starts] += 1.0
+    into[reached] += np.bincount(part[roots[hub[roots]]], minlength=n)[part[reached]]
+    for mass, paths, edges in ((out, to_paths, to_edges), (into, far_paths, far_edges)):
+        share = np.divide(mass, paths, out=np.zeros(n), where=mass != 0)
+        flow = np.zeros(n)
+        for x in _hops(edges[1], edges[0], share):
+            flow += x
+        flow *= paths
+        flow[hub] = 0.0
+        total += flow
     return total
 
 
