@@ -104,3 +104,52 @@ def test_communities_of_writers_equal_those_of_their_edges(spark, monkeypatch):
     assert got == {tuple(x) for x in networks.similar_writer_communities(df).select("id", "community").collect()} and len({c for _, c in got}) > 1
     monkeypatch.undo()
     assert networks.similar_writer_communities(df.limit(0)).count() == 0
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    from threadloom.session import stage
+
+    kept = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before = kept()
+    rows = stage(spark.range(5000).groupBy(F.pmod("id", F.lit(7)).alias("k")).agg(F.sum("id").alias("s")).repartition(3))
+    assert not kept() - before and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_labels_of_most_senders_are_decided_early_and_right(monkeypatch):
+    import numpy as np
+
+    from threadloom.operators import kernels
+
+    r, n, terms = np.random.default_rng(6), 900, 40
+    key = np.unique(np.r_[np.arange(n) * terms, r.integers(0, n * terms, 6 * n)])
+    at, term, w = (key // terms).astype(np.int32), (key % terms).astype(np.int32), r.integers(1, 4, len(key)).astype(float)
+    labels = np.where(r.random(n) < 0.8, 3, r.integers(0, n, n))
+    unit = np.zeros((n, terms))
+    unit[at, term] = w
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    near = unit @ unit.T
+    near[np.arange(n), np.arange(n)] = 0
+    near[near < 0.25] = 0
+    sums = np.round(np.array([np.bincount(labels, line, n) for line in near]), 9)
+    own = sums[np.arange(n), labels] == sums.max(axis=1)
+    want = np.where(own | (sums.max(axis=1) == 0), labels, sums.argmax(axis=1))
+    whole = []
+    rare = kernels._rare
+    monkeypatch.setattr(kernels, "_rare", lambda vectors, block, among, out: whole.append(out.size) or rare(vectors, block, among, out))
+    for dense in (1, 20, 40):
+        vectors = kernels.split_vectors(n, terms, [(at[:999], term[:999], w[:999]), (at[999:], term[999:], w[999:])], n * dense)
+        best, some = kernels.best_labels(vectors, np.arange(n), labels, 0.25)
+        assert (best == want).all() and (some == (near > 0).any(axis=1)).all()
+    assert sum(whole[-3:]) < 0.4 * n * n
+
+
+def test_only_paired_messages_are_taken_apart(spark, monkeypatch):
+    from threadloom.operators import observations
+
+    seen, whole = [], observations.propositions
+    monkeypatch.setattr(observations, "propositions", lambda rows, most=5: seen.append(rows) or whole(rows, most))
+    messages = spark.createDataFrame([(i, f"Мы сделали отчёт номер {i}.") for i in range(1, 9)], "row_id long, text string")
+    pairs = spark.createDataFrame([(2, 1, True, "x"), (5, 1, True, "x"), (7, 6, False, "x")], "source long, target long, source_native boolean, reason string")
+    got = {(x.source, x.target): x.eligible for x in observations.proposition_pairs(messages, pairs).collect()}
+    assert {x.row_id for x in seen[0].collect()} == {1, 2, 5} and got.keys() <= {(2, 1), (5, 1)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import numpy as np
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -242,38 +244,119 @@ def _hops(start: np.ndarray, end: np.ndarray, x: np.ndarray):  # noqa: ANN202
         yield x
 
 
-def split_vectors(n: int, at: np.ndarray, term: np.ndarray, w: np.ndarray, dense: int = 600) -> tuple:
-    """Sparse unit vectors, the ``dense`` most used terms apart as a matrix, the others by sender and by term."""
-    used = np.bincount(term)
-    column = np.full(len(used), -1)
-    column[np.argsort(-used, kind="stable")[:dense]] = np.arange(min(dense, len(used)))
-    common = column[term] >= 0
-    matrix = np.zeros((n, min(dense, len(used))))
-    matrix[at[common], column[term[common]]] = w[common]
-    at, term, w = at[~common].astype(np.int32), term[~common].astype(np.int32), w[~common]
+_STORED: dict[str, tuple] = {}
+
+
+def stored_vectors(folder: str, n: int, terms: int) -> tuple:
+    """``split_vectors`` of the Parquet table of ``_i``, ``_t`` and ``w`` in a folder that all executors share; a worker keeps those it read last."""
+    if folder not in _STORED:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = (fs.LocalFileSystem(), unquote("/" + folder[5:].lstrip("/"))) if folder.startswith("file:") else fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        batches = ds.dataset(path, format="parquet", filesystem=system).to_batches(batch_readahead=1, fragment_readahead=1)
+        _STORED.clear()
+        _STORED[folder] = split_vectors(n, terms, (tuple(x.column(c).to_numpy() for c in ("_i", "_t", "w")) for x in batches))
+    return _STORED[folder]
+
+
+def split_vectors(n: int, terms: int, parts, cells: int = 36_000_000) -> tuple:  # noqa: ANN001
+    """Unit vectors out of parts of (sender, term, weight): the first terms, which are used most, as a matrix of up to ``cells``, the others by sender and by term."""
+    dense = int(min(terms, 600, max(1, cells // n)))
+    matrix, square, rest = np.zeros((n, dense)), np.zeros(n), [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+    for at, term, w in parts:
+        square += np.bincount(at, w * w, n)
+        common = term < dense
+        matrix[at[common], term[common]] = w[common]
+        rest.append((at[~common], term[~common], w[~common]))
+    norm = np.sqrt(np.where(square > 0, square, 1.0))
+    matrix /= norm[:, None]
+    at, term, w = (np.concatenate(x) for x in zip(*rest))
+    w /= norm[at]
     by, to = np.argsort(at, kind="stable"), np.argsort(term, kind="stable")
     ends = lambda x, k: np.r_[0, np.cumsum(np.bincount(x, minlength=k))]
-    return matrix, ends(at, n), term[by], w[by], ends(term, len(used)), at[to], w[to]
+    return matrix, ends(at, n), term[by], w[by], ends(term, terms), at[to], w[to]
 
 
-def best_labels(vectors: tuple, rows: np.ndarray, labels: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the label of most similarity (to nine digits) around it, its own on ties and then the smallest; and whether anything is near."""
-    matrix, of, term, weight, by, sender, other = vectors
-    n = len(matrix)
-    near = matrix[rows] @ matrix.T
-    best, some = labels[rows].copy(), np.zeros(len(rows), bool)
-    for k, i in enumerate(rows):
-        line = near[k]
+def _rare(vectors: tuple, block: np.ndarray, among: tuple, out: np.ndarray) -> None:
+    """Of each row of ``block`` what the terms outside the matrix add to its similarities with some senders, of which ``among`` has those terms."""
+    of, term, weight = vectors[1:4]
+    by, sender, other = among
+    for k, i in enumerate(block):
         terms, x = term[of[i] : of[i + 1]], weight[of[i] : of[i + 1]]
         each = by[terms + 1] - by[terms]
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(by[terms], each)
-        line += np.bincount(sender[place], np.repeat(x, each) * other[place], n)
-        line[i] = 0.0
-        close = np.flatnonzero(line >= at_least)
-        if len(close):
-            some[k] = True
-            sums = np.round(np.bincount(labels[close], line[close], n), 9)
-            most = sums.max()
-            if sums[best[k]] != most:
-                best[k] = int(np.argmax(sums))
+        place = np.arange(each.sum()) + np.repeat(by[terms] - (np.cumsum(each) - each), each)
+        out[k] = np.bincount(sender[place], np.repeat(x, each) * other[place], out.shape[1])
+
+
+def _terms_among(vectors: tuple, columns: np.ndarray) -> tuple:
+    """The terms outside the matrix of some senders, who get their places among ``columns`` as numbers."""
+    by, sender, other = vectors[4:]
+    place = np.full(len(vectors[0]), -1)
+    place[columns] = np.arange(len(columns))
+    new = place[sender]
+    kept = np.flatnonzero(new >= 0)
+    return np.searchsorted(kept, by), new[kept], other[kept]
+
+
+def best_labels(vectors: tuple, rows: np.ndarray, labels: np.ndarray, at_least: float, parts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the label of most similarity (to nine digits) around it, its own on ties and then the smallest; and whether anything is near.
+
+    Where many senders have one label, these come last and a part at a time, at first by the matrix alone, which gives no more than
+    the similarity: a row for which that is already more than for any other label needs no more of them. The few other rows are done as
+    a whole, as without ``parts``.
+    """
+    matrix = vectors[0]
+    n = len(matrix)
+    names, held = np.unique(labels, return_inverse=True)
+    largest = int(np.argmax(np.bincount(held)))
+    last = np.flatnonzero(held == largest)
+    split = parts and len(last) > 0.3 * n
+    rest, last = (np.flatnonzero(held != largest), np.concatenate([last[k::16] for k in range(16)])) if split else (np.arange(n), last[:0])
+    among, doubtful = _terms_among(vectors, rest) if split else vectors[4:], []
+    best, some = labels[rows].copy(), np.zeros(len(rows), bool)
+    width = int(np.clip(6_000_000 // n, 16, 400))
+    lines, held_by = np.empty((min(width, len(rows)), len(rest))), held[rest]
+    at = np.full(n, -1)
+    at[rest] = np.arange(len(rest))
+    for first in range(0, len(rows), width):
+        block = rows[first : first + width]
+        own, near = matrix[block], lines[: len(block)]
+        _rare(vectors, block, among, near)
+        for c in range(0, len(rest), 2048):
+            near[:, c : c + 2048] += own @ (matrix[rest[c : c + 2048]] if split else matrix[c : c + 2048]).T
+        inside = np.flatnonzero(at[block] >= 0)
+        near[inside, at[block[inside]]] = 0.0  # a sender isn't near itself
+        most, high = np.zeros(len(block)), [(last[:0], last[:0])] * len(block)
+        for k, line in enumerate(near):
+            close = np.flatnonzero(line >= at_least)
+            if len(close):
+                sums = np.bincount(held_by[close], line[close], len(names))
+                most[k] = sums.max()
+                top = np.flatnonzero(sums >= most[k] - 2e-9)
+                high[k] = (top, sums[top])
+        gathered, open_ = np.zeros(len(block)), np.arange(len(block))
+        for c in range(0, len(last), 1024):
+            columns = last[c : c + 1024]
+            part = own[open_] @ matrix[columns].T
+            part[(part < at_least) | (columns == block[open_, None])] = 0.0
+            gathered[open_] += part.sum(axis=1)
+            open_ = open_[gathered[open_] <= most[open_] + 1e-8]
+            if len(open_) <= len(block) // 16:
+                break
+        if split:
+            doubtful.append(first + open_)
+        for k in range(len(block)):
+            top, sums = high[k]
+            if gathered[k] > most[k] + 1e-8:
+                top, sums = np.array([largest]), gathered[k : k + 1]
+            if len(top):
+                some[first + k] = True
+                sums = np.round(sums, 9)
+                tied = names[top[sums == sums.max()]]
+                if best[first + k] not in tied:
+                    best[first + k] = tied.min()
+    if doubtful:
+        whole = np.concatenate(doubtful)
+        best[whole], some[whole] = best_labels(vectors, rows[whole], labels, at_least, parts=False)
     return best, some

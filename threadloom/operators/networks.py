@@ -4,27 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import kernels
 from threadloom.operators.graph import communities
 from threadloom.operators.retrieval import term_frequencies
-from threadloom.session import cut
+from threadloom.session import stage
 
-#: Weights of vectors that every task may hold, and senders whose similarities one task makes at once.
-MAX_WEIGHTS, WRITERS_AT_ONCE = 8_000_000, 400
+#: Weights of vectors that every Python worker may hold, terms that are broadcast, and senders whose similarities one task makes.
+MAX_WEIGHTS, MAX_TERMS, WRITERS_AT_ONCE = 20_000_000, 500_000, 400
+
+
+def _writer_terms(messages: DataFrame, least_df: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, term, tf) of each sender; (term, df) of the terms that ``least_df`` senders use; one row, n: the number of senders with a text."""
+    rows = messages.where("sender IS NOT NULL AND text IS NOT NULL").select(F.col("sender").alias("id"), "text")
+    tf = stage(term_frequencies(rows, "id", "text", 2))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
+    return tf, df, rows.agg(F.countDistinct("id").alias("n"))
+
+
+def _weight(n: int) -> Column:
+    return F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
 def writer_vectors(messages: DataFrame, least_df: int = 2) -> DataFrame:
     """(id, term, df, w): the unit TF-IDF vector of all words of each sender, of terms that ``least_df`` senders use."""
-    rows = messages.where("sender IS NOT NULL AND text IS NOT NULL").select(F.col("sender").alias("_k"), "text")
-    tf = term_frequencies(rows, "_k", "text", 2).groupBy("_k", "term").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
-    n = rows.select("_k").distinct().count()
-    weighted = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = weighted.groupBy("_k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return cut(weighted.join(norm, "_k").select(F.col("_k").alias("id"), "term", "df", (F.col("w") / F.col("_norm")).alias("w")))
+    tf, df, senders = _writer_terms(messages, least_df)
+    weighted = tf.join(df, "term").withColumn("w", _weight(senders.first()["n"]))
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return stage(weighted.join(norm, "id").select("id", "term", "df", (F.col("w") / F.col("_norm")).alias("w")))
 
 
 def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, rounds: int = 8) -> DataFrame:
@@ -32,25 +41,24 @@ def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, roun
 
     Such edges are a good part of all pairs of senders, so they are never rows: each round multiplies blocks of the vectors of the
     senders that move with all others and keeps labels only, until two rounds move none. Up to ``MAX_WEIGHTS`` weights,
-    which every task holds; beyond, from the rows of edges.
+    which every Python worker reads once from the shared folder; beyond, from the rows of edges.
     """
-    unit = writer_vectors(messages)
-    if unit.count() > MAX_WEIGHTS:
+    spark = messages.sparkSession
+    tf, df, senders = _writer_terms(messages, 2)
+    df = stage(df)
+    size = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("terms")).first()
+    if size["n"] > MAX_WEIGHTS:
         edges = similar_writers(messages, at_least).select(F.lit(0).alias("_g"), F.col("left").alias("src"), F.col("right").alias("dst"), F.col("similarity").alias("weight"))
         return label_communities(edges, ["_g"], rounds).drop("_g")
-    spark = messages.sparkSession
-    ids = unit.select("id").distinct().select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")).toPandas().sort_values("id", key=lambda x: x.map(lambda v: v.encode()), ignore_index=True)
-    terms = unit.select("term").distinct().withColumn("_t", F.monotonically_increasing_id())
-    terms = cut(terms)
-    rows = unit.select("id", "term", "w").join(terms.select("term", "_t"), "term").select("id", "_t", "w")
-    numbers = spark.createDataFrame(pd.DataFrame({"id": ids["id"], "_i": np.arange(len(ids))}), "id string, _i int")
-    found = rows.join(numbers, "id").select("_i", "_t", "w").toArrow()
-    n = len(ids)
-    if not n:
-        return unit.limit(0).select("id", F.col("id").alias("community"))
-    at, w = found.column("_i").to_numpy(), found.column("w").to_numpy()
-    _, term = np.unique(found.column("_t").to_numpy(), return_inverse=True)
-    shared = spark.sparkContext.broadcast(kernels.split_vectors(n, at, term, w))
+    ids = tf.select("id").distinct().select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")).toPandas().sort_values("id", key=lambda x: x.map(lambda v: v.encode()), ignore_index=True)
+    n, terms = len(ids), size["terms"]
+    if not terms:
+        return tf.limit(0).select("id", F.col("id").alias("community"))
+    numbers = F.broadcast(spark.createDataFrame(pd.DataFrame({"id": ids["id"], "_i": np.arange(n, dtype=np.int32)}), "id string, _i int"))
+    known = df.withColumn("_t", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1)
+    known = F.broadcast(known) if terms <= MAX_TERMS else known
+    vectors = stage(tf.join(known, "term").join(numbers, "id").select("_i", "_t", _weight(senders.first()["n"]).alias("w")))
+    folder = vectors.inputFiles()[0].rpartition("/")[0]
     labels, half = np.arange(n), ids["half"].to_numpy()
     linked, still = np.zeros(n, bool), 0
     for turn in range(rounds):
@@ -61,7 +69,7 @@ def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, roun
             for part in parts:
                 for block in part["id"]:
                     rows = own[block * WRITERS_AT_ONCE : (block + 1) * WRITERS_AT_ONCE]
-                    best, any_ = kernels.best_labels(shared.value, rows, given.value, at_least)
+                    best, any_ = kernels.best_labels(kernels.stored_vectors(folder, n, terms), rows, given.value, at_least)
                     yield pd.DataFrame({"i": rows, "best": best, "linked": any_})
 
         blocks = -(-len(own) // WRITERS_AT_ONCE)
@@ -105,14 +113,14 @@ def label_communities(edges: DataFrame, keys: list[str], rounds: int = 8) -> Dat
     move in even, the others in odd rounds, by a hash, so that labels settle. A round is one join and one aggregate.
     """
     plain = edges.where("src <> dst").select(*keys, "src", "dst", F.col("weight").cast("double").alias("w"))
-    both = cut(plain.unionByName(plain.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w")))
+    both = stage(plain.unionByName(plain.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w")))
     labels = both.select(*keys, F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     for turn in range(rounds):
         near = both.join(labels.withColumnsRenamed({"id": "dst"}), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "community").agg(F.sum("w").alias("_w"))
         near = near.join(labels.withColumnRenamed("community", "_own"), [*keys, "id"])
         best = near.groupBy(*keys, "id").agg(F.min_by("community", F.struct((-F.round("_w", 9)).alias("w"), (F.col("community") != F.col("_own")).alias("o"), "community")).alias("_best"), F.first("_own").alias("_own"))
         moves = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
-        labels = cut(best.select(*keys, "id", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community")))
+        labels = stage(best.select(*keys, "id", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("community")))
     return labels
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import lexicon as L
 from threadloom.functions import text as T
 from threadloom.operators.running import row_numbers
+from threadloom.session import stage
 
 # Personal pronouns of the third person.
 PRONOUNS = ["он", "она", "они", "оно", "его", "её", "их", "ему", "ей", "им"]
@@ -68,14 +69,14 @@ def propositions(messages: DataFrame, most: int = 5) -> DataFrame:
 def proposition_pairs(messages: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
     """(source, source_ordinal, target, target_ordinal, source_text, eligible): propositions of paired messages, ``most`` by ``most``.
 
-    Pairs are explicit replies, and candidates of rank 1 from a score of 0.15 of messages without a reply link. Both
+    Only messages of pairs are taken apart, once. Pairs are explicit replies, and candidates of rank 1 from a score of 0.15 of messages without a reply link. Both
     ends must hold one proposition alone for a pair to be eligible.
     """
-    said = propositions(messages, most).select("row_id", "ordinal", "proposition")
-    count = said.groupBy("row_id").agg(F.count(F.lit(1)).alias("_n"))
-    said = said.join(count, "row_id")
     own = F.col("reason") == "rank_1_lexical_similarity_at_least_0.15"
-    pairs = candidates.where(F.col("source_native") | own).select("source", "target").distinct()
+    pairs = stage(candidates.where(F.col("source_native") | own).select("source", "target").distinct())
+    paired = messages.join(pairs.select(F.explode(F.array("source", "target")).alias("row_id")).distinct(), "row_id", "left_semi")
+    said = propositions(paired, most).select("row_id", "ordinal", "proposition")
+    said = stage(said.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("row_id"))))
     left = said.select(F.col("row_id").alias("source"), F.col("ordinal").alias("source_ordinal"), F.col("proposition").alias("source_text"), F.col("_n").alias("_ns"))
     right = said.select(F.col("row_id").alias("target"), F.col("ordinal").alias("target_ordinal"), F.col("_n").alias("_nt"))
     return pairs.join(left, "source").join(right, "target").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.operators.participation import nearest_rank_by_count
 from threadloom.operators.running import hour_of, running_sum
+from threadloom.session import stage
 
 MAX_LATENCY_MINUTES = 30 * 24 * 60
 
@@ -196,7 +197,8 @@ def response_candidates(messages: DataFrame, window: int = 40, horizon_hours: in
     and the message its reply link names. They rank by the cosine of their token counts, later ones first on
     ties, then by row id; the linked one is kept as the last if it ranks below ``keep``. Order is by time,
     then row id; empty messages are ranked for but never candidates. A message is joined with its 40
-    predecessors by numbering them, in blocks of 40 so that both sides meet on (conversation, block).
+    predecessors by numbering them, in blocks of 40 so that both sides meet on (conversation, block); the numbered
+    messages are staged, as both sides are made of them.
     """
     filled = F.coalesce(F.trim(F.col("text")) != "", F.lit(False))
     base = messages.where(F.col("sent_at").isNotNull()).select(
@@ -208,7 +210,7 @@ def response_candidates(messages: DataFrame, window: int = 40, horizon_hours: in
     base = base.withColumn("_tokens", hashed).withColumn("_terms", F.array_distinct("_tokens")).withColumn("_norm", _norm(F.col("_tokens"), F.col("_terms")))
     base = base.withColumn("_tokens", F.when(F.size("_tokens") > F.size("_terms"), F.col("_tokens")))
     counted = running_sum(base, ["conversation_id"], hour_of("sent_at"), ["sent_at", "row_id"], F.col("_filled").cast("long"), "_upto")
-    counted = counted.withColumn("_before", F.col("_upto") - F.col("_filled").cast("long")).drop("_upto")
+    counted = stage(counted.withColumn("_before", F.col("_upto") - F.col("_filled").cast("long")).drop("_upto"))
     source = counted.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("_before") - window, F.lit(0)) / window), F.floor(F.greatest(F.col("_before") - 1, F.lit(0)) / window))))
     target = counted.where("_filled").select(
         F.col("conversation_id").alias("_c"), F.col("row_id").alias("target"), F.col("external_id").alias("_e"), F.col("sent_at").alias("_t"),

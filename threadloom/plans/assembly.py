@@ -365,7 +365,7 @@ def layer_communities(spark: SparkSession, d: str) -> DataFrame:
     layers = edge(ev, "interaction", "source_sender", "target_sender", F.lit(1)).where("src IS NOT NULL AND dst IS NOT NULL")
     layers = layers.unionByName(argued.select(F.when(F.col("relation") == "SUPPORTS", "support").otherwise("attack").alias("layer"), F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit(1.0).alias("weight")))
     alike = N.similar_writer_communities(rows).select(F.lit("semantic_similarity").alias("layer"), "id", "community")
-    return N.label_communities(layers, ["layer"]).unionByName(alike)
+    return N.label_communities(stage(layers), ["layer"]).unionByName(alike)
 
 
 @query()
