@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import unquote
 
 import numpy as np
@@ -247,19 +248,34 @@ def _hops(start: np.ndarray, end: np.ndarray, x: np.ndarray):  # noqa: ANN202
 _STORED: dict[str, tuple] = {}
 
 
+def store_vectors(folder: str, n: int, terms: int) -> tuple:
+    """``split_vectors`` of the Parquet table of ``_i``, ``_t`` and ``w`` in a folder that all executors share, which in a file system are left beside it."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    local = _local(folder)
+    system, path = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    batches = ds.dataset(path, format="parquet", filesystem=system).to_batches(batch_readahead=1, fragment_readahead=1)
+    vectors = split_vectors(n, terms, (tuple(x.column(c).to_numpy() for c in ("_i", "_t", "w")) for x in batches))
+    for k, x in enumerate(vectors if local else ()):
+        np.save(f"{local}/_part-{k}.npy", x)
+    return vectors
+
+
 def stored_vectors(folder: str, n: int, terms: int) -> tuple:
-    """``split_vectors`` of the Parquet table of ``_i``, ``_t`` and ``w`` in a folder that all executors share; a worker keeps those it read last."""
+    """What ``store_vectors`` has left, mapped into memory; without a file system each worker makes its own and keeps the last."""
     if folder not in _STORED:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, path = (fs.LocalFileSystem(), unquote("/" + folder[5:].lstrip("/"))) if folder.startswith("file:") else fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-        batches = ds.dataset(path, format="parquet", filesystem=system).to_batches(batch_readahead=1, fragment_readahead=1)
         _STORED.clear()
-        _STORED[folder] = split_vectors(n, terms, (tuple(x.column(c).to_numpy() for c in ("_i", "_t", "w")) for x in batches))
+        local = _local(folder)
+        files = [f"{local}/_part-{k}.npy" for k in range(7)]
+        _STORED[folder] = tuple(np.asarray(np.load(f, mmap_mode="r" if os.path.getsize(f) > 1_000_000 else None)) for f in files) if local else store_vectors(folder, n, terms)
     return _STORED[folder]
 
 
+def _local(folder: str) -> str | None:
+    return unquote("/" + folder[5:].lstrip("/")) if folder.startswith("file:") else None
+
+
 def split_vectors(n: int, terms: int, parts, cells: int = 36_000_000) -> tuple:  # noqa: ANN001
     """Unit vectors out of parts of (sender, term, weight): the first terms, which are used most, as a matrix of up to ``cells``, the others by sender and by term."""
     dense = int(min(terms, 600, max(1, cells // n)))

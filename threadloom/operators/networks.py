@@ -12,7 +12,7 @@ from threadloom.operators.graph import communities
 from threadloom.operators.retrieval import term_frequencies
 from threadloom.session import stage
 
-#: Weights of vectors that every Python worker may hold, terms that are broadcast, and senders whose similarities one task makes.
+#: Weights of vectors that a Python worker may hold, terms that are broadcast, and senders whose similarities one task makes.
 MAX_WEIGHTS, MAX_TERMS, WRITERS_AT_ONCE = 20_000_000, 500_000, 400
 
 
@@ -41,7 +41,7 @@ def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, roun
 
     Such edges are a good part of all pairs of senders, so they are never rows: each round multiplies blocks of the vectors of the
     senders that move with all others and keeps labels only, until two rounds move none. Up to ``MAX_WEIGHTS`` weights,
-    which every Python worker reads once from the shared folder; beyond, from the rows of edges.
+    which one task splits and leaves in the shared folder, for all to map into memory; beyond, from the rows of edges.
     """
     spark = messages.sparkSession
     tf, df, senders = _writer_terms(messages, 2)
@@ -59,6 +59,14 @@ def similar_writer_communities(messages: DataFrame, at_least: float = 0.25, roun
     known = F.broadcast(known) if terms <= MAX_TERMS else known
     vectors = stage(tf.join(known, "term").join(numbers, "id").select("_i", "_t", _weight(senders.first()["n"]).alias("w")))
     folder = vectors.inputFiles()[0].rpartition("/")[0]
+
+    def store(parts):  # noqa: ANN001, ANN202
+        for part in parts:
+            kernels.store_vectors(folder, n, terms)
+            yield part
+
+    if folder.startswith("file:"):
+        spark.range(0, 1, 1, 1).mapInPandas(store, "id bigint").collect()
     labels, half = np.arange(n), ids["half"].to_numpy()
     linked, still = np.zeros(n, bool), 0
     for turn in range(rounds):
